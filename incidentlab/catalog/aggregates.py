@@ -10,6 +10,7 @@ from ..operators import panel, reports, risk, spatial, temporal
 from ..functions.scalar import calendar_flags
 from ..plans import enrich
 from .joins import unit_year_chain
+from ..functions.scalar import rounded
 from .registry import query, rnd
 from .storage import hot_cells, scores
 
@@ -25,7 +26,7 @@ SELECT unit, state, year, month, quarter_ AS quarter, loss, weight, {R('lat')} A
 def a1(spark, d):
     df = fx.pts(spark, d).withColumn("Is_Weekend", calendar_flags("dt")["is_weekend"])
     out = panel.unit_month_panel(df)
-    return out.withColumns({c: F.round(c, 6) for c in ("lat", "lon", "Is_Weekend")})
+    return out.withColumns({c: rounded(c, 6) for c in ("lat", "lon", "Is_Weekend")})
 
 
 @query("a2_cell_month_panel", f"""
@@ -34,7 +35,7 @@ def a2(spark, d):
     from ..functions.geo import cell_index
 
     df = panel.cell_month_panel(fx.pts(spark, d).withColumn("cell", cell_index("lat", "lon", 6)))
-    return df.withColumns({c: F.round(c, 6) for c in ("latitude", "longitude")})
+    return df.withColumns({c: rounded(c, 6) for c in ("latitude", "longitude")})
 
 
 @query("a3_top_units", f"""
@@ -233,7 +234,7 @@ SELECT CAST(g AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n, {R('lo +
 FROM range(1, 41) t(g) LEFT JOIN c ON c.bin = g, s""", "inc_nulls")
 def a23(spark, d):
     out = reports.histogram(fx.inc_nulls(spark, d), "loss", 40)
-    return out.withColumns({c: F.round(c, 4) for c in ("lower", "upper", "mean")})
+    return out.withColumns({c: rounded(c, 4) for c in ("lower", "upper", "mean")})
 
 
 @query("a24_density_grid", """
@@ -254,7 +255,7 @@ _CORR = ("n", "population", "rate_100k", "trend_3y", "growth_rate", "historical_
 @query("a25_correlation_matrix", " UNION ALL ".join(
     f"SELECT '{a}' AS a, '{b}' AS b, {R(f'corr({a}, {b})', 6)} AS r FROM uy_feat" for a in _CORR for b in _CORR), "uy_feat")
 def a25(spark, d):
-    return reports.correlation_matrix(unit_year_chain(spark, d), _CORR).withColumn("r", F.round("r", 6))
+    return reports.correlation_matrix(unit_year_chain(spark, d), _CORR).withColumn("r", rounded("r", 6))
 
 
 @query("a26_own_vs_neighbor", f"""
@@ -263,7 +264,7 @@ SELECT state, unit, year, {R('coalesce(rate_100k, CAST(n AS DOUBLE))')} AS own,
 def a26(spark, d):
     near = enrich.unit_year_neighbours(unit_year_chain(spark, d), fx.edges(spark, d), "n")
     out = reports.own_vs_neighbor(near, "n", "rate_100k", "spatial_lag", "neighbor_risk")
-    return out.withColumns({c: F.round(c, 6) for c in ("own", "lag")})
+    return out.withColumns({c: rounded(c, 6) for c in ("own", "lag")})
 
 
 @query("a27_bbox", "SELECT min(x0) AS min_lon, min(y0) AS min_lat, max(x1) AS max_lon, max(y1) AS max_lat FROM boxes", "boxes")
@@ -274,7 +275,7 @@ def a27(spark, d):
 @query("a28_ring_centroid", f"SELECT name, {R('x0 + 2.4')} AS x, {R('y0 + 2.4')} AS y FROM boxes", "boxes")
 def a28(spark, d):
     return fx.boxes(spark, d).select("name", ring_centroid("ring").alias("c")).select(
-        "name", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+        "name", rounded("c.x", 6).alias("x"), rounded("c.y", 6).alias("y"))
 
 
 @query("a29_fit_error", f"""
@@ -295,4 +296,4 @@ FROM scored, s""", "scored")
 def a30(spark, d):
     df = fx.scored(spark, d).withColumn("guess", F.col("p") / 150)
     out = reports.residuals(df, ["unit", "year", "month"], "n", "guess")
-    return out.withColumns({c: F.round(c, 6) for c in ("predicted", "residual", "axis_min", "axis_max")})
+    return out.withColumns({c: rounded(c, 6) for c in ("predicted", "residual", "axis_min", "axis_max")})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions import scalar as sc
 from ..operators import access, clean, temporal
+from ..functions.scalar import rounded
 from .registry import query, rnd
 from .storage import hot_cells, scores
 
@@ -34,7 +35,7 @@ SELECT id, {R('coalesce(loss, (SELECT median(loss) FROM inc_nulls))', 3)} AS los
        {R('coalesce(sparse, (SELECT median(sparse) FROM inc_nulls))', 3)} AS sparse FROM inc_nulls""", "inc_nulls")
 def c3(spark, d):
     out = clean.impute_median(fx.inc_nulls(spark, d).select("id", "loss", "sparse"))
-    return out.select("id", F.round("loss", 3).alias("loss"), F.round("sparse", 3).alias("sparse"))
+    return out.select("id", rounded("loss", 3).alias("loss"), rounded("sparse", 3).alias("sparse"))
 
 
 @query("c4_impute_mode", """
@@ -57,7 +58,7 @@ SELECT id, unit, state, year, month, {R('coalesce(loss, (SELECT median(loss) FRO
                       GROUP BY category ORDER BY count(*) DESC, category LIMIT 1)) AS category,
   coalesce(festival, FALSE) AS festival FROM inc_nulls""", "inc_nulls")
 def c2_c5(spark, d):
-    return clean.handle_missing(fx.inc_nulls(spark, d)).withColumn("loss", F.round("loss", 3))
+    return clean.handle_missing(fx.inc_nulls(spark, d)).withColumn("loss", rounded("loss", 3))
 
 
 @query("c6_valid_coordinates", """
@@ -111,10 +112,10 @@ def c10(spark, d):
 
 
 @query("c11_lookup", """
-SELECT id, unit, year, month FROM (SELECT id, unit, year, month FROM inc WHERE lower(unit) = 'france')
+SELECT id, unit, year, month FROM (SELECT id, unit, year, month FROM inc WHERE lower(unit) = 'nation_7')
 ORDER BY year, month, id LIMIT 1""", "inc")
 def c11(spark, d):
-    return clean.lookup(fx.inc(spark, d), "unit", "FRance", ["year", "month", "id"]).select("id", "unit", "year", "month")
+    return clean.lookup(fx.inc(spark, d), "unit", "NaTion_7", ["year", "month", "id"]).select("id", "unit", "year", "month")
 
 
 @query("c12_filter_rankings", f"""

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.geo import ring_centroid
 from ..operators import access, clean, spatial
+from ..operators.risk import with_risk_index
+from ..operators.scale import settle
 from ..plans import enrich
+from ..functions.scalar import rounded
 from .registry import query, rnd
 
 R = rnd
@@ -22,10 +25,8 @@ SELECT i.id, i.unit, i.year, u.n AS unit_count, {R('u.growth_rate')} AS growth_r
 FROM inc i LEFT JOIN uy_risk u ON i.state = u.state AND i.unit = u.unit AND i.year = u.year""", "uy_risk")
 def j1(spark, d):
     near = enrich.unit_year_neighbours(unit_year_chain(spark, d), fx.edges(spark, d), "n")
-    from ..operators.risk import with_risk_index
-
-    uy = with_risk_index(near, "n", "rate_100k", "growth_rate", "neighbor_risk").select(
-        "state", "unit", "year", F.col("n").alias("unit_count"), F.round("growth_rate", 6).alias("growth_rate"), "risk_index")
+    uy = settle(with_risk_index(near, "n", "rate_100k", "growth_rate", "neighbor_risk").select(
+        "state", "unit", "year", F.col("n").alias("unit_count"), rounded("growth_rate", 6).alias("growth_rate"), "risk_index"))
     return spatial.attach_unit_features(fx.inc(spark, d).select("id", "state", "unit", "year"), uy).select(
         "id", "unit", "year", "unit_count", "growth_rate", "risk_index")
 
@@ -33,13 +34,13 @@ def j1(spark, d):
 @query("j2_neighbor_mean", f"SELECT unit, year, {R('neighbor_risk')} AS neighbor_risk FROM uy_near", "uy_near")
 def j2(spark, d):
     return spatial.neighbor_mean(fx.unit_year(spark, d), fx.edges(spark, d), "n").select(
-        "unit", "year", F.round("neighbor_risk", 6).alias("neighbor_risk"))
+        "unit", "year", rounded("neighbor_risk", 6).alias("neighbor_risk"))
 
 
 @query("j3_spatial_lag", f"SELECT unit, year, {R('spatial_lag')} AS spatial_lag FROM uy_near", "uy_near")
 def j3(spark, d):
     return spatial.spatial_lag(unit_year_chain(spark, d), fx.edges(spark, d), "rate_100k").select(
-        "unit", "year", F.round("spatial_lag", 6).alias("spatial_lag"))
+        "unit", "year", rounded("spatial_lag", 6).alias("spatial_lag"))
 
 
 @query("j4_local_moran", f"""
@@ -50,7 +51,7 @@ SELECT z.unit, z.year, {R('z.z * nz.nz')} AS local_moran FROM z LEFT JOIN nz ON
        "uy_feat edges")
 def j4(spark, d):
     return spatial.local_moran_proxy(unit_year_chain(spark, d), fx.edges(spark, d), "rate_100k", "n").select(
-        "unit", "year", F.round("local_moran", 6).alias("local_moran"))
+        "unit", "year", rounded("local_moran", 6).alias("local_moran"))
 
 
 _BOXES_MEET = """SELECT a.name AS src, b.name AS dst FROM boxes a JOIN boxes b ON a.name <> b.name
@@ -81,7 +82,7 @@ SELECT tested, outside, {R('CAST(outside AS DOUBLE) / tested')} AS failure_share
   FROM pts JOIN boxes ON unit = name)""", "pts boxes")
 def j6_outside(spark, d):
     return spatial.outside_claimed(fx.pts(spark, d), fx.boxes(spark, d), 0.0).withColumn(
-        "failure_share", F.round("failure_share", 6))
+        "failure_share", rounded("failure_share", 6))
 
 
 def _mapping(spark, d):
@@ -119,7 +120,7 @@ SELECT id, unit, {R('x0 + 2.4')} AS cx, {R('y0 + 2.4')} AS cy FROM inc JOIN boxe
 def j9(spark, d):
     centroids = fx.boxes(spark, d).filter(F.col("region_key") != 2).select(
         F.col("name").alias("unit"), ring_centroid("ring").alias("c")).select(
-        "unit", F.round("c.x", 6).alias("cx"), F.round("c.y", 6).alias("cy"))
+        "unit", rounded("c.x", 6).alias("cx"), rounded("c.y", 6).alias("cy"))
     return spatial.attach_centroid(fx.inc(spark, d).select("id", "unit"), centroids, "unit")
 
 

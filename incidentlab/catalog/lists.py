@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..operators import reports
+from ..functions.scalar import rounded
 from .registry import query, rnd
 from .storage import hot_cells, scores
 
@@ -30,10 +31,10 @@ def t1_cells(spark, d):
 
 _ALERTS = f"""
 SELECT 'high_risk_district' AS type, CASE WHEN s >= 85 THEN 'critical' ELSE 'high' END AS severity, 'High risk in ' || unit AS title,
-  printf('Risk score %.1f (rank #%d)', s, priority_rank) AS description, unit AS subject, s AS score
+  'Risk score ' || CAST(CAST(round(CAST(s AS DECIMAL(18, 4)), 1) AS DECIMAL(18, 1)) AS VARCHAR) || ' (rank #' || CAST(priority_rank AS VARCHAR) || ')' AS description, unit AS subject, s AS score
 FROM (SELECT *, {R('raw_score', 2)} AS s FROM score WHERE priority_rank <= 3) WHERE s >= 75
 UNION ALL
-SELECT 'hotspot', 'high', 'Hotspot detected at ' || cell, printf('Score %.1f (rank #%d)', s, hotspot_rank), cell, s
+SELECT 'hotspot', 'high', 'Hotspot detected at ' || cell, 'Score ' || CAST(CAST(round(CAST(s AS DECIMAL(18, 4)), 1) AS DECIMAL(18, 1)) AS VARCHAR) || ' (rank #' || CAST(hotspot_rank AS VARCHAR) || ')', cell, s
 FROM (SELECT *, {R('raw_score', 2)} AS s FROM cell_hot WHERE hotspot_rank <= 5) WHERE s >= 80"""
 
 
@@ -53,7 +54,7 @@ SELECT feature, {R('m', 4)} AS importance, CAST(row_number() OVER (ORDER BY roun
 ORDER BY rank LIMIT 5""")
 def t4(spark, d):
     means = fx.table(spark, d, "part").groupBy(F.col("p_type").alias("feature")).agg(
-        F.round(F.avg("p_retailprice"), 4).alias("importance"))
+        rounded(F.avg("p_retailprice"), 4).alias("importance"))
     return reports.top_features(means, 5)
 
 
@@ -68,6 +69,6 @@ def t5(spark, d):
     score = {"metrics": "average_risk_score", "top_units": "risk_score", "top_hotspots": "risk_score", "alerts": "score"}
     out = None
     for name, frame in parts.items():
-        row = frame.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), F.round(F.sum(score[name]), 2).alias("score"))
+        row = frame.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("rows"), rounded(F.sum(score[name]), 2).alias("score"))
         out = row if out is None else out.unionByName(row)
     return out

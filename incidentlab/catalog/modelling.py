@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from ..operators import explain, models
 from ..operators.models import BoostSettings
 from ..session import new_table_dir
+from ..functions.scalar import rounded
 from .registry import query, rnd
 
 R = rnd
@@ -32,7 +33,7 @@ FROM um_accel WINDOW w AS (PARTITION BY unit ORDER BY year, month),
   w3 AS (PARTITION BY unit ORDER BY year, month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
   w6 AS (PARTITION BY unit ORDER BY year, month ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""", "um_accel")
 def m1(spark, d):
-    return risk_panel(spark, d).select(*_KEY, *[(F.round(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in _PANEL_FEATURES])
+    return risk_panel(spark, d).select(*_KEY, *[(rounded(F.col(c).cast("double"), 6) + F.lit(0.0)).alias(c) for c in _PANEL_FEATURES])
 
 
 def cell_panel(spark, d):
@@ -45,8 +46,8 @@ SELECT cell, year, month, crime_count, {R('lag(crime_count) OVER w', 2)} AS lag_
 WINDOW w AS (PARTITION BY cell ORDER BY year, month),
   w3 AS (PARTITION BY cell ORDER BY year, month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)""", "cell_month")
 def m2(spark, d):
-    return cell_panel(spark, d).select("cell", "year", "month", "crime_count", F.round("crime_count_lag_1", 2).alias("lag_1"),
-                                       F.round("rolling_mean_3m", 4).alias("rolling_mean_3m"))
+    return cell_panel(spark, d).select("cell", "year", "month", "crime_count", rounded("crime_count_lag_1", 2).alias("lag_1"),
+                                       rounded("rolling_mean_3m", 4).alias("rolling_mean_3m"))
 
 
 _FIT = ["n_lag_1", "n_lag_2", "n_lag_3", "n_lag_12", "rolling_mean_3m", "rolling_mean_12m", "rolling_std_6m", "ema_6m",
@@ -106,16 +107,18 @@ def m8(spark, d):
     return explain.gain_importance(spark, _fitted(spark, d), _FIT)
 
 
+_ROW = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 _WEIGHTS = {"l_quantity": 1.5, "l_discount": -40.0, "l_tax": 25.0}
 
 
 def _linear(spark, d):
-    li = fx.table(spark, d, "lineitem").withColumn("row", (F.col("l_orderkey") * 100 + F.col("l_linenumber")))
+    li = fx.table(spark, d, "lineitem").withColumn(
+        "row", F.concat_ws("|", *[F.col(c).cast("string") for c in _ROW]))
     return explain.linear_attributions(li, "row", _WEIGHTS, 10.0)
 
 
 _PHI = "WITH phi AS (" + " UNION ALL ".join(
-    f"SELECT l_orderkey * 100 + l_linenumber AS row, '{c}' AS feature, {c} AS value, "
+    f"SELECT concat_ws('|', {', '.join(_ROW)}) AS row, '{c}' AS feature, {c} AS value, "
     f"CAST({w} AS DOUBLE) * ({c} - (SELECT avg({c}) FROM lineitem)) AS phi FROM lineitem" for c, w in _WEIGHTS.items()) + ")"
 
 
@@ -123,14 +126,14 @@ _PHI = "WITH phi AS (" + " UNION ALL ".join(
 SELECT feature, {R('m')} AS mean_abs, {R('m * 100 / sum(m) OVER ()', 2)} AS importance_pct
 FROM (SELECT feature, avg(abs(phi)) AS m FROM phi GROUP BY feature)""")
 def m9(spark, d):
-    return explain.global_attribution(_linear(spark, d)).withColumn("mean_abs", F.round("mean_abs", 6))
+    return explain.global_attribution(_linear(spark, d)).withColumn("mean_abs", rounded("mean_abs", 6))
 
 
 @query("m10_linear_attributions", f"""{_PHI}
 SELECT row, feature, {R('phi')} AS phi, {R('10 + (SELECT 1.5 * avg(l_quantity) - 40 * avg(l_discount) + 25 * avg(l_tax) FROM lineitem)')} AS base
 FROM phi""")
 def m10(spark, d):
-    return _linear(spark, d).select("row", "feature", (F.round("phi", 6) + F.lit(0.0)).alias("phi"), F.round("base", 6).alias("base"))
+    return _linear(spark, d).select("row", "feature", (rounded("phi", 6) + F.lit(0.0)).alias("phi"), rounded("base", 6).alias("base"))
 
 
 @query("m10_sampled_attributions")
@@ -145,7 +148,8 @@ def m10_sampled(spark, d):
 @query("m11_local_drivers", f"""{_PHI}
 SELECT row, side, CAST(row_number() OVER (PARTITION BY row, side ORDER BY abs(phi) DESC, feature) AS INTEGER) AS position, feature,
   {R('phi', 4)} AS phi, {R('value', 4)} AS value
-FROM (SELECT *, CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS side FROM phi WHERE phi <> 0)""")
+FROM (SELECT *, CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS side FROM phi WHERE phi <> 0)
+QUALIFY position <= 5""")
 def m11(spark, d):
     return explain.local_drivers(_linear(spark, d), "row")
 
@@ -164,17 +168,17 @@ def _unit_phi(spark, d):
 
 @query("m12_unit_drivers", f"""{_UNIT_PHI}
 SELECT feature, {R('abs(phi)')} AS importance, CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS direction
-FROM phi WHERE lower(unit) = 'germany' ORDER BY abs(phi) DESC, feature LIMIT 10""", "unit_month")
+FROM phi WHERE lower(unit) = 'nation_11' ORDER BY abs(phi) DESC, feature LIMIT 10""", "unit_month")
 def m12(spark, d):
     phi = _unit_phi(spark, d)
-    return explain.unit_drivers(phi, "unit", "Germany", explain.global_attribution(phi)).withColumn("importance", F.round("importance", 6))
+    return explain.unit_drivers(phi, "unit", "Nation_11", explain.global_attribution(phi)).withColumn("importance", rounded("importance", 6))
 
 
 @query("m12_unit_drivers_fallback", f"""{_UNIT_PHI}
 SELECT feature, {R('avg(abs(phi))')} AS importance, CAST(NULL AS VARCHAR) AS direction FROM phi GROUP BY feature""", "unit_month")
 def m12_fallback(spark, d):
     phi = _unit_phi(spark, d)
-    return explain.unit_drivers(phi, "unit", "Atlantis", explain.global_attribution(phi)).withColumn("importance", F.round("importance", 6))
+    return explain.unit_drivers(phi, "unit", "Atlantis", explain.global_attribution(phi)).withColumn("importance", rounded("importance", 6))
 
 
 @query("m13_cluster")

@@ -9,6 +9,7 @@ from ..functions import geo, scalar as sc
 from ..operators import access, risk
 from ..plans import enrich
 from .joins import unit_year_chain
+from ..functions.scalar import rounded
 from .registry import query, rnd
 
 R = rnd
@@ -20,7 +21,7 @@ SELECT unit, year, month, {R('sin(2 * pi() * month / 12)')} AS month_sin, {R('co
 def f1(spark, d):
     df = fx.unit_month(spark, d)
     new = sc.seasonal_columns(df.columns)
-    return df.select("unit", "year", "month", *[(F.round(c, 6) + F.lit(0.0)).alias(n) for n, c in new.items()])
+    return df.select("unit", "year", "month", *[(rounded(c, 6) + F.lit(0.0)).alias(n) for n, c in new.items()])
 
 
 @query("f2_haversine", f"""
@@ -36,8 +37,8 @@ SELECT state, unit, year, {R('CASE WHEN population > 0 THEN CAST(n AS DOUBLE) /
   {R('n / (population + CAST(1e-6 AS DOUBLE)) * 100000')} AS smoothed FROM unit_year""", "unit_year")
 def f3(spark, d):
     return fx.unit_year(spark, d).select(
-        "state", "unit", "year", F.round(sc.rate_100k("n", "population"), 6).alias("rate"),
-        F.round(sc.rate_100k_smoothed("n", "population"), 6).alias("smoothed"))
+        "state", "unit", "year", rounded(sc.rate_100k("n", "population"), 6).alias("rate"),
+        rounded(sc.rate_100k_smoothed("n", "population"), 6).alias("smoothed"))
 
 
 @query("f4_risk_index", "SELECT state, unit, year, risk_index FROM uy_risk", "uy_risk")
@@ -70,7 +71,7 @@ SELECT unit, year, {R('neighbor_risk')} AS neighbor_density, CAST(0 AS DOUBLE) A
 def f6(spark, d):
     near = enrich.unit_year_neighbours(unit_year_chain(spark, d), fx.edges(spark, d), "n")
     out = risk.pass_through_features(near)
-    return out.select("unit", "year", F.round("neighbor_density", 6).alias("neighbor_density"), "weekend_ratio", "night_ratio", "office_hour_ratio")
+    return out.select("unit", "year", rounded("neighbor_density", 6).alias("neighbor_density"), "weekend_ratio", "night_ratio", "office_hour_ratio")
 
 
 @query("f7_risk_band", f"""
@@ -82,13 +83,13 @@ def f7(spark, d):
 
     return scores(spark, d).select("unit", "year", "month", sc.risk_band("risk_score").alias("band"),
                                    sc.risk_colour("risk_score").alias("colour"),
-                                   F.round(sc.marker_size("risk_score"), 4).alias("marker"))
+                                   rounded(sc.marker_size("risk_score"), 4).alias("marker"))
 
 
 @query("f8_display", """
 SELECT id, CASE WHEN loss IS NULL THEN 'N/A' ELSE format('{:,.2f}', loss) END AS number,
   CASE WHEN loss IS NULL THEN 'N/A' ELSE printf('%.2f%%', loss) END AS percent,
-  CASE WHEN loss IS NULL THEN 'N/A' WHEN abs(loss) >= 1e6 THEN printf('%.1fM', loss / 1e6) WHEN abs(loss) >= 1e3 THEN printf('%.1fK', loss / 1e3)
+  CASE WHEN loss IS NULL THEN 'N/A' WHEN abs(loss) >= 1e6 THEN CAST(CAST(round(CAST(loss / 1e6 AS DECIMAL(18, 8)), 1) AS DECIMAL(18, 1)) AS VARCHAR) || 'M' WHEN abs(loss) >= 1e3 THEN CAST(CAST(round(CAST(loss / 1e3 AS DECIMAL(18, 5)), 1) AS DECIMAL(18, 1)) AS VARCHAR) || 'K'
        ELSE printf('%.0f', loss) END AS compact FROM inc_nulls""", "inc_nulls")
 def f8(spark, d):
     return fx.inc_nulls(spark, d).select("id", sc.display_number("loss", 2).alias("number"),
@@ -135,20 +136,20 @@ SELECT cell, CAST(k AS INTEGER) AS corner, round(x, 6) + CAST(0 AS DOUBLE) AS ln
 def f13(spark, d):
     cells = fx.pts(spark, d).select(geo.cell_index("lat", "lon", 6).alias("cell")).distinct()
     corners = cells.select("cell", F.posexplode(geo.cell_boundary("cell")).alias("corner", "p"))
-    return corners.select("cell", "corner", (F.round(F.col("p")[0], 6) + F.lit(0.0)).alias("lng"),
-                          (F.round(F.col("p")[1], 6) + F.lit(0.0)).alias("lat"))
+    return corners.select("cell", "corner", (rounded(F.col("p")[0], 6) + F.lit(0.0)).alias("lng"),
+                          (rounded(F.col("p")[1], 6) + F.lit(0.0)).alias("lat"))
 
 
 @query("f14_report_lifecycle", """
-WITH log AS (SELECT l_orderkey AS report_id, l_shipdate AS at, l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'created'
+WITH log AS (SELECT l_orderkey AS report_id, l_shipdate AS moment, l_linenumber AS seq, CASE WHEN l_linenumber = 1 THEN 'created'
     WHEN l_returnflag = 'R' THEN 'failed' WHEN l_returnflag = 'A' THEN 'downloaded' WHEN l_linestatus = 'F' THEN 'completed' ELSE 'started' END AS event,
     l_partkey AS tie FROM lineitem),
 s AS (SELECT *, CASE event WHEN 'created' THEN 'pending' WHEN 'started' THEN 'processing' WHEN 'completed' THEN 'completed'
     WHEN 'failed' THEN 'failed' END AS state FROM log),
-last AS (SELECT report_id, state FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY at DESC, seq DESC, state DESC) AS r FROM s WHERE state IS NOT NULL) WHERE r = 1)
+last AS (SELECT report_id, state FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY moment DESC, seq DESC, state DESC) AS r FROM s WHERE state IS NOT NULL) WHERE r = 1)
 SELECT s.report_id, any_value(last.state) AS status, CAST(count(*) FILTER (WHERE event = 'failed') AS BIGINT) AS retry_count,
   CAST(count(*) FILTER (WHERE event = 'downloaded') AS BIGINT) AS download_count,
-  strftime(min(at) FILTER (WHERE event = 'created') + INTERVAL 7 DAY, '%Y-%m-%d') AS expires
+  strftime(min(moment) FILTER (WHERE event = 'created') + INTERVAL 7 DAY, '%Y-%m-%d') AS expires
 FROM s LEFT JOIN last ON last.report_id = s.report_id GROUP BY s.report_id""")
 def f14(spark, d):
     li = fx.table(spark, d, "lineitem")

@@ -9,6 +9,7 @@ from ..functions.geo import cell_index
 from ..operators import clean, panel, reports, risk
 from ..session import new_table_dir
 from ..sources import io, profile
+from ..functions.scalar import rounded
 from .registry import query, rnd
 
 R = rnd
@@ -63,7 +64,7 @@ def s3(spark, d):
 
 @query("s4_ranked_csv", f"""
 SELECT priority_rank, unit, year, month, {R('raw_score', 2)} AS risk_score,
-       CAST(raw_score >= 75 AS INTEGER) AS is_high FROM score""", "score")
+       CAST(round(raw_score, 2) >= 75 AS INTEGER) AS is_high FROM score""", "score")
 def s4(spark, d):
     path = new_table_dir(spark, "ranking_csv")
     ranked = scores(spark, d).select("priority_rank", "unit", "year", "month", "risk_score",
@@ -110,7 +111,7 @@ def s8(spark, d):
         F.col("unit").alias("District"), F.col("risk_score").alias("Risk_Score"),
         F.col("priority_rank").alias("Priority_Rank"),
         F.when(F.col("month") == 5, "n/a").otherwise(F.col("p").cast("string")).alias("Predicted_Crime_Count"))
-    return io.normalize_columns(raw).withColumn("predicted_crime_count", F.round("predicted_crime_count", 3))
+    return io.normalize_columns(raw).withColumn("predicted_crime_count", rounded("predicted_crime_count", 3))
 
 
 @query("s9_json_map_rows", """
@@ -124,7 +125,7 @@ def s9(spark, d):
 SELECT unit, month, {R('avg(n)', 2)} AS value FROM unit_month GROUP BY unit, month""", "unit_month")
 def s9_months(spark, d):
     """A report document per unit (its monthly means as a JSON map), read back into rows."""
-    means = fx.unit_month(spark, d).groupBy("unit", "month").agg(F.round(F.avg("n"), 2).alias("v"))
+    means = fx.unit_month(spark, d).groupBy("unit", "month").agg(rounded(F.avg("n"), 2).alias("v"))
     entries = F.map_from_entries(F.collect_list(F.struct(F.col("month").cast("string"), "v")))
     documents = means.groupBy("unit").agg(F.to_json(entries).alias("monthly_trends"))
     return io.month_rows(documents, "monthly_trends", ["unit"])
@@ -138,7 +139,7 @@ def s9_categories(spark, d):
     counts = fx.inc(spark, d).groupBy("state", "category").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("state").agg(F.sum("count").alias("t"))
     rows = counts.join(totals, "state").select(
-        "state", "category", F.struct("count", F.round(F.col("count") * 100.0 / F.col("t"), 2).alias("pct")).alias("v"))
+        "state", "category", F.struct("count", rounded(F.col("count") * 100.0 / F.col("t"), 2).alias("pct")).alias("v"))
     documents = rows.groupBy("state").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("category", "v")))).alias("doc"))
     return io.category_rows(documents, "doc", ["state"])
 

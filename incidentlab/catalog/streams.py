@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from ..operators import reports
 from ..streaming import jobs
 from .cleaning import _ACTION
+from ..functions.scalar import rounded
 from .registry import query, rnd
 
 R = rnd
@@ -54,13 +55,13 @@ FROM ev GROUP BY 1, 2"""
 
 @query("r2_live_metrics", _LIVE, "ev")
 def r2(spark, d):
-    return _stamped(jobs.live_metrics(fx.ev(spark, d), 86400, ["event_type"], "value")).withColumn("total", F.round("total", 2))
+    return _stamped(jobs.live_metrics(fx.ev(spark, d), 86400, ["event_type"], "value")).withColumn("total", rounded("total", 2))
 
 
 @query("r2_live_metrics_stream", _LIVE, "ev")
 def r2_stream(spark, d):
     metrics = jobs.live_metrics(_stream(spark, d), 86400, ["event_type"], "value")
-    return _stamped(jobs.update_table(metrics, ["window_start", "event_type"], "live")).withColumn("total", F.round("total", 2))
+    return _stamped(jobs.update_table(metrics, ["window_start", "event_type"], "live")).withColumn("total", rounded("total", 2))
 
 
 @query("r3_audit_stream", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import allocate, models, quality as q, spatial
 from ..plans import enrich
+from ..functions.scalar import rounded
 from .registry import query, rnd
 
 R = rnd
@@ -122,7 +123,7 @@ SELECT tested, outside, {R('CAST(outside AS DOUBLE) / tested')} AS failure_share
 def v14(spark, d):
     sample = models.background_sample(fx.pts(spark, d).select("id", "unit", "lat", "lon"), "id", 2000, "1")
     out = spatial.outside_claimed(sample, fx.boxes(spark, d), 1.0)
-    return out.withColumn("failure_share", F.round("failure_share", 6)).withColumn("passed", F.col("failure_share") < 0.01)
+    return out.withColumn("failure_share", rounded("failure_share", 6)).withColumn("passed", F.col("failure_share") < 0.01)
 
 
 @query("v15_breakdown", "SELECT channel, CAST(count(*) AS BIGINT) AS n FROM inc GROUP BY channel", "inc")

@@ -107,9 +107,9 @@ WINDOW w3 AS (PARTITION BY unit ORDER BY year, month ROWS BETWEEN 3 PRECEDING AN
 # --- cells: axial hexagons, edge 32 / 2^resolution degrees ---
 
 _AXIAL = """
-SELECT *, CASE WHEN dq > dr AND dq > dt THEN -nr - nt ELSE nq END AS cq,
-       CASE WHEN NOT (dq > dr AND dq > dt) AND dr > dt THEN -nq - nt ELSE nr END AS cr
-FROM (SELECT *, abs(nq - q) AS dq, abs(nr - r) AS dr, abs(nt - t) AS dt
+SELECT *, CASE WHEN dq > dr AND dq > ds THEN -nr - nt ELSE nq END AS cq,
+       CASE WHEN NOT (dq > dr AND dq > ds) AND dr > ds THEN -nq - nt ELSE nr END AS cr
+FROM (SELECT *, abs(nq - q) AS dq, abs(nr - r) AS dr, abs(nt - t) AS ds
   FROM (SELECT *, floor(q + CAST(0.5 AS DOUBLE)) AS nq, floor(r + CAST(0.5 AS DOUBLE)) AS nr,
                floor(t + CAST(0.5 AS DOUBLE)) AS nt
     FROM (SELECT *, -q - r AS t

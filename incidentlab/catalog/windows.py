@@ -9,6 +9,7 @@ from ..functions.geo import cell_index
 from ..operators import allocate, panel, risk, spatial, temporal
 from ..plans import enrich
 from .joins import unit_year_chain
+from ..functions.scalar import rounded
 from .registry import query, rnd
 from .storage import hot_cells
 
@@ -21,7 +22,7 @@ def _um(spark, d):
 
 
 def _rounded(df, *columns: str, keys=tuple(_KEY), digits: int = 6):
-    return df.select(*keys, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in columns])
+    return df.select(*keys, *[rounded(F.col(c).cast("double"), digits).alias(c) for c in columns])
 
 
 @query("w1_lags", "SELECT unit, year, month, " + ", ".join(
@@ -181,7 +182,7 @@ rounded AS (SELECT parent, unit, round(share, 6) AS share FROM shares)"""
 
 @query("w20_share_score", f"WITH {_MEMBERS} SELECT parent, unit, {R('share')} AS share FROM shares")
 def w20(spark, d):
-    return allocate.share_score(_shares(spark, d), ["parent"]).select("parent", "unit", F.round("share", 6).alias("share"))
+    return allocate.share_score(_shares(spark, d), ["parent"]).select("parent", "unit", rounded("share", 6).alias("share"))
 
 
 @query("w19_apportion", f"""
@@ -195,7 +196,7 @@ SELECT parent, unit, CAST(CASE WHEN i = c THEN total - coalesce(sum(v) FILTER (W
 def w19(spark, d):
     totals = fx.inc(spark, d).join(fx.table(spark, d, "nation"), F.col("unit") == F.col("n_name")).groupBy(
         F.col("n_regionkey").alias("parent")).agg(F.count(F.lit(1)).alias("total"))
-    shares = allocate.share_score(_shares(spark, d), ["parent"]).withColumn("share", F.round("share", 6)).join(totals, "parent")
+    shares = allocate.share_score(_shares(spark, d), ["parent"]).withColumn("share", rounded("share", 6)).join(totals, "parent")
     return allocate.apportion(shares, ["parent"], "unit", "total", "share").select("parent", "unit", "allocated")
 
 
@@ -234,4 +235,4 @@ def w23(spark, d):
         "unit", "category", (F.col("c") / F.col("t")).alias("base"), ((F.length("category") - 8) / 20.0).alias("growth"),
         F.when(F.col("category") == "MACHINERY", 1998).otherwise(1996).alias("intro_year"),
         F.when((F.col("category") == "BUILDING") & (F.length("unit") > 6), 1.5).alias("boost"))
-    return allocate.category_mix(mix, range(1996, 2002), first_year=1996).withColumn("share", F.round("share", 6))
+    return allocate.category_mix(mix, range(1996, 2002), first_year=1996).withColumn("share", rounded("share", 6))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .columns import COLUMNS
 from .operators import panel
+from .operators.scale import settle
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,11 +62,11 @@ def unit_month(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def unit_year(spark: SparkSession, folder: str) -> DataFrame:
-    """Yearly counts per unit; every fifth unit has no population."""
+    """Yearly counts per unit, a table of its own; every fifth unit has no population."""
     keyed = inc(spark, folder).groupBy("state", "unit", "unit_key", "year").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("loss"), 2).alias("loss"))
-    return keyed.withColumn(
-        "population", F.when(F.col("unit_key") % 5 != 0, (100000 + 37000 * F.col("unit_key")).cast("long")))
+    return settle(keyed.withColumn(
+        "population", F.when(F.col("unit_key") % 5 != 0, (100000 + 37000 * F.col("unit_key")).cast("long"))))
 
 
 def edges(spark: SparkSession, folder: str) -> DataFrame:

@@ -25,6 +25,15 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rounded(value: Column | str, digits: int) -> Column:
+    """Half-up rounding of the value a double stands for.
+
+    Arithmetic noise is taken off first: 0.89374999999999982 means 0.89375 and
+    rounds to 0.8938.
+    """
+    return F.round(F.round(col(value), digits + 8), digits)
+
+
 def seasonal_columns(present: Sequence[str], cols: Columns = COLUMNS) -> dict[str, Column]:
     """F1. Sine and cosine of month and quarter, for those of the two that are present."""
     out: dict[str, Column] = {}
@@ -40,7 +49,7 @@ def haversine_km(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon
     lat1, lon1, lat2, lon2 = map(col, (lat1, lon1, lat2, lon2))
     half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
     a = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.round(2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a))), 2)
+    return rounded(2 * EARTH_RADIUS_KM * F.asin(F.least(F.lit(1.0), F.sqrt(a))), 2)
 
 
 def rate_100k(count: Column | str, population: Column | str) -> Column:

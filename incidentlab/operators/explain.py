@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import rounded
 from .clean import first_available
 from .models import PREDICTION
 
@@ -15,7 +16,7 @@ from .models import PREDICTION
 def _with_share(df: DataFrame, value: str) -> DataFrame:
     """Percentage of the column total; one row per feature comes in."""
     total = df.agg(F.sum(value)).scalar()
-    return df.withColumn("importance_pct", F.round(F.try_divide(F.col(value) * 100, F.nullif(total, F.lit(0.0))), 2))
+    return df.withColumn("importance_pct", rounded(F.try_divide(F.col(value) * 100, F.nullif(total, F.lit(0.0))), 2))
 
 
 def gain_importance(spark, model: PipelineModel, features: Sequence[str]) -> DataFrame:
@@ -106,7 +107,7 @@ def local_drivers(attributions: DataFrame, key: str, n: int = 5) -> DataFrame:
     return (
         attributions.withColumn("side", side).filter(F.col("side").isNotNull())
         .withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
-        .select(key, "side", "position", "feature", F.round("phi", 4).alias("phi"), F.round("value", 4).alias("value"))
+        .select(key, "side", "position", "feature", rounded("phi", 4).alias("phi"), rounded("value", 4).alias("value"))
     )
 
 

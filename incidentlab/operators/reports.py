@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, SETTINGS, Columns
-from ..functions.scalar import col, month_name
+from ..functions.scalar import col, month_name, rounded
 from .scale import global_row_number
 
 # Fixed values.
@@ -32,7 +32,7 @@ def top_units(df: DataFrame, scores: Sequence[str], k: int = SETTINGS.top_units,
     score = _first_present(df, scores)
     means = df.groupBy(cols.unit).agg(F.avg(score).alias("_m"))
     return means.orderBy(F.col("_m").desc(), cols.unit).limit(k).select(
-        cols.unit, F.round("_m", 4).alias("risk_score"))
+        cols.unit, rounded("_m", 4).alias("risk_score"))
 
 
 def unit_trend(panel: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFrame:
@@ -51,8 +51,8 @@ def unit_trend(panel: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFr
         marked.filter(F.col("_n") >= 2).groupBy(cols.unit).agg(recent.alias("_r"), earlier.alias("_e"))
         .withColumn("_c", change)
         .select(
-            cols.unit, F.round("_r", 2).alias("recent_avg"), F.round("_e", 2).alias("earlier_avg"),
-            F.round("_c", 2).alias("change_pct"),
+            cols.unit, rounded("_r", 2).alias("recent_avg"), rounded("_e", 2).alias("earlier_avg"),
+            rounded("_c", 2).alias("change_pct"),
             F.when(F.col("_c") > TREND_LIMIT_PCT, "increasing").when(F.col("_c") < -TREND_LIMIT_PCT, "decreasing")
             .otherwise("stable").alias("direction"))
     )
@@ -61,29 +61,29 @@ def unit_trend(panel: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFr
 def growth_stats(df: DataFrame, growth: str = "growth_rate", cols: Columns = COLUMNS) -> DataFrame:
     """A5. Mean, sample deviation, least and greatest growth per year."""
     return df.groupBy(cols.year).agg(
-        F.round(F.avg(growth), 4).alias("mean"), F.round(F.stddev_samp(growth), 4).alias("std"),
-        F.round(F.min(growth), 4).alias("min"), F.round(F.max(growth), 4).alias("max"))
+        rounded(F.avg(growth), 4).alias("mean"), rounded(F.stddev_samp(growth), 4).alias("std"),
+        rounded(F.min(growth), 4).alias("min"), rounded(F.max(growth), 4).alias("max"))
 
 
 def monthly_profile(df: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFrame:
     """A6. Mean target per calendar month."""
-    return df.groupBy(cols.month).agg(F.round(F.avg(target), 2).alias("value"))
+    return df.groupBy(cols.month).agg(rounded(F.avg(target), 2).alias("value"))
 
 
 def quarterly_profile(df: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFrame:
     """A7. Mean target per quarter and the quarter with the (first) greatest mean."""
     means = df.groupBy(cols.quarter).agg(F.avg(target).alias("_m"))
     peak = means.agg(F.max_by(cols.quarter, F.struct("_m", -F.col(cols.quarter)))).scalar()
-    return means.select(cols.quarter, F.round("_m", 2).alias("value"), peak.alias("peak_quarter"))
+    return means.select(cols.quarter, rounded("_m", 2).alias("value"), peak.alias("peak_quarter"))
 
 
 def _summaries(df: DataFrame, columns: Sequence[str], digits: int, order: Sequence[str], with_std: bool) -> DataFrame:
     at = lambda c: F.when(F.col(c).isNotNull(), F.struct(*order))
     stats = df.agg(*[
         F.struct(
-            F.lit(c).alias("feature"), F.round(F.avg(c), digits).alias("mean"),
-            *([F.round(F.stddev_samp(c), digits).alias("std")] if with_std else []),
-            F.round(F.max_by(c, at(c)), digits).alias("latest")).alias(c)
+            F.lit(c).alias("feature"), rounded(F.avg(c), digits).alias("mean"),
+            *([rounded(F.stddev_samp(c), digits).alias("std")] if with_std else []),
+            rounded(F.max_by(c, at(c)), digits).alias("latest")).alias(c)
         for c in columns if c in df.columns])
     return stats.select(F.inline(F.array(*stats.columns)))
 
@@ -104,7 +104,7 @@ def category_share(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
     """A10. Count and percentage per category, most frequent first."""
     counts = df.filter(F.col(cols.category).isNotNull()).groupBy(cols.category).agg(F.count(F.lit(1)).alias("count"))
     total = counts.agg(F.sum("count").cast("double")).scalar()
-    return counts.withColumn("pct", F.round(F.col("count") * 100 / total, 2)).orderBy(F.col("count").desc(), cols.category)
+    return counts.withColumn("pct", rounded(F.col("count") * 100 / total, 2)).orderBy(F.col("count").desc(), cols.category)
 
 
 def station_load(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
@@ -112,22 +112,22 @@ def station_load(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
     load = F.sum(cols.target) if cols.target in df.columns else F.count(F.lit(1))
     loads = df.filter(F.col(cols.station).isNotNull()).groupBy(cols.station).agg(load.alias("_l"))
     return loads.agg(
-        F.count("_l").alias("total_stations"), F.round(F.avg("_l"), 2).alias("mean_load"),
-        F.round(F.max("_l"), 2).alias("max_load"), F.round(F.min("_l"), 2).alias("min_load"))
+        F.count("_l").alias("total_stations"), rounded(F.avg("_l"), 2).alias("mean_load"),
+        rounded(F.max("_l"), 2).alias("max_load"), rounded(F.min("_l"), 2).alias("min_load"))
 
 
 def unit_ranking(df: DataFrame, scores: Sequence[str], cols: Columns = COLUMNS) -> DataFrame:
     """A12. Rank 1..n of the units on mean score; ties go by name."""
     means = df.groupBy(cols.unit).agg(F.avg(_first_present(df, scores)).alias("_m"))
     ranked = global_row_number(means, [F.col("_m").desc(), F.col(cols.unit).asc()], "rank")
-    return ranked.select("rank", cols.unit, F.round("_m", 4).alias("score"))
+    return ranked.select("rank", cols.unit, rounded("_m", 4).alias("score"))
 
 
 def hotspot_summary(df: DataFrame, cell: str = "cell", score: str = "risk_score", rank: str = "hotspot_rank") -> DataFrame:
     """A13. Number, mean and greatest score, and the first cell by rank."""
     return df.agg(
-        F.count(F.lit(1)).alias("total_hotspots"), F.round(F.avg(score), 2).alias("mean_risk_score"),
-        F.round(F.max(score), 2).alias("max_risk_score"), F.min_by(cell, rank).alias("top_hotspot"))
+        F.count(F.lit(1)).alias("total_hotspots"), rounded(F.avg(score), 2).alias("mean_risk_score"),
+        rounded(F.max(score), 2).alias("max_risk_score"), F.min_by(cell, rank).alias("top_hotspot"))
 
 
 def pearson(a: Column | str, b: Column | str) -> Column:
@@ -141,8 +141,8 @@ def neighbor_influence(df: DataFrame, target: str, columns: Sequence[str] = (
         "neighbor_risk", "spatial_lag", "neighbor_density")) -> DataFrame:
     """A14. Correlation of the target with each neighbour column present, and the column's mean."""
     stats = df.agg(*[
-        F.struct(F.lit(c).alias("feature"), F.round(pearson(target, c), 4).alias("correlation"),
-                 F.round(F.avg(c), 4).alias("mean")).alias(c)
+        F.struct(F.lit(c).alias("feature"), rounded(pearson(target, c), 4).alias("correlation"),
+                 rounded(F.avg(c), 4).alias("mean")).alias(c)
         for c in columns if c in df.columns])
     return stats.select(F.inline(F.array(*stats.columns)))
 
@@ -160,10 +160,10 @@ def dashboard_metrics(df: DataFrame, scores: DataFrame, cells: DataFrame, target
     top = by_category.agg(F.min_by(cols.category, F.struct(-F.col("_n"), F.col(cols.category)))).scalar()
     best = scores.agg(F.struct(
         F.min_by(cols.unit, F.struct(-F.col(score), F.col(cols.unit))).alias("unit"),
-        F.round(F.max(score), 2).alias("score")).alias("s")).scalar()
-    hot = cells.agg(F.struct(F.count(F.lit(1)).alias("n"), F.round(F.avg(score), 2).alias("mean")).alias("s")).scalar()
+        rounded(F.max(score), 2).alias("score")).alias("s")).scalar()
+    hot = cells.agg(F.struct(F.count(F.lit(1)).alias("n"), rounded(F.avg(score), 2).alias("mean")).alias("s")).scalar()
     return grouped.agg(
-        F.round(F.sum("_s"), 2).alias("total_count"), F.round(F.sum("_s") / F.sum("_c"), 2).alias("avg_count"),
+        rounded(F.sum("_s"), 2).alias("total_count"), rounded(F.sum("_s") / F.sum("_c"), 2).alias("avg_count"),
         F.countDistinct(cols.unit).alias("total_units"),
         F.array_sort(F.collect_set(cols.year)).alias("years_covered"),
         F.countDistinct(cols.category).alias("categories"),
@@ -175,7 +175,7 @@ def dashboard_metrics(df: DataFrame, scores: DataFrame, cells: DataFrame, target
 
 def year_month_series(df: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFrame:
     """A16. Mean target and row count per (year, month) with the first day of the month."""
-    return df.groupBy(*cols.time).agg(F.round(F.avg(target), 4).alias("value"), F.count(F.lit(1)).alias("rows")).withColumn(
+    return df.groupBy(*cols.time).agg(rounded(F.avg(target), 4).alias("value"), F.count(F.lit(1)).alias("rows")).withColumn(
         "date", F.make_date(cols.year, cols.month, F.lit(1)))
 
 
@@ -184,7 +184,7 @@ def overall_direction(trends: DataFrame) -> DataFrame:
     up, down = F.count_if(F.col("direction") == "increasing"), F.count_if(F.col("direction") == "decreasing")
     return trends.agg(
         F.when(up > down, "up").when(down > up, "down").otherwise("stable").alias("direction"),
-        F.round(F.avg("change_pct"), 4).alias("percentage_change"))
+        rounded(F.avg("change_pct"), 4).alias("percentage_change"))
 
 
 def half_year_direction(profile: DataFrame, cols: Columns = COLUMNS, value: str = "value") -> DataFrame:
@@ -202,7 +202,7 @@ def half_year_direction(profile: DataFrame, cols: Columns = COLUMNS, value: str
     change = F.try_divide(F.abs(b - a), a) * 100
     return marked.agg(first.alias("_a"), second.alias("_b")).select(
         F.when(b > a * HALF_YEAR_UP, "up").when(b < a * HALF_YEAR_DOWN, "down").otherwise("stable").alias("direction"),
-        F.when((b > a * HALF_YEAR_UP) | (b < a * HALF_YEAR_DOWN), F.round(change, 2)).otherwise(0.0)
+        F.when((b > a * HALF_YEAR_UP) | (b < a * HALF_YEAR_DOWN), rounded(change, 2)).otherwise(0.0)
         .alias("percentage_change"))
 
 
@@ -217,7 +217,7 @@ def kpi(scores: DataFrame, hotspot_count: Column, predicted: str = "predicted_co
         limit: float = UNIT_ALERT) -> DataFrame:
     """A20. Total predicted, hotspots, mean score, units at or above the alert score."""
     return scores.agg(
-        F.round(F.sum(predicted), 2).alias("total_predicted"), F.round(F.avg(score), 2).alias("average_risk_score"),
+        rounded(F.sum(predicted), 2).alias("total_predicted"), rounded(F.avg(score), 2).alias("average_risk_score"),
         F.count_if(F.col(score) >= limit).alias("high_risk_units"),
     ).withColumn("hotspot_count", hotspot_count)
 
@@ -283,9 +283,9 @@ def fit_error(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()
     a, e = F.col(actual), F.col(actual) - F.col(predicted)
     sse, sst = F.sum(e * e), F.var_pop(a) * F.count(a)
     return df.groupBy(*by).agg(
-        F.round(F.sqrt(F.avg(e * e)), 4).alias("rmse"), F.round(F.avg(F.abs(e)), 4).alias("mae"),
-        F.round(1 - F.try_divide(sse, F.nullif(sst, F.lit(0.0))), 4).alias("r2"),
-        F.round(F.avg(F.abs(F.try_divide(e, F.nullif(a, F.lit(0.0))))) * 100, 4).alias("mape"),
+        rounded(F.sqrt(F.avg(e * e)), 4).alias("rmse"), rounded(F.avg(F.abs(e)), 4).alias("mae"),
+        rounded(1 - F.try_divide(sse, F.nullif(sst, F.lit(0.0))), 4).alias("r2"),
+        rounded(F.avg(F.abs(F.try_divide(e, F.nullif(a, F.lit(0.0))))) * 100, 4).alias("mape"),
         F.count(F.lit(1)).alias("rows"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, SETTINGS, Columns
-from ..functions.scalar import clamp, col, lookup_map
+from ..functions.scalar import clamp, col, lookup_map, rounded
 from .scale import exact_medians, global_row_number, settle
 
 # Fixed values.
@@ -32,7 +32,7 @@ def with_risk_index(df: DataFrame, count: str, rate: str, growth: str, neighbor:
     neighbor_term = F.coalesce(F.col(neighbor), F.lit(0.0)) / scale
     w = INDEX_WEIGHTS
     total = w["rate"] * rate_term + w["growth"] * growth_term + w["neighbor"] * neighbor_term
-    return df.withColumn(name, F.round(clamp(total, 0, 1), 4))
+    return df.withColumn(name, rounded(clamp(total, 0, 1), 4))
 
 
 def rank_within_year(df: DataFrame, value: str = "risk_index", cols: Columns = COLUMNS) -> DataFrame:
@@ -47,7 +47,7 @@ def rank_within_year(df: DataFrame, value: str = "risk_index", cols: Columns = C
     n = F.col("_n")
     ranks = counts.select(
         cols.year, value,
-        F.round((upto - n + (n + 1) / 2) / total, 4).alias("risk_percentile"),
+        rounded((upto - n + (n + 1) / 2) / total, 4).alias("risk_percentile"),
         (total - upto + 1).alias("risk_rank"),
     )
     return df.join(ranks, [cols.year, value], "left")
@@ -62,7 +62,7 @@ def with_trend_score(df: DataFrame, value: str = "trend_3y", cols: Columns = COL
     by_year = limits.agg(F.map_from_entries(F.collect_list(F.struct(cols.year, "m")))).scalar()
     own = F.element_at(by_year, F.col(cols.year))
     scaled = F.try_divide(F.col(value) - own["lo"], F.nullif(own["hi"] - own["lo"], F.lit(0.0)))
-    return df.withColumn("trend_score", F.round(F.coalesce(scaled, F.lit(0.0)), 4))
+    return df.withColumn("trend_score", rounded(F.coalesce(scaled, F.lit(0.0)), 4))
 
 
 def with_anomaly_score(df: DataFrame, growth: str = "growth_rate", cols: Columns = COLUMNS) -> DataFrame:
@@ -70,7 +70,7 @@ def with_anomaly_score(df: DataFrame, growth: str = "growth_rate", cols: Columns
     unit = Window.partitionBy(*cols.unit_keys)
     mean, sd = F.avg(growth).over(unit), F.stddev_samp(growth).over(unit)
     z = F.when(sd == 0, F.lit(0.0)).otherwise((F.col(growth) - mean) / F.nullif(sd, F.lit(0.0)))
-    return df.withColumn("anomaly_score", F.round(F.abs(z), 4))
+    return df.withColumn("anomaly_score", rounded(F.abs(z), 4))
 
 
 # --- scores over predictions -------------------------------------------------
@@ -84,7 +84,7 @@ def _scaled(df: DataFrame, prediction: str) -> Column:
 
 def score_0_100(df: DataFrame, prediction: str, keys: Sequence[str], rank: str = "priority_rank") -> DataFrame:
     """W16. Min-max score with two decimals and rank 1..n, ties broken by ``keys``."""
-    scored = df.withColumn("risk_score", F.round(_scaled(df, prediction), 2))
+    scored = df.withColumn("risk_score", rounded(_scaled(df, prediction), 2))
     return global_row_number(scored, [F.col(prediction).desc(), *[F.col(k).asc() for k in keys]], rank)
 
 
@@ -94,7 +94,7 @@ def with_confidence(df: DataFrame, prediction: str, exact_rows: int = 1_000_000)
     s = df.agg(F.struct(F.stddev_pop(prediction).alias("sd"), F.count(prediction).alias("n")).alias("s")).scalar()
     sd = F.when(s["n"] > 1, s["sd"]).otherwise(F.lit(1.0))
     off = F.abs(F.col(prediction) - F.lit(median)) / (sd * 3 + F.lit(1e-6))
-    return df.withColumn("confidence", F.round(clamp(1 - off, 0, 1), 4))
+    return df.withColumn("confidence", rounded(clamp(1 - off, 0, 1), 4))
 
 
 def risk_scores(df: DataFrame, prediction: str, keys: Sequence[str]) -> DataFrame:
@@ -105,7 +105,7 @@ def risk_scores(df: DataFrame, prediction: str, keys: Sequence[str]) -> DataFram
 
 def hotspots(df: DataFrame, prediction: str, keys: Sequence[str], top_n: int = SETTINGS.top_hotspots) -> DataFrame:
     """W18. The ``top_n`` cells by prediction with score and rank; a bounded top-k, no full sort."""
-    scored = df.withColumn("risk_score", F.round(_scaled(df, prediction), 2))
+    scored = df.withColumn("risk_score", rounded(_scaled(df, prediction), 2))
     order = [F.col(prediction).desc(), *[F.col(k).asc() for k in keys]]
     return scored.orderBy(*order).limit(top_n).withColumn(
         "hotspot_rank", F.row_number().over(Window.orderBy(*order)))
@@ -120,7 +120,7 @@ def density_proxies(df: DataFrame, tier: str, urban: str, profile: str, density:
                       F.lit(TIER_DENSITY[DEFAULT_TIER]))
     factor = F.when(F.col(urban) == "Urban", URBAN_FACTOR).otherwise(RURAL_FACTOR)
     return df.withColumns({
-        "commercial_density": F.round(F.coalesce(F.col(profile), base * factor), 3),
+        "commercial_density": rounded(F.coalesce(F.col(profile), base * factor), 3),
         "urban_density": F.nullif(F.col(density).cast("double"), F.lit(0.0)),
     })
 

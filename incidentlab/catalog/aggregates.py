@@ -229,12 +229,12 @@ def a22(spark, d):
 WITH s AS (SELECT min(loss) AS lo, max(loss) AS hi, avg(loss) AS mean FROM inc_nulls),
 b AS (SELECT CAST(least(floor((loss - lo) / (hi - lo) * 40) + 1, 40) AS INTEGER) AS bin FROM inc_nulls, s WHERE loss IS NOT NULL),
 c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
-SELECT CAST(g AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n, {R('lo + (hi - lo) / 40 * (g - 1)', 4)} AS lower,
-       {R('lo + (hi - lo) / 40 * g', 4)} AS upper, {R('mean', 4)} AS mean
+SELECT CAST(g AS INTEGER) AS bin, CAST(coalesce(n, 0) AS BIGINT) AS n, {R("lo + (hi - lo) / 40 * (g - 1)", 6)} AS lower,
+       {R("lo + (hi - lo) / 40 * g", 6)} AS upper, {R("mean", 6)} AS mean
 FROM range(1, 41) t(g) LEFT JOIN c ON c.bin = g, s""", "inc_nulls")
 def a23(spark, d):
     out = reports.histogram(fx.inc_nulls(spark, d), "loss", 40)
-    return out.withColumns({c: rounded(c, 4) for c in ("lower", "upper", "mean")})
+    return out.withColumns({c: rounded(c, 6) for c in ("lower", "upper", "mean")})
 
 
 @query("a24_density_grid", """

@@ -72,7 +72,7 @@ def j5_rings(spark, d):
 SELECT p.id, b.name FROM pts p JOIN boxes b ON p.lon >= b.x0 AND p.lon < b.x1 AND p.lat >= b.y0 AND p.lat < b.y1""",
        "pts boxes")
 def j6(spark, d):
-    return spatial.point_in_polygon(fx.pts(spark, d), fx.boxes(spark, d), cell=2.0).select("id", "name")
+    return spatial.point_in_polygon(fx.pts(spark, d), fx.boxes(spark, d)).select("id", "name")
 
 
 @query("j6_outside_claimed", f"""

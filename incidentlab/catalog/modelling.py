@@ -111,10 +111,12 @@ _ROW = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 _WEIGHTS = {"l_quantity": 1.5, "l_discount": -40.0, "l_tax": 25.0}
 
 
+def _rows(spark, d):
+    return fx.table(spark, d, "lineitem").withColumn("row", F.concat_ws("|", *[F.col(c).cast("string") for c in _ROW]))
+
+
 def _linear(spark, d):
-    li = fx.table(spark, d, "lineitem").withColumn(
-        "row", F.concat_ws("|", *[F.col(c).cast("string") for c in _ROW]))
-    return explain.linear_attributions(li, "row", _WEIGHTS, 10.0)
+    return explain.linear_attributions(_rows(spark, d), "row", _WEIGHTS, 10.0)
 
 
 _PHI = "WITH phi AS (" + " UNION ALL ".join(
@@ -151,7 +153,7 @@ SELECT row, side, CAST(row_number() OVER (PARTITION BY row, side ORDER BY abs(ph
 FROM (SELECT *, CASE WHEN phi > 0 THEN 'positive' ELSE 'negative' END AS side FROM phi WHERE phi <> 0)
 QUALIFY position <= 5""")
 def m11(spark, d):
-    return explain.local_drivers(_linear(spark, d), "row")
+    return explain.local_drivers(explain.linear_attribution_rows(_rows(spark, d), "row", _WEIGHTS, 10.0), "row")
 
 
 _UNIT_PHI = f"""WITH m AS (SELECT unit, avg(n) AS n, avg(loss) / 100000 AS loss, avg(month) AS month FROM unit_month GROUP BY unit),

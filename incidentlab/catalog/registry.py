@@ -51,4 +51,4 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
 
 def rnd(expression: str, digits: int = 6) -> str:
     """SQL rounding as :func:`incidentlab.functions.scalar.rounded` does it, never a negative zero."""
-    return f"(round(round(CAST({expression} AS DOUBLE), {digits + 8}), {digits}) + CAST(0 AS DOUBLE))"
+    return f"(round(round(CAST({expression} AS DOUBLE), {digits + 5}), {digits}) + CAST(0 AS DOUBLE))"

@@ -146,7 +146,8 @@ WITH log AS (SELECT l_orderkey AS report_id, l_shipdate AS moment, l_linenumber
     l_partkey AS tie FROM lineitem),
 s AS (SELECT *, CASE event WHEN 'created' THEN 'pending' WHEN 'started' THEN 'processing' WHEN 'completed' THEN 'completed'
     WHEN 'failed' THEN 'failed' END AS state FROM log),
-last AS (SELECT report_id, state FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY moment DESC, seq DESC, state DESC) AS r FROM s WHERE state IS NOT NULL) WHERE r = 1)
+last AS (SELECT report_id, state FROM (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY moment DESC, seq DESC,
+    list_position(['pending', 'processing', 'failed', 'completed'], state) DESC) AS r FROM s WHERE state IS NOT NULL) WHERE r = 1)
 SELECT s.report_id, any_value(last.state) AS status, CAST(count(*) FILTER (WHERE event = 'failed') AS BIGINT) AS retry_count,
   CAST(count(*) FILTER (WHERE event = 'downloaded') AS BIGINT) AS download_count,
   strftime(min(moment) FILTER (WHERE event = 'created') + INTERVAL 7 DAY, '%Y-%m-%d') AS expires

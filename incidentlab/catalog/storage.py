@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.geo import cell_index
 from ..operators import clean, panel, reports, risk
+from ..operators.scale import settle
 from ..session import new_table_dir
 from ..sources import io, profile
 from ..functions.scalar import rounded
@@ -16,11 +17,11 @@ R = rnd
 
 
 def hot_cells(spark, d, top_n: int = 500):
-    """Ranked cells of the fixture points, resolution 6."""
+    """The hotspot ranking table of the fixture points, resolution 6 (at most ``top_n`` rows)."""
     celled = fx.pts(spark, d).withColumn("cell", cell_index("lat", "lon", 6))
-    cells = panel.cell_month_panel(celled)
-    return risk.hotspots(cells, "crime_count", ["cell", "year", "month"], top_n).withColumn(
-        "predicted_count", F.col("crime_count"))
+    cells = settle(panel.cell_month_panel(celled))
+    return settle(risk.hotspots(cells, "crime_count", ["cell", "year", "month"], top_n).withColumn(
+        "predicted_count", F.col("crime_count")))
 
 
 def scores(spark, d):
@@ -103,6 +104,16 @@ def s7(spark, d):
         p["rank"].cast("double").alias("rank"), F.size(F.col("coordinates")[0]).cast("long").alias("vertices"))
 
 
+@query("s7_read_feature_lines", f"""
+SELECT cell AS h3_cell, {R('raw_score', 2)} AS hotspot_score, CAST(hotspot_rank AS DOUBLE) AS rank FROM cell_hot""", "cell_hot")
+def s7_lines(spark, d):
+    path = new_table_dir(spark, "features")
+    io.export({"geojson": io.to_geojson(hot_cells(spark, d))}, "geojson", path)
+    p = F.col("properties")
+    return io.read_geojson(spark, path, lines=True).select(
+        p["h3_cell"].alias("h3_cell"), p["hotspot_score"].cast("double").alias("hotspot_score"), p["rank"].cast("double").alias("rank"))
+
+
 @query("s8_normalize_columns", f"""
 SELECT unit AS district, {R('raw_score', 2)} AS risk_score, priority_rank AS risk_rank, CAST(NULL AS VARCHAR) AS state,
        CASE WHEN month <> 5 THEN {R('p', 3)} END AS predicted_crime_count FROM score""", "score")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.geo import cell_index
 from ..operators import allocate, panel, risk, spatial, temporal
+from ..operators.scale import settle
 from ..plans import enrich
 from .joins import unit_year_chain
 from ..functions.scalar import rounded
@@ -87,7 +88,7 @@ _uy_query("w10_expected_growth", "expected_growth", "uy_feat", lambda df: tempor
 
 def _risk(spark, d):
     near = enrich.unit_year_neighbours(unit_year_chain(spark, d), fx.edges(spark, d), "n")
-    return risk.with_risk_index(near, "n", "rate_100k", "growth_rate", "neighbor_risk")
+    return settle(risk.with_risk_index(near, "n", "rate_100k", "growth_rate", "neighbor_risk"))
 
 
 @query("w11_risk_percentile", f"""

@@ -95,8 +95,8 @@ def boxes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Unit-months with a stand-in prediction ``p``."""
-    return unit_month(spark, folder).withColumn("p", F.col("loss") / 1000)
+    """Unit-months with a stand-in prediction ``p``, a table of its own."""
+    return settle(unit_month(spark, folder).withColumn("p", F.col("loss") / 1000))
 
 
 def ev(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,7 +31,7 @@ def rounded(value: Column | str, digits: int) -> Column:
     Arithmetic noise is taken off first: 0.89374999999999982 means 0.89375 and
     rounds to 0.8938.
     """
-    return F.round(F.round(col(value), digits + 8), digits)
+    return F.round(F.round(col(value), digits + 5), digits)
 
 
 def seasonal_columns(present: Sequence[str], cols: Columns = COLUMNS) -> dict[str, Column]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 EXPIRING_STATUSES = ("completed", "pending", "processing")
 EXPIRED = "expired"
 REPORT_DAYS = 7
+STAGES = ("pending", "processing", "failed", "completed")
 SEE_ALL = {"users": ("admin", "officer"), "reports": ("admin", "officer"), "audit": ("admin",)}
 # End of fixed values.
 
@@ -130,16 +131,18 @@ def upsert(target: DataFrame, changes: DataFrame, key: str, order: Sequence[str]
 def report_lifecycle(log: DataFrame) -> DataFrame:
     """F14. Current state of each report from its event log (report_id, seq, at, event).
 
-    Events: created, started, completed, failed, downloaded.
+    Events: created, started, completed, failed, downloaded. Of two events at
+    the same place in the log the later stage wins.
     """
     event = F.col("event")
     state = (
         F.when(event == "created", "pending").when(event == "started", "processing")
         .when(event.isin("completed", "failed"), event)
     )
+    stage = F.array_position(F.array(*map(F.lit, STAGES)), state)
     created = F.min(F.when(event == "created", F.col("at")))
     return log.groupBy("report_id").agg(
-        F.max_by(state, F.when(state.isNotNull(), F.struct("at", "seq"))).alias("status"),
+        F.max_by(state, F.when(state.isNotNull(), F.struct(F.col("at"), F.col("seq"), stage))).alias("status"),
         F.count_if(event == "failed").alias("retry_count"),
         F.count_if(event == "downloaded").alias("download_count"),
         created.alias("created_at"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import SETTINGS
 from ..functions.scalar import clamp
-from .scale import top_k_per_group
+from .scale import broadcast_if_small, top_k_per_group
 
 # Fixed values.
 SHARE_WEIGHTS = {"population": 0.55, "density": 0.20, "commercial": 0.15, "capital": 0.10}
@@ -21,17 +21,19 @@ def apportion(df: DataFrame, group: Sequence[str], key: str, total: str, share:
               name: str = "allocated") -> DataFrame:
     """W19. Whole numbers per member that add up to the group total.
 
-    Members in descending share (then key) get the rounded product; the last
-    takes what remains. ``df`` has one row per member of a group.
+    Each member gets its rounded product; the last in descending share (then
+    key) takes what the others leave. Per group only the sum and the last
+    member are worked out, as a partial aggregate, so a group may be any size.
+    ``key`` is unique in its group.
     """
-    order = Window.partitionBy(*group).orderBy(F.col(share).desc(), key)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.row_number().over(order) == F.count(F.lit(1)).over(Window.partitionBy(*group))
+    own = df.withColumn("_own", F.round(F.col(total) * F.col(share)).cast("long"))
+    last = F.max_by(F.struct(F.col(key).alias("key"), F.col("_own").alias("own")), F.struct(-F.col(share), F.col(key)))
+    per_group = own.groupBy(*group).agg(F.sum("_own").alias("_sum"), last.alias("_last"))
+    rest = F.col(total).cast("long") - (F.col("_sum") - F.col("_last.own"))
     return (
-        df.withColumn("_own", F.round(F.col(total) * F.col(share)).cast("long"))
-        .withColumn(name, F.when(last, F.col(total).cast("long") - F.coalesce(F.sum("_own").over(before), F.lit(0)))
-                    .otherwise(F.col("_own")))
-        .drop("_own")
+        own.join(broadcast_if_small(per_group), list(group))
+        .withColumn(name, F.when(F.col(key) == F.col("_last.key"), rest).otherwise(F.col("_own")))
+        .drop("_own", "_sum", "_last")
     )
 
 
@@ -39,16 +41,24 @@ def share_score(df: DataFrame, parent: Sequence[str], weights: Mapping[str, floa
                 name: str = "share") -> DataFrame:
     """W20. Weighted sum of each column's share within the parent, normalised to 1.
 
-    ``df`` has one row per member and a column per weight.
+    ``df`` has one row per member and a column per weight. Parent totals are
+    joined back, so a parent may have any number of members. A column whose
+    parent total is 0 adds nothing, to the score or to the sum of scores.
     """
-    w = Window.partitionBy(*parent)
-    part = lambda c: F.coalesce(F.try_divide(F.col(c).cast("double"), F.sum(c).over(w)), F.lit(0.0))
+    totals = df.groupBy(*parent).agg(*[F.sum(F.col(c).cast("double")).alias(f"_t_{c}") for c in weights])
+    part = lambda c: F.coalesce(
+        F.try_divide(F.col(c).cast("double"), F.nullif(F.col(f"_t_{c}"), F.lit(0.0))), F.lit(0.0))
     terms = [F.lit(weight) * part(c) for c, weight in weights.items()]
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return df.withColumn("_score", total).withColumn(
-        name, F.try_divide(F.col("_score"), F.sum("_score").over(w))).drop("_score")
+    filled = [F.when(F.coalesce(F.col(f"_t_{c}"), F.lit(0.0)) != 0, F.lit(w)).otherwise(F.lit(0.0)) for c, w in weights.items()]
+    score, whole = terms[0], filled[0]
+    for term, fill in zip(terms[1:], filled[1:]):
+        score, whole = score + term, whole + fill
+    # the shares of a column add up to 1 within its parent, so the scores add up to the weights in use
+    return (
+        df.join(broadcast_if_small(totals), list(parent))
+        .withColumn(name, F.try_divide(score, F.nullif(whole, F.lit(0.0))))
+        .drop(*[f"_t_{c}" for c in weights])
+    )
 
 
 def project_total(df: DataFrame, keys: Sequence[str], year: str, value: str, years: Sequence[int],

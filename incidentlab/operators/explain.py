@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import rounded
 from .clean import first_available
 from .models import PREDICTION
+from .scale import with_stats
 
 
 def _with_share(df: DataFrame, value: str) -> DataFrame:
@@ -19,7 +20,7 @@ def _with_share(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("importance_pct", rounded(F.try_divide(F.col(value) * 100, F.nullif(total, F.lit(0.0))), 2))
 
 
-def gain_importance(spark, model: PipelineModel, features: Sequence[str]) -> DataFrame:
+def gain_importance(spark: SparkSession, model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """M8. Importance of each feature in the boosted model, share of the total, descending."""
     gains = model.stages[-1].featureImportances.toArray()
     rows = [(name, float(gain)) for name, gain in zip(features, gains)]
@@ -33,23 +34,32 @@ def global_attribution(attributions: DataFrame) -> DataFrame:
     return _with_share(means, "mean_abs").orderBy(F.col("mean_abs").desc(), "feature")
 
 
-def _long(df: DataFrame, key: str, entries: Sequence[Column]) -> DataFrame:
-    return df.select(key, F.inline(F.array(*entries)))
-
-
-def linear_attributions(df: DataFrame, key: str, weights: Mapping[str, float], intercept: float = 0.0) -> DataFrame:
+def linear_attribution_rows(df: DataFrame, key: str, weights: Mapping[str, float], intercept: float = 0.0) -> DataFrame:
     """M10 (a). Exact contributions of a linear model: phi = w * (x - mean x).
 
-    (key, feature, value, phi, base): base plus a row's phi is its prediction.
+    One row per input row: (key, entries), an array of (feature, value, phi,
+    base); base plus a row's phi is its prediction.
     """
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in weights]).alias("m")).scalar()
+    df = with_stats(df, "_means", df.agg(*[F.avg(c).alias(c) for c in weights]))
+    means = F.col("_means")
     base = F.lit(float(intercept))
     for c, w in weights.items():
         base = base + F.lit(float(w)) * means[c]
     entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"),
                         (F.lit(float(w)) * (F.col(c) - means[c])).alias("phi"), base.alias("base"))
                for c, w in weights.items()]
-    return _long(df, key, entries)
+    return df.select(key, F.array(*entries).alias("entries"))
+
+
+def linear_attributions(df: DataFrame, key: str, weights: Mapping[str, float], intercept: float = 0.0) -> DataFrame:
+    """M10 (a), long form: one row per (key, feature)."""
+    return linear_attribution_rows(df, key, weights, intercept).select(key, F.inline("entries"))
+
+
+def gathered(attributions: DataFrame, key: str) -> DataFrame:
+    """Long attributions as one row per key; an array holds one entry per feature."""
+    entry = F.struct(*[c for c in attributions.columns if c != key])
+    return attributions.groupBy(key).agg(F.collect_list(entry).alias("entries"))
 
 
 def sampled_attributions(df: DataFrame, background: DataFrame, model: PipelineModel, features: Sequence[str], key: str,
@@ -97,18 +107,21 @@ def sampled_attributions(df: DataFrame, background: DataFrame, model: PipelineMo
     )
 
 
-def local_drivers(attributions: DataFrame, key: str, n: int = 5) -> DataFrame:
+def local_drivers(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
     """M11. The ``n`` strongest positive and negative features of each row, four decimals.
 
-    A window group is one row's features.
+    ``rows`` has (key, entries); the entries are sorted inside their row, so
+    nothing is shuffled.
     """
-    side = F.when(F.col("phi") > 0, "positive").when(F.col("phi") < 0, "negative")
-    w = Window.partitionBy(key, "side").orderBy(F.abs("phi").desc(), "feature")
-    return (
-        attributions.withColumn("side", side).filter(F.col("side").isNotNull())
-        .withColumn("position", F.row_number().over(w)).filter(F.col("position") <= n)
-        .select(key, "side", "position", "feature", rounded("phi", 4).alias("phi"), rounded("value", 4).alias("value"))
-    )
+    def strongest(side: str, positive: bool) -> Column:
+        kept = F.filter("entries", lambda e: e["phi"] > 0 if positive else e["phi"] < 0)
+        by_size = F.array_sort(F.transform(kept, lambda e: F.struct(
+            (-F.abs(e["phi"])).alias("size"), e["feature"].alias("feature"), e["phi"].alias("phi"), e["value"].alias("value"))))
+        return F.transform(F.slice(by_size, 1, n), lambda e, i: F.struct(
+            F.lit(side).alias("side"), (i + 1).alias("position"), e["feature"].alias("feature"),
+            rounded(e["phi"], 4).alias("phi"), rounded(e["value"], 4).alias("value")))
+
+    return rows.select(key, F.inline(F.concat(strongest("positive", True), strongest("negative", False))))
 
 
 def unit_drivers(attributions: DataFrame, unit: str, name: str, overall: DataFrame, n: int = 10) -> DataFrame:

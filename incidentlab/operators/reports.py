@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, SETTINGS, Columns
 from ..functions.scalar import col, month_name, rounded
-from .scale import global_row_number
+from .scale import global_row_number, with_stats
 
 # Fixed values.
 TREND_LIMIT_PCT = 5.0
@@ -158,19 +158,19 @@ def dashboard_metrics(df: DataFrame, scores: DataFrame, cells: DataFrame, target
         F.sum(target).alias("_s"), F.count(target).alias("_c"), F.count(F.lit(1)).alias("_n"))
     by_category = grouped.filter(F.col(cols.category).isNotNull()).groupBy(cols.category).agg(F.sum("_n").alias("_n"))
     top = by_category.agg(F.min_by(cols.category, F.struct(-F.col("_n"), F.col(cols.category)))).scalar()
-    best = scores.agg(F.struct(
-        F.min_by(cols.unit, F.struct(-F.col(score), F.col(cols.unit))).alias("unit"),
-        rounded(F.max(score), 2).alias("score")).alias("s")).scalar()
-    hot = cells.agg(F.struct(F.count(F.lit(1)).alias("n"), rounded(F.avg(score), 2).alias("mean")).alias("s")).scalar()
-    return grouped.agg(
+    best = scores.agg(F.min_by(cols.unit, F.struct(-F.col(score), F.col(cols.unit))).alias("unit"),
+                      rounded(F.max(score), 2).alias("score"))
+    hot = cells.agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(score), 2).alias("mean"))
+    metrics = grouped.agg(
         rounded(F.sum("_s"), 2).alias("total_count"), rounded(F.sum("_s") / F.sum("_c"), 2).alias("avg_count"),
         F.countDistinct(cols.unit).alias("total_units"),
         F.array_sort(F.collect_set(cols.year)).alias("years_covered"),
         F.countDistinct(cols.category).alias("categories"),
-    ).withColumns({
-        "top_unit": best["unit"], "top_score": best["score"], "hotspot_count": hot["n"],
-        "avg_hotspot_score": hot["mean"], "top_category": top,
-    })
+    )
+    return with_stats(with_stats(metrics, "_best", best), "_hot", hot).withColumns({
+        "top_unit": F.col("_best.unit"), "top_score": F.col("_best.score"), "hotspot_count": F.col("_hot.n"),
+        "avg_hotspot_score": F.col("_hot.mean"), "top_category": top,
+    }).drop("_best", "_hot")
 
 
 def year_month_series(df: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFrame:
@@ -237,23 +237,27 @@ def bin_of(value: Column | str, low: Column, high: Column, bins: int) -> Column:
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """A23. Count per equal-width bin with its edges and the overall mean; empty bins are kept."""
-    s = df.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"),
-                        F.avg(value).alias("mean")).alias("s")).scalar()
-    counts = df.select(bin_of(value, s["lo"], s["hi"], bins).alias("bin")).filter(F.col("bin").isNotNull()).groupBy(
-        "bin").agg(F.count(F.lit(1)).alias("n"))
-    width = (s["hi"] - s["lo"]) / bins
+    stats = df.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.avg(value).alias("mean"))
+    low, high = F.col("_s.lo"), F.col("_s.hi")
+    counts = (
+        with_stats(df.select(value), "_s", stats).select(bin_of(value, low, high, bins).alias("bin"))
+        .filter(F.col("bin").isNotNull()).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    )
     all_bins = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    return all_bins.join(counts, "bin", "left").select(
-        "bin", F.coalesce("n", F.lit(0)).alias("n"), (s["lo"] + width * (F.col("bin") - 1)).alias("lower"),
-        (s["lo"] + width * F.col("bin")).alias("upper"), s["mean"].alias("mean"))
+    width = (high - low) / bins
+    return with_stats(all_bins.join(counts, "bin", "left"), "_s", stats).select(
+        "bin", F.coalesce("n", F.lit(0)).alias("n"), (low + width * (F.col("bin") - 1)).alias("lower"),
+        (low + width * F.col("bin")).alias("upper"), F.col("_s.mean").alias("mean"))
 
 
 def density_grid(df: DataFrame, bins: int = 80, cols: Columns = COLUMNS) -> DataFrame:
     """A24. Points per cell of a ``bins`` x ``bins`` grid over the bounding box; empty cells are left out."""
-    s = df.agg(F.struct(*[f(c).cast("double").alias(n) for c, f, n in (
-        (cols.lat, F.min, "a0"), (cols.lat, F.max, "a1"), (cols.lon, F.min, "o0"), (cols.lon, F.max, "o1"))]).alias("s")).scalar()
+    stats = df.agg(*[f(c).cast("double").alias(n) for c, f, n in (
+        (cols.lat, F.min, "a0"), (cols.lat, F.max, "a1"), (cols.lon, F.min, "o0"), (cols.lon, F.max, "o1"))])
     return (
-        df.select(bin_of(cols.lat, s["a0"], s["a1"], bins).alias("by"), bin_of(cols.lon, s["o0"], s["o1"], bins).alias("bx"))
+        with_stats(df.select(cols.lat, cols.lon), "_s", stats)
+        .select(bin_of(cols.lat, F.col("_s.a0"), F.col("_s.a1"), bins).alias("by"),
+                bin_of(cols.lon, F.col("_s.o0"), F.col("_s.o1"), bins).alias("bx"))
         .filter(F.col("bx").isNotNull() & F.col("by").isNotNull())
         .groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -291,10 +295,10 @@ def fit_error(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()
 
 def residuals(df: DataFrame, keys: Sequence[str], actual: str, predicted: str) -> DataFrame:
     """A30. Actual minus predicted per row, with the limits of the diagonal."""
-    s = df.agg(F.struct(F.least(F.min(actual), F.min(predicted)).alias("lo"),
-                        F.greatest(F.max(actual), F.max(predicted)).alias("hi")).alias("s")).scalar()
-    return df.select(*keys, F.col(predicted).alias("predicted"), (F.col(actual) - F.col(predicted)).alias("residual"),
-                     s["lo"].alias("axis_min"), s["hi"].alias("axis_max"))
+    limits = df.agg(F.least(F.min(actual), F.min(predicted)).alias("lo"), F.greatest(F.max(actual), F.max(predicted)).alias("hi"))
+    return with_stats(df, "_s", limits).select(
+        *keys, F.col(predicted).alias("predicted"), (F.col(actual) - F.col(predicted)).alias("residual"),
+        F.col("_s.lo").alias("axis_min"), F.col("_s.hi").alias("axis_max"))
 
 
 # --- ranked lists ------------------------------------------------------------

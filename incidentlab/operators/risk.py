@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, SETTINGS, Columns
 from ..functions.scalar import clamp, col, lookup_map, rounded
-from .scale import exact_medians, global_row_number, settle
+from .scale import exact_medians, global_row_number, settle, with_stats
 
 # Fixed values.
 INDEX_WEIGHTS = {"rate": 0.5, "growth": 0.3, "neighbor": 0.2}
@@ -25,14 +25,14 @@ URBAN_FACTOR, RURAL_FACTOR = 1.2, 0.6
 def with_risk_index(df: DataFrame, count: str, rate: str, growth: str, neighbor: str,
                     name: str = "risk_index") -> DataFrame:
     """F4. Weighted rate, growth and neighbour terms, cut to 0..1, four decimals."""
-    top = df.agg(F.max(count).cast("double")).scalar()
-    scale = F.when(F.coalesce(top, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(top)
+    df = with_stats(df, "_stats", df.agg(F.max(count).cast("double").alias("top")))
+    scale = F.when(F.coalesce("_stats.top", F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.col("_stats.top"))
     rate_term = F.least(F.coalesce(F.col(rate), F.col(count) / COUNT_SCALE) / RATE_SCALE, F.lit(1.0))
     growth_term = F.greatest(clamp(growth, *GROWTH_LIMITS), F.lit(0.0))
     neighbor_term = F.coalesce(F.col(neighbor), F.lit(0.0)) / scale
     w = INDEX_WEIGHTS
     total = w["rate"] * rate_term + w["growth"] * growth_term + w["neighbor"] * neighbor_term
-    return df.withColumn(name, rounded(clamp(total, 0, 1), 4))
+    return df.withColumn(name, rounded(clamp(total, 0, 1), 4)).drop("_stats")
 
 
 def rank_within_year(df: DataFrame, value: str = "risk_index", cols: Columns = COLUMNS) -> DataFrame:
@@ -59,10 +59,11 @@ def with_trend_score(df: DataFrame, value: str = "trend_3y", cols: Columns = COL
     The limits of all years travel as one small map (one entry per year).
     """
     limits = df.groupBy(cols.year).agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("m"))
-    by_year = limits.agg(F.map_from_entries(F.collect_list(F.struct(cols.year, "m")))).scalar()
-    own = F.element_at(by_year, F.col(cols.year))
+    by_year = limits.agg(F.map_from_entries(F.collect_list(F.struct(cols.year, "m"))).alias("limits"))
+    own = F.element_at(F.col("_stats.limits"), F.col(cols.year))
     scaled = F.try_divide(F.col(value) - own["lo"], F.nullif(own["hi"] - own["lo"], F.lit(0.0)))
-    return df.withColumn("trend_score", rounded(F.coalesce(scaled, F.lit(0.0)), 4))
+    df = with_stats(df, "_stats", by_year)
+    return df.withColumn("trend_score", rounded(F.coalesce(scaled, F.lit(0.0)), 4)).drop("_stats")
 
 
 def with_anomaly_score(df: DataFrame, growth: str = "growth_rate", cols: Columns = COLUMNS) -> DataFrame:
@@ -76,25 +77,26 @@ def with_anomaly_score(df: DataFrame, growth: str = "growth_rate", cols: Columns
 # --- scores over predictions -------------------------------------------------
 
 
-def _scaled(df: DataFrame, prediction: str) -> Column:
-    s = df.agg(F.struct(F.min(prediction).alias("lo"), F.max(prediction).alias("hi")).alias("s")).scalar()
-    share = F.try_divide(F.col(prediction) - s["lo"], F.nullif(s["hi"] - s["lo"], F.lit(0.0)))
-    return F.coalesce(share * 100, F.lit(0.0))
+def _with_score(df: DataFrame, prediction: str) -> DataFrame:
+    df = with_stats(df, "_stats", df.agg(F.min(prediction).alias("lo"), F.max(prediction).alias("hi")))
+    low, high = F.col("_stats.lo"), F.col("_stats.hi")
+    share = F.try_divide(F.col(prediction) - low, F.nullif(high - low, F.lit(0.0)))
+    return df.withColumn("risk_score", rounded(F.coalesce(share * 100, F.lit(0.0)), 2)).drop("_stats")
 
 
 def score_0_100(df: DataFrame, prediction: str, keys: Sequence[str], rank: str = "priority_rank") -> DataFrame:
     """W16. Min-max score with two decimals and rank 1..n, ties broken by ``keys``."""
-    scored = df.withColumn("risk_score", rounded(_scaled(df, prediction), 2))
+    scored = _with_score(df, prediction)
     return global_row_number(scored, [F.col(prediction).desc(), *[F.col(k).asc() for k in keys]], rank)
 
 
 def with_confidence(df: DataFrame, prediction: str, exact_rows: int = 1_000_000) -> DataFrame:
     """W17. 1 at the median prediction, falling to 0 three deviations away."""
     median = exact_medians(df, [prediction], exact_rows)[prediction]
-    s = df.agg(F.struct(F.stddev_pop(prediction).alias("sd"), F.count(prediction).alias("n")).alias("s")).scalar()
-    sd = F.when(s["n"] > 1, s["sd"]).otherwise(F.lit(1.0))
+    df = with_stats(df, "_stats", df.agg(F.stddev_pop(prediction).alias("sd"), F.count(prediction).alias("n")))
+    sd = F.when(F.col("_stats.n") > 1, F.col("_stats.sd")).otherwise(F.lit(1.0))
     off = F.abs(F.col(prediction) - F.lit(median)) / (sd * 3 + F.lit(1e-6))
-    return df.withColumn("confidence", rounded(clamp(1 - off, 0, 1), 4))
+    return df.withColumn("confidence", rounded(clamp(1 - off, 0, 1), 4)).drop("_stats")
 
 
 def risk_scores(df: DataFrame, prediction: str, keys: Sequence[str]) -> DataFrame:
@@ -105,7 +107,7 @@ def risk_scores(df: DataFrame, prediction: str, keys: Sequence[str]) -> DataFram
 
 def hotspots(df: DataFrame, prediction: str, keys: Sequence[str], top_n: int = SETTINGS.top_hotspots) -> DataFrame:
     """W18. The ``top_n`` cells by prediction with score and rank; a bounded top-k, no full sort."""
-    scored = df.withColumn("risk_score", rounded(_scaled(df, prediction), 2))
+    scored = _with_score(df, prediction)
     order = [F.col(prediction).desc(), *[F.col(k).asc() for k in keys]]
     return scored.orderBy(*order).limit(top_n).withColumn(
         "hotspot_rank", F.row_number().over(Window.orderBy(*order)))

@@ -18,6 +18,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def with_stats(df: DataFrame, name: str, stats: DataFrame) -> DataFrame:
+    """``df`` with the one row of ``stats`` as a struct column.
+
+    The row is a scalar subquery: worked out once, sent as a value, no join.
+    """
+    return df.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when a bounded count proves it small.
 
@@ -57,11 +65,12 @@ def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str) -
 
 
 def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], k: int, name: str,
-                    salt_on: str, salts: int = 64) -> DataFrame:
+                    salt_on: str, salts: int = 256) -> DataFrame:
     """First ``k`` rows of each group in ``order``; a hot group is cut per salt first.
 
     Each of the ``salts`` parts of a group can hold at most ``k`` winners, so
     the final window sees ``k * salts`` rows of a group however large it is.
+    Spark cuts both windows to ``k`` rows before their exchange as well.
     """
     part = F.pmod(F.xxhash64(salt_on), F.lit(salts))
     first = Window.partitionBy(*keys, "_salt").orderBy(*order)

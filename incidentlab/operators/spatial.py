@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..columns import COLUMNS, Columns
 from ..functions.geo import ring_bounds, ring_contains, ring_distance
 from ..functions.scalar import col
-from .scale import broadcast_if_small
+from .scale import broadcast_if_small, with_stats
 
 
 def _neighbour_mean(unit_year: DataFrame, edges: DataFrame, value: str, name: str, cols: Columns) -> DataFrame:
@@ -34,9 +34,9 @@ def spatial_lag(unit_year: DataFrame, edges: DataFrame, rate: str, cols: Columns
 
 def with_z_score(df: DataFrame, value: Column | str, name: str = "z") -> DataFrame:
     """W15. Standard score over the whole table; a constant column gives 0."""
-    stats = df.agg(F.struct(F.avg(col(value)).alias("mean"), F.stddev_samp(col(value)).alias("sd")).alias("s")).scalar()
-    spread = F.when(stats["sd"] == 0, F.lit(1.0)).otherwise(stats["sd"])
-    return df.withColumn(name, (col(value) - stats["mean"]) / spread)
+    df = with_stats(df, "_stats", df.agg(F.avg(col(value)).alias("mean"), F.stddev_samp(col(value)).alias("sd")))
+    spread = F.when(F.col("_stats.sd") == 0, F.lit(1.0)).otherwise(F.col("_stats.sd"))
+    return df.withColumn(name, (col(value) - F.col("_stats.mean")) / spread).drop("_stats")
 
 
 def local_moran_proxy(unit_year: DataFrame, edges: DataFrame, rate: str, count: str, cols: Columns = COLUMNS,
@@ -78,27 +78,41 @@ def _rings_meet(a: Column, b: Column, reach: float) -> Column:
     return near(a, b) | near(b, a) | crosses
 
 
-def adjacency(polys: DataFrame, tol: float, cell: float | None = None, exact: bool = False) -> DataFrame:
+def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
     """J5. Edges (src, dst), both ways, of shapes that meet when each grows by ``tol``.
 
-    Candidates share a grid bucket (bucket side: the mean box side unless
-    given), then pass the bounding-box test, and with ``exact`` the ring test.
+    Each shape lives on the grid of its own size class (bucket side: the power
+    of two above its grown box, so it touches at most nine buckets) and looks
+    for others there and on all coarser grids. Candidates thus are near a shape
+    of at least their own size, however the shapes crowd. They then pass the
+    bounding-box test, and with ``exact`` the ring test.
     """
-    if cell is None:
-        b = ring_bounds("ring")
-        side = polys.agg(F.avg(F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]))).first()[0]
-        cell = max(float(side or 1.0), 1e-6)
-    keep = ["name", "ring", "x_min", "x_max", "y_min", "y_max", "_bx", "_by"]
-    left = _with_buckets(polys, cell, tol).select(keep)
-    a, b = left.alias("a"), left.alias("b")
+    b = ring_bounds("ring")
+    side = F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]) + F.lit(2 * tol)
+    size = F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int")
+    shapes = polys.withColumns({**b, "_size": size}).select("name", "ring", *b, "_size")
+    coarsest = shapes.agg(F.max("_size")).scalar()
+
+    def at_level(level: Column | str) -> DataFrame:
+        step = F.pow(F.lit(2.0), F.col("_level"))
+        bucket = lambda c, d: F.floor((F.col(c) + d) / step)
+        return (
+            shapes.withColumn("_level", level)
+            .withColumn("_bx", F.explode(F.sequence(bucket("x_min", -tol), bucket("x_max", tol))))
+            .withColumn("_by", F.explode(F.sequence(bucket("y_min", -tol), bucket("y_max", tol))))
+        )
+
+    home = at_level(F.col("_size")).alias("a")
+    visit = at_level(F.explode(F.sequence(F.col("_size"), coarsest))).alias("b")
     reach = 2 * tol
+    same_bucket = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_level", "_bx", "_by")]
+    once = (F.col("b._size") < F.col("a._size")) | (
+        (F.col("b._size") == F.col("a._size")) & (F.col("a.name") < F.col("b.name")))
     boxes_meet = (
         (F.col("a.x_min") - F.col("b.x_max") <= reach) & (F.col("b.x_min") - F.col("a.x_max") <= reach)
         & (F.col("a.y_min") - F.col("b.y_max") <= reach) & (F.col("b.y_min") - F.col("a.y_max") <= reach)
     )
-    pairs = a.join(
-        b, (F.col("a._bx") == F.col("b._bx")) & (F.col("a._by") == F.col("b._by")) & (F.col("a.name") < F.col("b.name"))
-        & boxes_meet)
+    pairs = home.join(visit, [*same_bucket, once, boxes_meet])
     if exact:
         pairs = pairs.filter(_rings_meet(F.col("a.ring"), F.col("b.ring"), reach))
     one_way = pairs.select(F.col("a.name").alias("src"), F.col("b.name").alias("dst")).distinct()
@@ -111,13 +125,18 @@ def _inside(ring: Column, x: Column, y: Column, tol: float) -> Column:
     return hit | (ring_distance(ring, x, y) <= tol) if tol > 0 else hit
 
 
-def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cell: float = 1.0,
+def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cell: float | None = None,
                      cols: Columns = COLUMNS) -> DataFrame:
     """J6. Points with the ``name`` of each polygon holding them (within ``tol``); points outside all drop out.
 
     An equi-join on grid buckets feeds the ring test, so a point meets only the
-    polygons of its own bucket.
+    polygons of its own bucket. The bucket side is the mean box side of the
+    polygons unless given.
     """
+    if cell is None:
+        b = ring_bounds("ring")
+        mean = polys.agg(F.avg(F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]))).first()[0]
+        cell = max(float(mean or 1.0), 1e-6)
     x, y = F.col(cols.lon), F.col(cols.lat)
     covers = _with_buckets(polys, cell, tol).select("name", "ring", "_bx", "_by")
     located = points.withColumns({"_bx": F.floor(x / F.lit(cell)), "_by": F.floor(y / F.lit(cell))})

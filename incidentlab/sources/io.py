@@ -117,17 +117,25 @@ def feature_collection(df: DataFrame, top_n: int = SETTINGS.top_hotspots, rank:
     )).alias("document"))
 
 
+FEATURE_SCHEMA = "type string, geometry string, properties map<string,string>"
 GEOJSON_SCHEMA = "type string, features array<struct<type:string, geometry:string, properties:map<string,string>>>"
 
 
-def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str] | None = None) -> DataFrame:
+def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str] | None = None,
+                 lines: bool = False) -> DataFrame:
     """S7. One row per feature of the FeatureCollections at ``path``; property names renamed.
 
-    A document without a feature list gives no rows.
+    A document without a feature list gives no rows. With ``lines`` each line
+    holds one Feature (as :func:`to_geojson` writes them), which splits over
+    tasks at any size.
     """
     renames = dict(GEOJSON_NAMES if names is None else names)
-    docs = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path)
-    return docs.select(F.explode("features").alias("f")).select(
+    if lines:
+        features = spark.read.schema(FEATURE_SCHEMA).json(path).select(F.struct("type", "geometry", "properties").alias("f"))
+    else:
+        docs = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path)
+        features = docs.select(F.explode("features").alias("f"))
+    return features.select(
         "f.type", F.get_json_object("f.geometry", "$.type").alias("geometry_type"),
         F.from_json(F.get_json_object("f.geometry", "$.coordinates"), "array<array<array<double>>>").alias("coordinates"),
         _renamed(F.coalesce(F.col("f.properties"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), renames)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..columns import COLUMNS, SETTINGS, Columns
-from ..sources.profile import is_numeric, null_shares
+from ..sources.profile import is_numeric, null_shares, value_counts
 from .scale import exact_medians
 
 # Identifiers and labels that are never model features.
@@ -39,16 +39,29 @@ def drop_sparse(df: DataFrame, share: float = 0.5) -> DataFrame:
     return df.drop(*[c for c, s in null_shares(df).items() if s > share])
 
 
-def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """C3. Exact median of the non-null values into numeric columns that have gaps."""
-    shares = null_shares(df)
-    wanted = columns if columns is not None else [f.name for f in df.schema.fields if is_numeric(f.dataType)]
-    gaps = [c for c in wanted if shares[c] > 0]
-    medians = exact_medians(df, gaps)
+def _fill_medians(df: DataFrame, gaps: Sequence[str], counts: Mapping[str, int]) -> DataFrame:
+    medians = exact_medians(df, gaps, sizes=counts)
     fills = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in gaps if medians[c] is not None}
     return df.withColumns(fills) if fills else df
 
 
+def _of_kind(df: DataFrame, fits: Callable[[T.DataType], bool]) -> list[str]:
+    return [f.name for f in df.schema.fields if fits(f.dataType)]
+
+
+def _is_text(kind: T.DataType) -> bool:
+    return isinstance(kind, T.StringType)
+
+
+def impute_median(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """C3. Exact median of the non-null values into numeric columns that have gaps."""
+    wanted = list(columns) if columns is not None else _of_kind(df, is_numeric)
+    if not wanted:
+        return df
+    rows, counts = value_counts(df.select(*wanted))
+    return _fill_medians(df, [c for c in wanted if counts[c] < rows], counts)
+
+
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """C4, statistics: (column, value) with the smallest of the most frequent values."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
@@ -60,14 +73,20 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.groupBy("column").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
 
 
+def _fill_modes(df: DataFrame, gaps: Sequence[str]) -> DataFrame:
+    if not gaps:
+        return df
+    found = {r["column"]: r["value"] for r in modes(df, gaps).collect()}  # one row per column
+    return df.fillna({c: found.get(c, UNKNOWN) for c in gaps})
+
+
 def impute_mode(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """C4. The mode into text columns, 'Unknown' where a column has no value at all."""
-    wanted = list(columns) if columns is not None else [
-        f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    """C4. The mode into text columns that have gaps, 'Unknown' where a column has no value at all."""
+    wanted = list(columns) if columns is not None else _of_kind(df, _is_text)
     if not wanted:
         return df
-    found = {r["column"]: r["value"] for r in modes(df, wanted).collect()}  # one row per column
-    return df.fillna({c: found.get(c, UNKNOWN) for c in wanted})
+    rows, counts = value_counts(df.select(*wanted))
+    return _fill_modes(df, [c for c in wanted if counts[c] < rows])
 
 
 def fill_bool_false(df: DataFrame) -> DataFrame:
@@ -76,9 +95,13 @@ def fill_bool_false(df: DataFrame) -> DataFrame:
     return df.fillna(False, subset=flags) if flags else df
 
 
-def handle_missing(df: DataFrame) -> DataFrame:
-    """C2-C5 in order."""
-    return fill_bool_false(impute_mode(impute_median(drop_sparse(df))))
+def handle_missing(df: DataFrame, share: float = 0.5) -> DataFrame:
+    """C2-C5 in order. One aggregate finds the gaps for all of them; columns without gaps are not read again."""
+    rows, counts = value_counts(df)
+    df = df.drop(*[c for c, n in counts.items() if rows and (rows - n) / rows > share])
+    gaps = {c for c in df.columns if counts[c] < rows}
+    df = _fill_medians(df, [c for c in _of_kind(df, is_numeric) if c in gaps], counts)
+    return fill_bool_false(_fill_modes(df, [c for c in _of_kind(df, _is_text) if c in gaps]))
 
 
 def valid_coordinates(df: DataFrame, cols: Columns = COLUMNS) -> DataFrame:

@@ -113,15 +113,17 @@ def local_drivers(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
     ``rows`` has (key, entries); the entries are sorted inside their row, so
     nothing is shuffled.
     """
+    by_size = F.array_sort(F.transform("entries", lambda e: F.struct(
+        (-F.abs(e["phi"])).alias("size"), e["feature"].alias("feature"), e["phi"].alias("phi"), e["value"].alias("value"))))
+
     def strongest(side: str, positive: bool) -> Column:
-        kept = F.filter("entries", lambda e: e["phi"] > 0 if positive else e["phi"] < 0)
-        by_size = F.array_sort(F.transform(kept, lambda e: F.struct(
-            (-F.abs(e["phi"])).alias("size"), e["feature"].alias("feature"), e["phi"].alias("phi"), e["value"].alias("value"))))
-        return F.transform(F.slice(by_size, 1, n), lambda e, i: F.struct(
+        kept = F.slice(F.filter("_sorted", lambda e: e["phi"] > 0 if positive else e["phi"] < 0), 1, n)
+        return F.transform(kept, lambda e, i: F.struct(
             F.lit(side).alias("side"), (i + 1).alias("position"), e["feature"].alias("feature"),
             rounded(e["phi"], 4).alias("phi"), rounded(e["value"], 4).alias("value")))
 
-    return rows.select(key, F.inline(F.concat(strongest("positive", True), strongest("negative", False))))
+    return rows.select(key, by_size.alias("_sorted")).select(
+        key, F.inline(F.concat(strongest("positive", True), strongest("negative", False))))
 
 
 def unit_drivers(attributions: DataFrame, unit: str, name: str, overall: DataFrame, n: int = 10) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_dir
 
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -26,13 +27,25 @@ def with_stats(df: DataFrame, name: str, stats: DataFrame) -> DataFrame:
     return df.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when a bounded count proves it small.
+def _row_bytes(schema: T.StructType) -> Column:
+    """Upper estimate of a row's size: 16 bytes per column plus the text of variable-size values."""
+    total = F.lit(16 * len(schema.fields))
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
+    return total
 
-    Beyond the bound the frame comes back unmarked: the join then shuffles and
-    adaptive execution splits hot keys.
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast when its measured size is within ``max_bytes``.
+
+    One aggregate measures it. Beyond the bound the frame comes back unmarked:
+    the join then shuffles and adaptive execution splits hot keys.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = df.agg(F.coalesce(F.sum(_row_bytes(df.schema).cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= max_bytes else df
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
@@ -85,17 +98,20 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], exact_rows: int = 1_000_000) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: Sequence[str], exact_rows: int = 1_000_000,
+                  sizes: Mapping[str, int] | None = None) -> dict[str, float | None]:
     """Exact median of each numeric column; only single values reach the driver.
 
     Up to ``exact_rows`` non-null rows, the built-in ``median`` is used (it
     holds the distinct values of a column in one task). Beyond, approximate
     percentiles bracket the middle ranks, the bracket is narrowed until few
-    distinct values can remain, and these are counted exactly.
+    distinct values can remain, and these are counted exactly. ``sizes`` are
+    the non-null counts where the caller has them already.
     """
     if not columns:
         return {}
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    if sizes is None:
+        sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
     small = [c for c in columns if sizes[c] <= exact_rows]
     large = [c for c in columns if sizes[c] > exact_rows]
     out: dict[str, float | None] = {}
@@ -106,11 +122,11 @@ def exact_medians(df: DataFrame, columns: Sequence[str], exact_rows: int = 1_000
     return out
 
 
-def _bracketed_medians(df: DataFrame, columns: list[str], sizes: dict[str, int], exact_rows: int) -> dict[str, float]:
+def _bracketed_medians(df: DataFrame, columns: list[str], sizes: Mapping[str, int], exact_rows: int) -> dict[str, float]:
     accuracy, margin = 10_000, 3e-4
     ranks = {c: ((sizes[c] + 1) // 2, sizes[c] // 2 + 1) for c in columns}
     state = {c: (None, None, 0, sizes[c]) for c in columns}  # low, high, rows below, rows inside
-    possible = float(max(sizes.values()))
+    possible = float(max(sizes[c] for c in columns))
 
     def inside(c: str) -> Column:
         low, high, _, _ = state[c]

@@ -20,11 +20,16 @@ def kind_of(kind: T.DataType) -> str:
     return "categorical" if isinstance(kind, T.StringType) else "other"
 
 
+def value_counts(df: DataFrame) -> tuple[int, dict[str, int]]:
+    """Rows, and non-null values per column, from one aggregate."""
+    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(df.columns)]).first()
+    return row["_rows"], {c: row[f"n_{i}"] for i, c in enumerate(df.columns)}
+
+
 def null_shares(df: DataFrame) -> dict[str, float]:
     """Null share per column (0 for an empty table)."""
-    row = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(df.columns)]).first()
-    rows = row["_rows"] or 1
-    return {c: (row["_rows"] - row[f"n_{i}"]) / rows for i, c in enumerate(df.columns)}
+    rows, counts = value_counts(df)
+    return {c: (rows - n) / (rows or 1) for c, n in counts.items()}
 
 
 def profile(df: DataFrame) -> DataFrame:

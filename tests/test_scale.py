@@ -65,7 +65,13 @@ def test_capped_sample_cuts_map_side(spark, data):
     assert text.count("WindowGroupLimit") == 4
 
 
+def test_long_values_count_towards_the_bound(spark):
+    wide = spark.range(3).select("id", F.repeat(F.lit("x"), 500).alias("text"), F.array_repeat(F.lit(1.5), 200).alias("ring"))
+    assert "broadcast" not in scale.broadcast_if_small(wide, 3000)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in scale.broadcast_if_small(wide, 5000)._jdf.queryExecution().logical().toString().lower()
+
+
 def test_broadcast_only_below_the_bound(spark):
     small, big = spark.range(10), spark.range(1000)
-    assert "broadcast" in scale.broadcast_if_small(small, 100)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in scale.broadcast_if_small(big, 100)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in scale.broadcast_if_small(small, 1000)._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" not in scale.broadcast_if_small(big, 1000)._jdf.queryExecution().logical().toString().lower()

@@ -155,6 +155,21 @@ def s9_categories(spark, d):
     return io.category_rows(documents, "doc", ["state"])
 
 
+@query("s9_report_trends", f"""
+WITH k AS (SELECT unit, n, row_number() OVER (PARTITION BY unit ORDER BY year, month) AS i, count(*) OVER (PARTITION BY unit) AS c FROM unit_month),
+t AS (SELECT unit, avg(n) FILTER (WHERE i > c - 3) AS r, avg(n) FILTER (WHERE i <= 3) AS e FROM k WHERE c >= 2 GROUP BY unit),
+p AS (SELECT unit, (r - e) / (e + 1) * 100 AS x FROM t)
+SELECT unit, CASE WHEN x > 5 THEN 'increasing' WHEN x < -5 THEN 'decreasing' ELSE 'stable' END AS direction, {R('x', 2)} AS change_pct FROM p""",
+       "unit_month")
+def s9_trends(spark, d):
+    """One report document of all unit trends per state, read back into rows."""
+    trends = reports.unit_trend(fx.unit_month(spark, d), "n")
+    states = fx.inc(spark, d).select("state", "unit").distinct()
+    entry = F.struct("unit", F.struct("direction", "change_pct").alias("v"))
+    documents = trends.join(states, "unit").groupBy("state").agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("crime_trends"))
+    return io.trend_rows(documents, "crime_trends").select("unit", "direction", "change_pct")
+
+
 @query("s10_report_payload", f"""
 SELECT priority_rank, unit, year, month, {R('raw_score', 2)} AS risk_score FROM score""", "score")
 def s10(spark, d):

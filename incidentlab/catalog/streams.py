@@ -16,7 +16,7 @@ _STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def _start(seconds: int) -> str:
-    return f"strftime(to_timestamp(CAST(floor(epoch(ts) / {seconds}) * {seconds} AS BIGINT)) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')"
+    return f"strftime(make_timestamp(CAST(floor(epoch(ts) / {seconds}) AS BIGINT) * {seconds}000000), '%Y-%m-%d %H:%M:%S')"
 
 
 def _stamped(df):
@@ -105,3 +105,11 @@ def r5_live(spark, d):
 def r5_stream(spark, d):
     latest = jobs.latest_by_key(_stream(spark, d), "user_id", "value", "ts", "event_id")
     return _texted(jobs.update_table(latest, ["user_id"], "latest"))
+
+
+@query("r5_live_entries_stream", f"""SELECT user_id, value, updated_at FROM ({_LATEST})
+WHERE epoch(TIMESTAMP '2024-01-30 00:00:00') - epoch(strptime(updated_at, '%Y-%m-%d %H:%M:%S')) <= 43200""", "ev")
+def r5_live_stream(spark, d):
+    windows = jobs.latest_in_windows(_stream(spark, d), "user_id", "value", "ts", "event_id", 43200)
+    latest = jobs.merge_latest(jobs.update_table(windows, ["window_start", "user_id"], "entries"), "user_id")
+    return _texted(jobs.live_entries(latest, F.lit("2024-01-30 00:00:00").cast("timestamp"), 43200))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,12 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. A private temporary
     folder is used only for a local master with that setting unset (tests).
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="incidentlab-")
+        named = tempfile.mkdtemp(prefix="incidentlab-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
@@ -49,6 +50,4 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_table_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder for one hand-over table."""
-    import uuid
-
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

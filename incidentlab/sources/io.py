@@ -182,6 +182,18 @@ def trend_rows(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFram
         *keys, F.col("key").alias("unit"), "value.direction", "value.change_pct")
 
 
+def influence_rows(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """S9. ``{"feature": {"correlation": r, "mean": m}, ...}`` as (feature, correlation, mean)."""
+    return json_map_rows(df, column, keys, "struct<correlation:double,mean:double>").select(
+        *keys, F.col("key").alias("feature"), "value.correlation", "value.mean")
+
+
+def ranking_rows(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+    """S9. ``[{"rank": 1, "district": ..., "score": ...}, ...]`` as (rank, district, score)."""
+    parsed = F.from_json(F.col(column), "array<struct<rank:int,district:string,score:double>>")
+    return df.select(*keys, F.inline(parsed))
+
+
 def export(payload: Mapping[str, DataFrame], fmt: str, path: str) -> None:
     """S11. A report payload as csv, json or geojson.
 

@@ -73,7 +73,7 @@ def changed_rankings(previous: DataFrame, current: DataFrame, key: str, columns:
     """R4. Rows new or changed between two snapshots, tagged with their channel."""
     old = previous.select(key, F.struct(*columns).alias("_old"))
     new = current.select(key, F.struct(*columns).alias("_new"))
-    changed = new.join(old, key, "full_outer").filter(F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("_old")))
+    changed = new.join(old, key, "left").filter(~F.col("_new").eqNullSafe(F.col("_old")))
     kind = F.when(F.col("_old").isNull(), "new").otherwise("changed")
     return changed.select(key, F.lit(channel).alias("channel"), kind.alias("change"), "_new.*")
 
@@ -84,6 +84,27 @@ def latest_by_key(events: DataFrame, key: str, value: str, ts: str, tie: str) ->
     return events.groupBy(key).agg(newest.alias("_v")).select(key, "_v.*")
 
 
+def latest_in_windows(events: DataFrame, key: str, value: str, ts: str, tie: str,
+                      ttl_seconds: int = SETTINGS.cache_ttl_seconds, late: str = "10 minutes") -> DataFrame:
+    """R5 for endless streams: newest value per key and window of the time to live.
+
+    State goes when the watermark passes a window, so it is bounded by the
+    keys of the last two windows; merge_latest makes one row per key of the
+    written rows.
+    """
+    newest = F.max_by(F.struct(F.col(value).alias("value"), F.col(ts).alias("updated_at"), F.col(tie).alias("tie")), F.struct(ts, tie))
+    return (
+        _bounded(events, ts, late).groupBy(F.window(ts, f"{ttl_seconds} seconds"), key).agg(newest.alias("_v"))
+        .select(F.col("window.start").alias("window_start"), key, "_v.*")
+    )
+
+
+def merge_latest(windows: DataFrame, key: str) -> DataFrame:
+    """R5. One newest row per key from the rows of latest_in_windows."""
+    newest = F.max_by(F.struct("value", "updated_at"), F.struct("updated_at", "tie"))
+    return windows.groupBy(key).agg(newest.alias("_v")).select(key, "_v.*")
+
+
 def live_entries(latest: DataFrame, as_of: Column, ttl_seconds: int = SETTINGS.cache_ttl_seconds) -> DataFrame:
     """R5. Entries not older than the time to live."""
     age = F.unix_timestamp(as_of) - F.unix_timestamp(F.col("updated_at").cast("timestamp"))

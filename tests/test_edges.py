@@ -348,3 +348,11 @@ def test_panel_takes_extra_means(spark):
     df = spark.createDataFrame([("s", "a", 1, 1, 2.0, 4.0), ("s", "a", 1, 1, 3.0, 6.0)], "state string, unit string, year int, month int, loss double, extra double")
     row = panel.unit_month_panel(df, extra_means=["extra"]).first()
     assert (row["loss"], row["extra"], row["quarter"]) == (5.0, 5.0, 1)
+
+
+def test_report_json_readers(spark):
+    df = spark.createDataFrame([('{"Near": {"correlation": 0.3, "mean": 5}}', '[{"rank": 1, "district": "a", "score": 9.5}]', "broken")],
+                               "influence string, ranks string, bad string")
+    assert [tuple(r) for r in io.influence_rows(df, "influence").collect()] == [("Near", 0.3, 5.0)]
+    assert [tuple(r) for r in io.ranking_rows(df, "ranks").collect()] == [(1, "a", 9.5)]
+    assert io.month_rows(df, "bad").count() == 0

@@ -140,6 +140,13 @@ def test_stream_in_many_batches_equals_batch(spark, data, tmp_path):
         map(tuple, jobs.latest_by_key(fx.ev(spark, data), "user_id", "value", "ts", "event_id").collect()))
 
 
+def test_windowed_latest_equals_latest(spark, data):
+    events = fx.ev(spark, data)
+    merged = jobs.merge_latest(jobs.latest_in_windows(events, "user_id", "value", "ts", "event_id", 3600), "user_id")
+    assert sorted(map(tuple, merged.collect())) == sorted(
+        map(tuple, jobs.latest_by_key(events, "user_id", "value", "ts", "event_id").collect()))
+
+
 def test_unlimited_paths_are_not_counted(spark):
     df = spark.createDataFrame([("/health", 1), ("/x", 1), ("/x", 1)], "path string, user_id int").withColumns(
         {"ts": F.lit("2024-01-01 00:00:01").cast("timestamp"), "forwarded": F.lit(None).cast("string"), "host": F.lit(None).cast("string")})

@@ -112,7 +112,8 @@ _WEIGHTS = {"l_quantity": 1.5, "l_discount": -40.0, "l_tax": 25.0}
 
 
 def _rows(spark, d):
-    return fx.table(spark, d, "lineitem").withColumn("row", F.concat_ws("|", *[F.col(c).cast("string") for c in _ROW]))
+    li = fx.table(spark, d, "lineitem").withColumn("day", F.col("l_shipdate").cast("date"))
+    return li.withColumn("row", F.concat_ws("|", *[F.col(c).cast("string") for c in (*_ROW, "day")]))
 
 
 def _linear(spark, d):
@@ -120,7 +121,7 @@ def _linear(spark, d):
 
 
 _PHI = "WITH phi AS (" + " UNION ALL ".join(
-    f"SELECT concat_ws('|', {', '.join(_ROW)}) AS row, '{c}' AS feature, {c} AS value, "
+    f"SELECT concat_ws('|', {', '.join(_ROW)}, CAST(l_shipdate AS DATE)) AS row, '{c}' AS feature, {c} AS value, "
     f"CAST({w} AS DOUBLE) * ({c} - (SELECT avg({c}) FROM lineitem)) AS phi FROM lineitem" for c, w in _WEIGHTS.items()) + ")"
 
 

@@ -50,5 +50,6 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
 
 
 def rnd(expression: str, digits: int = 6) -> str:
-    """SQL rounding as :func:`incidentlab.functions.scalar.rounded` does it, never a negative zero."""
-    return f"(round(round(CAST({expression} AS DOUBLE), {digits + 5}), {digits}) + CAST(0 AS DOUBLE))"
+    """SQL rounding as :func:`incidentlab.functions.scalar.rounded` does it: half-up on the decimal value."""
+    exact = f"TRY_CAST(CAST({expression} AS DOUBLE) AS DECIMAL(38, {digits + 5}))"
+    return f"CAST(round({exact}, {digits}) AS DOUBLE)"

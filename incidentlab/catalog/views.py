@@ -78,11 +78,11 @@ SELECT f.*, near.neighbor_risk, near.spatial_lag FROM uy_feat f LEFT JOIN
   ON f.unit = near.src AND f.year = near.year""")
 
 _view("uy_risk", "uy_near", """
-SELECT *, round(round(least(greatest(
+SELECT *, CAST(round(CAST(least(greatest(
     CAST(0.5 AS DOUBLE) * least(coalesce(rate_100k, n / CAST(1000 AS DOUBLE)) / CAST(50 AS DOUBLE), CAST(1 AS DOUBLE))
   + CAST(0.3 AS DOUBLE) * greatest(greatest(CAST(-0.5 AS DOUBLE), least(CAST(2 AS DOUBLE), growth_rate)), CAST(0 AS DOUBLE))
   + CAST(0.2 AS DOUBLE) * (coalesce(neighbor_risk, 0) / (SELECT CAST(max(n) AS DOUBLE) FROM unit_year)),
-  CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)), 9), 4) AS risk_index
+  CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS DECIMAL(38, 9)), 4) AS DOUBLE) AS risk_index
 FROM uy_near""")
 
 # --- panel features ---

@@ -45,7 +45,7 @@ CELL_BOOST = BoostSettings(depth=6)
 def build_risk_features(panel: DataFrame, target: str, cols: Columns = COLUMNS) -> DataFrame:
     """M1. Temporal features, flag ratios, neighbour density and rate on the unit-month panel."""
     df = temporal_features(panel, [cols.unit], target, cols)
-    return population_rate(pass_through_features(df), target)
+    return population_rate(pass_through_features(df), target, cols.population)
 
 
 def build_cell_features(points: DataFrame, resolution: int = SETTINGS.cell_resolution,

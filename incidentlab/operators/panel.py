@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, Columns
 
-# Columns averaged into the unit-month panel when the input has them.
-PANEL_MEANS = ("Risk_Index", "Crime_Rate_100k", "Is_Night", "Is_Weekend", "Is_Festival_Month", "Is_Office_Hour")
+# Columns averaged into the unit-month panel when the input has them, in any case.
+PANEL_MEANS = ("risk_index", "crime_rate_100k", "is_night", "is_weekend", "is_festival_month", "is_office_hour")
+# End of fixed values.
 
 
 def quarter_of(month: str | Column) -> Column:
@@ -26,11 +27,12 @@ def unit_month_panel(df: DataFrame, cols: Columns = COLUMNS, extra_means: Sequen
     on the order in which partial sums meet.
     """
     have = set(df.columns)
-    means = [c for c in (cols.lat, cols.lon, *PANEL_MEANS, *extra_means) if c in have]
+    wanted = {cols.lat.lower(), cols.lon.lower(), *PANEL_MEANS, *(c.lower() for c in extra_means)}
+    means = [c for c in df.columns if c.lower() in wanted]
     sums = [F.round(F.sum(cols.target), digits).alias(cols.target)] if cols.target in have else []
     if cols.weight in have:
         sums.append(F.sum(cols.weight).alias(cols.weight))
-    averages = [F.avg(F.col(c).cast("double")).alias(c) for c in dict.fromkeys(means)]
+    averages = [F.avg(F.col(c).cast("double")).alias(c) for c in means]
     return (
         df.groupBy(cols.unit, cols.state, *cols.time).agg(*sums, *averages)
         .withColumn(cols.quarter, quarter_of(cols.month))

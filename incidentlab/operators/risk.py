@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, SETTINGS, Columns
-from ..functions.scalar import clamp, col, lookup_map, rounded
+from ..functions.scalar import clamp, col, lookup_map, rate_100k_smoothed, rounded
 from .scale import exact_medians, global_row_number, settle, with_stats
 
 # Fixed values.
@@ -127,30 +127,36 @@ def density_proxies(df: DataFrame, tier: str, urban: str, profile: str, density:
     })
 
 
-# Panel column <- source columns, first one present wins.
+# Panel column <- source columns in any case, the first one present wins.
 PASS_THROUGH = {
-    "neighbor_density": ("neighbor_risk", "spatial_lag"),
+    "neighbor_density": ("neighbor_risk", "neighbor_district_risk", "spatial_lag"),
     "weekend_ratio": ("is_weekend",),
     "night_ratio": ("is_night",),
     "office_hour_ratio": ("is_office_hour",),
 }
+RATE_COLUMNS = ("rate_100k", "crime_rate_100k")
 # End of fixed values.
 
 
 def pass_through_features(df: DataFrame) -> DataFrame:
     """F6. Neighbour density and flag ratios copied from the first column present, else 0.0."""
-    def source(names: Sequence[str]) -> Column:
-        return next((F.col(n).cast("double") for n in names if n in df.columns), F.lit(0.0))
+    return df.withColumns({
+        name: F.lit(0.0) if found is None else F.col(found).cast("double")
+        for name, found in ((name, _first_named(df, sources)) for name, sources in PASS_THROUGH.items())})
+
 
-    return df.withColumns({name: source(names) for name, names in PASS_THROUGH.items()})
+def _first_named(df: DataFrame, names: Sequence[str]) -> str | None:
+    present = {c.lower(): c for c in df.columns}
+    return next((present[n] for n in names if n in present), None)
 
 
-def population_rate(df: DataFrame, target: str, rate: str = "rate_100k", population: str = "population") -> DataFrame:
+def population_rate(df: DataFrame, target: str, population: str = "population") -> DataFrame:
     """F3, panel form: an existing rate, else target per 100,000, else 0.0."""
-    if rate in df.columns:
+    rate = _first_named(df, RATE_COLUMNS)
+    if rate is not None:
         value = col(rate)
     elif population in df.columns and target in df.columns:
-        value = col(target) / (col(population) + F.lit(1e-6)) * 100000
+        value = rate_100k_smoothed(target, population)
     else:
         value = F.lit(0.0)
     return df.withColumn("population_rate", value)

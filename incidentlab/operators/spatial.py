@@ -50,16 +50,6 @@ def local_moran_proxy(unit_year: DataFrame, edges: DataFrame, rate: str, count:
 # --- shapes ------------------------------------------------------------------
 
 
-def _with_buckets(polys: DataFrame, cell: float, grow: float) -> DataFrame:
-    """One row per (polygon, grid bucket its grown bounding box touches)."""
-    at = lambda c, d: F.floor((F.col(c) + d) / F.lit(cell))
-    return (
-        polys.withColumns(ring_bounds("ring"))
-        .withColumn("_bx", F.explode(F.sequence(at("x_min", -grow), at("x_max", grow))))
-        .withColumn("_by", F.explode(F.sequence(at("y_min", -grow), at("y_max", grow))))
-    )
-
-
 def _rings_meet(a: Column, b: Column, reach: float) -> Column:
     """True when two rings come within ``reach`` of each other, cross, or one holds the other."""
     near = lambda ring, other: F.exists(ring, lambda p: (
@@ -125,24 +115,32 @@ def _inside(ring: Column, x: Column, y: Column, tol: float) -> Column:
     return hit | (ring_distance(ring, x, y) <= tol) if tol > 0 else hit
 
 
-def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cell: float | None = None,
-                     cols: Columns = COLUMNS) -> DataFrame:
+def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cols: Columns = COLUMNS) -> DataFrame:
     """J6. Points with the ``name`` of each polygon holding them (within ``tol``); points outside all drop out.
 
-    An equi-join on grid buckets feeds the ring test, so a point meets only the
-    polygons of its own bucket. The bucket side is the mean box side of the
-    polygons unless given.
+    An equi-join on grid buckets feeds the ring test. A polygon lives on the
+    grid of its size class (bucket side: the power of eight above its grown
+    box, so it touches at most nine buckets); a point looks on each grid in
+    use, which for shapes of like size is one.
     """
-    if cell is None:
-        b = ring_bounds("ring")
-        mean = polys.agg(F.avg(F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]))).first()[0]
-        cell = max(float(mean or 1.0), 1e-6)
     x, y = F.col(cols.lon), F.col(cols.lat)
-    covers = _with_buckets(polys, cell, tol).select("name", "ring", "_bx", "_by")
-    located = points.withColumns({"_bx": F.floor(x / F.lit(cell)), "_by": F.floor(y / F.lit(cell))})
+    b = ring_bounds("ring")
+    side = F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]) + F.lit(2 * tol)
+    size = F.ceil(F.log2(F.greatest(side, F.lit(1e-9))) / 3).cast("int")
+    shapes = polys.select("name", "ring").withColumns({**b, "_level": size})
+    levels = [r[0] for r in shapes.select("_level").distinct().collect()]  # a few powers of eight
+    step = F.pow(F.lit(8.0), F.col("_level"))
+    bucket = lambda c, d=0.0: F.floor((c + F.lit(d)) / step)
+    covers = (
+        shapes.withColumn("_bx", F.explode(F.sequence(bucket(F.col("x_min"), -tol), bucket(F.col("x_max"), tol))))
+        .withColumn("_by", F.explode(F.sequence(bucket(F.col("y_min"), -tol), bucket(F.col("y_max"), tol))))
+        .select("name", "ring", "_level", "_bx", "_by")
+    )
+    grids = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
+    located = points.withColumn("_level", grids).withColumns({"_bx": bucket(x), "_by": bucket(y)})
     return (
-        located.join(broadcast_if_small(covers), ["_bx", "_by"])
-        .filter(_inside(F.col("ring"), x, y, tol)).drop("_bx", "_by", "ring")
+        located.join(broadcast_if_small(covers), ["_level", "_bx", "_by"])
+        .filter(_inside(F.col("ring"), x, y, tol)).drop("_level", "_bx", "_by", "ring")
     )
 
 

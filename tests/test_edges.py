@@ -196,6 +196,32 @@ def test_point_in_polygon_equals_brute_force(spark):
     assert got == {(i, n) for i, x, y in points for n, r in RINGS.items() if brute_contains(r, x, y)}
 
 
+def test_point_in_polygon_with_shapes_of_all_sizes(spark):
+    shapes = {f"s{i}": [(i * 0.7, 0.1 * i), (i * 0.7 + w, 0.1 * i), (i * 0.7 + w, 0.1 * i + w), (i * 0.7, 0.1 * i + w), (i * 0.7, 0.1 * i)]
+              for i, w in enumerate((0.01, 0.2, 3.0, 40.0, 500.0))}
+    points = [(i, (i * 37 % 500) / 100 + 0.0013, (i * 53 % 400) / 100 + 0.0017) for i in range(400)]
+    df = spark.createDataFrame(points, "id int, lon double, lat double")
+    got = {(r["id"], r["name"]) for r in spatial.point_in_polygon(df, rings(spark, shapes)).collect()}
+    assert got == {(i, n) for i, x, y in points for n, r in shapes.items() if brute_contains(r, x, y)}
+    assert spatial.point_in_polygon(df, rings(spark, shapes).limit(0)).count() == 0
+
+
+def test_exchange_names_flow_through_panel_and_features(spark):
+    from incidentlab.sources.schema import INCIDENT_COLUMNS as names, incident_schema
+
+    base = {f.name: None for f in incident_schema().fields}
+    rows = [{**base, "Incident_ID": str(i), "District": "d", "State": "s", "Year": 2021 + i // 12, "Month": i % 12 + 1,
+             "Crime_Count_District": 10 + i, "Sample_Weight": 1.0, "Is_Weekend": i % 2 == 0, "Crime_Rate_100k": 2.0,
+             "Neighbor_District_Risk": 7.0} for i in range(14)]
+    df = spark.createDataFrame([tuple(r[f.name] for f in incident_schema().fields) for r in rows], incident_schema())
+    panel_rows = panel.unit_month_panel(df, names, extra_means=["Neighbor_District_Risk"])
+    out = models.build_risk_features(panel_rows, "Crime_Count_District", names).orderBy("Year", "Month").collect()
+    assert len(incident_schema().fields) == 56
+    assert [r["weekend_ratio"] for r in out[:2]] == [1.0, 0.0]
+    assert out[0]["population_rate"] == 2.0 and out[0]["neighbor_density"] == 7.0
+    assert out[12]["crime_growth"] == 12 / 11 and out[13]["Crime_Count_District_lag_1"] == 22
+
+
 def test_tolerance_reaches_over_the_edge(spark):
     df = spark.createDataFrame([(1, 9.55, 4.0), (2, 9.75, 4.0)], "id int, lon double, lat double")
     got = spatial.point_in_polygon(df, rings(spark, {"sliver": RINGS["sliver"]}), tol=0.1).collect()

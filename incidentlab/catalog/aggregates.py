@@ -267,14 +267,14 @@ def a26(spark, d):
     return out.withColumns({c: rounded(c, 6) for c in ("own", "lag")})
 
 
-@query("a27_bbox", "SELECT min(x0) AS min_lon, min(y0) AS min_lat, max(x1) AS max_lon, max(y1) AS max_lat FROM boxes", "boxes")
+@query("a27_bbox", "SELECT min(x0) AS min_lon, min(y0) AS min_lat, max(x1) AS max_lon, max(y1) AS max_lat FROM plots", "plots")
 def a27(spark, d):
-    return spatial.bbox(fx.boxes(spark, d))
+    return spatial.bbox(fx.plots(spark, d))
 
 
-@query("a28_ring_centroid", f"SELECT name, {R('x0 + 2.4')} AS x, {R('y0 + 2.4')} AS y FROM boxes", "boxes")
+@query("a28_ring_centroid", f"SELECT name, {R('(3 * x0 + 2 * x1) / 5')} AS x, {R('(3 * y0 + 2 * y1) / 5')} AS y FROM plots", "plots")
 def a28(spark, d):
-    return fx.boxes(spark, d).select("name", ring_centroid("ring").alias("c")).select(
+    return fx.plots(spark, d).select("name", ring_centroid("ring").alias("c")).select(
         "name", rounded("c.x", 6).alias("x"), rounded("c.y", 6).alias("y"))
 
 

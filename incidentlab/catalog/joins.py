@@ -54,18 +54,18 @@ def j4(spark, d):
         "unit", "year", rounded("local_moran", 6).alias("local_moran"))
 
 
-_BOXES_MEET = """SELECT a.name AS src, b.name AS dst FROM boxes a JOIN boxes b ON a.name <> b.name
-  AND a.x0 - b.x1 <= 0.02 AND b.x0 - a.x1 <= 0.02 AND a.y0 - b.y1 <= 0.02 AND b.y0 - a.y1 <= 0.02"""
+_GAPS = """WITH gaps AS (SELECT a.name AS src, b.name AS dst, greatest(a.x0 - b.x1, b.x0 - a.x1, 0) AS dx,
+  greatest(a.y0 - b.y1, b.y0 - a.y1, 0) AS dy FROM plots a JOIN plots b ON a.key <> b.key)"""
 
 
-@query("j5_adjacency", _BOXES_MEET, "boxes")
+@query("j5_adjacency", f"{_GAPS} SELECT src, dst FROM gaps WHERE dx <= 0.021 AND dy <= 0.021", "plots")
 def j5(spark, d):
-    return spatial.adjacency(fx.boxes(spark, d), 0.01)
+    return spatial.adjacency(fx.plots(spark, d), 0.0105)
 
 
-@query("j5_adjacency_rings", _BOXES_MEET, "boxes")
+@query("j5_adjacency_rings", f"{_GAPS} SELECT src, dst FROM gaps WHERE sqrt(dx * dx + dy * dy) <= 0.021", "plots")
 def j5_rings(spark, d):
-    return spatial.adjacency(fx.boxes(spark, d), 0.01, exact=True)
+    return spatial.adjacency(fx.plots(spark, d), 0.0105, exact=True)
 
 
 @query("j6_point_in_polygon", """
@@ -86,30 +86,27 @@ def j6_outside(spark, d):
 
 
 def _mapping(spark, d):
-    """Sources of every third unit: its own old name, and for every sixth a second one."""
-    nation = fx.table(spark, d, "nation")
-    old = nation.filter(F.col("n_nationkey") % 3 == 0).select(
-        F.col("n_name").alias("name"), F.concat(F.lit("OLD "), "n_name").alias("source"),
-        (F.col("n_nationkey") % 2 == 1).alias("approximate"))
-    second = nation.filter(F.col("n_nationkey") % 6 == 0).select(
-        F.col("n_name").alias("name"), F.concat(F.lit("ALT "), "n_name").alias("source"), F.lit(True).alias("approximate"))
-    return old.unionByName(second)
-
-
-_WALK = """SELECT n_name AS name, CASE WHEN n_nationkey % 6 = 0 THEN 'ALT ' || n_name || ',OLD ' || n_name
-  WHEN n_nationkey % 3 = 0 THEN 'OLD ' || n_name ELSE n_name END AS sources, n_nationkey % 3 = 0 AS approximate FROM nation"""
-
-
-@query("j7_crosswalk", _WALK)
+    """Sources of every third customer: its own old name, and for every sixth a second one."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    entry = lambda prefix, approximate: F.struct(
+        name.alias("name"), F.concat(F.lit(prefix), name).alias("source"), approximate.alias("approximate"))
+    both = F.array(entry("OLD ", k % 2 == 1), entry("ALT ", F.lit(True)))
+    sources = F.when(k % 6 == 0, both).when(k % 3 == 0, F.slice(both, 1, 1))
+    return fx.table(spark, d, "customer").select(F.inline(sources))
+
+
+@query("j7_crosswalk", """
+SELECT c_name AS name, CASE WHEN c_custkey % 6 = 0 THEN 'ALT ' || c_name || ',OLD ' || c_name
+  WHEN c_custkey % 3 = 0 THEN 'OLD ' || c_name ELSE c_name END AS sources, c_custkey % 3 = 0 AS approximate FROM customer""")
 def j7(spark, d):
-    units = fx.table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    units = fx.table(spark, d, "customer").select(F.col("c_name").alias("name"))
     return spatial.crosswalk(units, _mapping(spark, d)).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("j8_unresolved", "SELECT n_name AS name FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 6 <> 0")
+@query("j8_unresolved", "SELECT c_name AS name FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 6 <> 0")
 def j8(spark, d):
-    units = fx.table(spark, d, "nation").select(F.col("n_name").alias("name"))
-    polys = fx.boxes(spark, d).select(
+    units = fx.table(spark, d, "customer").select(F.col("c_name").alias("name"))
+    polys = fx.plots(spark, d).select(
         F.when((F.col("key") % 6) == 0, F.concat(F.lit("ALT "), "name")).otherwise(F.col("name")).alias("name"), "ring")
     return spatial.unresolved(spatial.crosswalk(units, _mapping(spark, d)), polys)
 

@@ -49,6 +49,11 @@ SELECT n_name AS name, n_nationkey AS key, n_regionkey AS region_key,
        CAST(74 + 6 * (n_nationkey % 5) AS DOUBLE) AS x1, CAST(12 + 6 * (n_nationkey // 5) AS DOUBLE) AS y1
 FROM nation""")
 
+_view("plots", "", """
+SELECT *, x0 + (key % 7 + 1) / CAST(8 AS DOUBLE) AS x1, y0 + (key % 5 + 1) / CAST(16 AS DOUBLE) AS y1 FROM (
+  SELECT c_name AS name, c_custkey AS key, 69 + (c_custkey * 7919 % 28000) / CAST(1000 AS DOUBLE) AS x0,
+         8 + (c_custkey * 104729 % 29000) / CAST(1000 AS DOUBLE) AS y0 FROM customer)""")
+
 _view("scored", "unit_month", "SELECT *, loss / 1000 AS p FROM unit_month")
 
 _view("score", "scored", """

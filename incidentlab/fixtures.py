@@ -94,6 +94,20 @@ def boxes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def plots(spark: SparkSession, folder: str) -> DataFrame:
+    """A rectangle per customer, of seven widths and five heights, as a closed ring."""
+    k = F.col("c_custkey")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1"), corner("x0", "y0"))
+    return (
+        table(spark, folder, "customer")
+        .select(F.col("c_name").alias("name"), k.alias("key"), (69 + (k * 7919 % 28000) / F.lit(1000.0)).alias("x0"),
+                (8 + (k * 104729 % 29000) / F.lit(1000.0)).alias("y0"))
+        .withColumns({"x1": F.col("x0") + (F.col("key") % 7 + 1) / F.lit(8.0), "y1": F.col("y0") + (F.col("key") % 5 + 1) / F.lit(16.0)})
+        .select("name", "key", ring.alias("ring"))
+    )
+
+
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     """Unit-months with a stand-in prediction ``p``, a table of its own."""
     return settle(unit_month(spark, folder).withColumn("p", F.col("loss") / 1000))

@@ -102,10 +102,15 @@ def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
         (F.col("a.x_min") - F.col("b.x_max") <= reach) & (F.col("b.x_min") - F.col("a.x_max") <= reach)
         & (F.col("a.y_min") - F.col("b.y_max") <= reach) & (F.col("b.y_min") - F.col("a.y_max") <= reach)
     )
-    pairs = home.join(visit, [*same_bucket, once, boxes_meet])
+    # the lower left corner of the common part lies in one bucket: the pair counts there only
+    corner = lambda c: F.floor(
+        (F.greatest(f"a.{c}", f"b.{c}") - F.lit(tol)) / F.pow(F.lit(2.0), F.col("a._level")))
+    here = (corner("x_min") == F.col("a._bx")) & (corner("y_min") == F.col("a._by"))
+    pairs = home.join(visit, [*same_bucket, once, boxes_meet, here])
     if exact:
-        pairs = pairs.filter(_rings_meet(F.col("a.ring"), F.col("b.ring"), reach))
-    one_way = pairs.select(F.col("a.name").alias("src"), F.col("b.name").alias("dst")).distinct()
+        # the optimizer may test this before the join's own conditions: keep the cheap ones in front
+        pairs = pairs.filter(F.when(once & boxes_meet & here, _rings_meet(F.col("a.ring"), F.col("b.ring"), reach)))
+    one_way = pairs.select(F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
     both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return one_way.select(F.inline(both))
 
@@ -134,13 +139,14 @@ def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cols
     covers = (
         shapes.withColumn("_bx", F.explode(F.sequence(bucket(F.col("x_min"), -tol), bucket(F.col("x_max"), tol))))
         .withColumn("_by", F.explode(F.sequence(bucket(F.col("y_min"), -tol), bucket(F.col("y_max"), tol))))
-        .select("name", "ring", "_level", "_bx", "_by")
+        .select("name", "ring", *b, "_level", "_bx", "_by")
     )
+    in_box = x.between(F.col("x_min") - tol, F.col("x_max") + tol) & y.between(F.col("y_min") - tol, F.col("y_max") + tol)
     grids = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
     located = points.withColumn("_level", grids).withColumns({"_bx": bucket(x), "_by": bucket(y)})
     return (
         located.join(broadcast_if_small(covers), ["_level", "_bx", "_by"])
-        .filter(_inside(F.col("ring"), x, y, tol)).drop("_level", "_bx", "_by", "ring")
+        .filter(F.when(in_box, _inside(F.col("ring"), x, y, tol))).drop("_level", "_bx", "_by", "ring", *b)
     )
 
 

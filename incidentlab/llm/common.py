@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from incidentlab.session import shared_dir
 
 BATCH_BYTES = 4_000_000
+TEXT = "__whole_text"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +64,49 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], schema: str | T.Str
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return rows.mapInArrow(run, fields)
+
+
+def append_columns(docs: DataFrame, make: Callable[[], Callable], added: str) -> DataFrame:
+    """The rows of ``docs`` with further columns made from their text, without a shuffle.
+
+    ``make`` runs once in each task and returns a function from texts to a dict
+    of columns. Columns of ``docs`` that have an added name are replaced.
+    """
+    new = T._parse_datatype_string(added)
+    kept = docs.drop(*[c for c in docs.columns if c in set(new.names)])
+    rows = kept.withColumn(TEXT, F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+        types, work = [to_arrow_type(f.dataType) for f in new], make()
+        for batch in batches:
+            for part in slices(batch, TEXT):
+                out = work(part.column(TEXT).to_pylist())
+                old = [part.column(i) for i, n in enumerate(part.schema.names) if n != TEXT]
+                names = [n for n in part.schema.names if n != TEXT]
+                yield pa.RecordBatch.from_arrays([*old, *(pa.array(out[f.name], t) for f, t in zip(new, types))],
+                                                 [*names, *new.names])
+
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, *new.fields]))
+
+
+def bounded_sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 256) -> DataFrame:
+    """About ``per_label`` rows of each label, drawn by a hash of doc_id; at most twice as many in all.
+
+    The counts of the labels go through the driver: one row for each label,
+    and more than ``max_labels`` of them raise.
+    """
+    counts = rows.groupBy(label).count().limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    draw = F.lit(False)
+    for row in counts:
+        share = min(1.0, 1.2 * per_label / row["count"])
+        draw = draw | ((F.col(label) == F.lit(row[label])) & (F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1e6 * share)))
+    return rows.where(draw).limit(2 * per_label * max(1, len(counts)))
+
+
+def window_of(text: Column, size: int) -> Column:
+    """At most ``size`` characters of a text, from a place drawn by a hash; whole where it is shorter."""
+    spare = F.greatest(F.length(text) - size, F.lit(0))
+    return F.substr(text, F.pmod(F.xxhash64(text), spare + 1).cast("int") + 1, F.lit(size))

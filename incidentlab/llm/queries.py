@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from incidentlab.llm import best_fit, chat_format, exact_topk, token_counts, token_files
-from incidentlab.llm.common import scratch, table
+from incidentlab.llm import (best_fit, chat_format, dart_minhash, decontaminate, exact_topk, language_id, quality_cnn,
+                             token_counts, token_files)
+from incidentlab.llm.common import fold, scratch, table
 from incidentlab.llm.tokens import public_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +64,29 @@ def op8_token_files(spark, sf_dir):
     folder = scratch(spark, "token-files")
     written = token_files.write_shards(table(spark, sf_dir, "documents"), folder, public_file("byte_bpe_50k.json"), 2)
     return token_files.read_shards(token_files.with_bases(spark, written), folder)
+
+
+@query
+def op5_minhash_near_dedup(spark, sf_dir):
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(language_id.training_rows(docs))
+    held = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
+
+
+@query
+def op4_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
+    return quality_cnn.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")

@@ -31,7 +31,6 @@ UND = "und"
 WORD_BYTES = 24
 SAMPLE_CHARS = 20_000
 CACHE_WORDS = 500_000
-PREDICTION = "lang_pred string, score double"
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -220,7 +219,7 @@ class LanguageModel:
         return [self.languages[named[t, b]] for b, n in enumerate(lengths) for t in range(n)]
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 300, words_per_language: int = 12_000, epochs: int = 3,
+def fit(labelled: DataFrame, docs_per_language: int = 300, words_per_language: int = 10_000, epochs: int = 2,
         batch: int = 512, hidden: int = 16, seed: int = 5) -> LanguageModel:
     """A model from (doc_id, text, lang) rows; rows without text or language are left out."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
@@ -248,9 +247,12 @@ def fit(labelled: DataFrame, docs_per_language: int = 300, words_per_language: i
     return LanguageModel(languages, network)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows of ``docs`` with lang_pred and score."""
-    return append_columns(docs, lambda: model.predict, PREDICTION)
+def identify(docs: DataFrame, model: LanguageModel, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The rows of ``docs`` with the predicted language and its score in columns of these names."""
+    def make():
+        return lambda texts: dict(zip(names, model.predict(texts).values()))
+
+    return append_columns(docs, make, f"`{names[0]}` string, `{names[1]}` double")
 
 
 def training_rows(docs: DataFrame, parts: int = 4, held_out: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlab.llm import (best_fit, chat_format, dart_minhash, decontaminate, exact_topk, language_id, quality_cnn,
-                             token_counts, token_files)
+                             suffix_dedup, token_counts, token_files)
 from incidentlab.llm.common import fold, scratch, table
 from incidentlab.llm.tokens import public_file
 
@@ -90,3 +90,8 @@ def op4_quality_classifier(spark, sf_dir):
     model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
     held = (fold(F.col("doc_id"), 5) == 0).alias("held_out")
     return quality_cnn.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
+
+
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)

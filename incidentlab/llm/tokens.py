@@ -9,6 +9,7 @@ alphabet, and texts with unusual white space, go through the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -69,13 +70,17 @@ class JsonEncoder:
         self.spaced = _Cache(lambda piece: self._word(piece if piece[:1] == "\n" else " " + piece))
 
     def _part(self, part: str) -> bytes:
-        stand_in = part.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(stand_in)], ID_TYPE).tobytes()
+        if part.isascii() and part.isprintable():
+            stand_in = part.replace(" ", self.alphabet[32])
+        else:
+            stand_in = part.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(stand_in)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         if "<|" in word or not PLAIN.fullmatch(word):
             return self.library(word)
-        return b"".join(map(self.parts.__getitem__, self.pattern.findall(word.lower() if self.dropped_space else word)))
+        found = self.pattern.findall(word.lower() if self.dropped_space else word)
+        return self.parts[found[0]] if len(found) == 1 else b"".join(map(self.parts.__getitem__, found))
 
     def library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, ID_TYPE).tobytes()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from incidentlab.llm import best_fit, dart_minhash, decontaminate, language_id, suffix_dedup
-from incidentlab.llm.common import scratch, table
+from incidentlab.llm.common import scratch, ship, table
 from incidentlab.llm.tokens import public_file
 
 #: Documents whose best language has less probability are rejected, as are those without letters.
@@ -91,6 +91,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "corpus")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"

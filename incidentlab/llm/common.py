@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,6 +20,22 @@ BATCH_BYTES = 4_000_000
 TEXT = "__whole_text"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the executors of this application, once. The driver's file server hands it out."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = pathlib.Path(__file__).resolve().parents[1]
+        target = pathlib.Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as held:
+            for file in sorted(package.rglob("*.py")):
+                held.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

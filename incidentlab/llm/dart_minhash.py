@@ -70,7 +70,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, d
         for region in range(top + 1):
             low, high = (0.0, 1.0) if region == 0 else (2.0 ** (region - 1), 2.0 ** region)
             rows = at[weights[at] > low]
-            rank, seed = np.zeros(len(rows)), mix(elements[rows] + np.uint64(region + 1) * _STEP)
+            rank, seed = np.zeros(len(rows)), mix(elements[rows] + np.array([region + 1], np.uint64) * _STEP)
             while len(rows):
                 seed = mix(seed + _STEP)
                 rank = rank - np.log(_uniform(seed)) / (high - low)

@@ -117,8 +117,10 @@ class ModelEncoder:
         return np.array(self.model.encode(text, num_threads=1), ID_TYPE).tobytes() if text else b""
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        pieces = self.model.encode(text, out_type="immutable_proto").pieces
-        return np.array([p.id for p in pieces], ID_TYPE), np.array([p.begin for p in pieces], np.int64)
+        pieces = self.model.encode(text, return_type="proto").pieces
+        coded = np.frombuffer(text.encode(), np.uint8)
+        char = np.append(np.cumsum((coded & 0xC0) != 0x80) - 1, len(text))  # the library counts bytes
+        return np.array([p.id for p in pieces], ID_TYPE), char[np.array([p.begin for p in pieces], np.int64)]
 
 
 @lru_cache(maxsize=4)

@@ -30,9 +30,11 @@ kept_sha256, and the remaining bytes and text.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ from incidentlab.llm.shingles import mix
 
 LENGTH = 50
 GRAM = 16
+TURN_BITS = 40  # a place is the turn of the text among those of its id, and a byte position
 BATCH_SYMBOLS = 1_000_000
 
 
@@ -120,10 +123,10 @@ def window_minima(contexts: list[bytes], least: np.ndarray, length: int = LENGTH
     return [out[a:a + n - length + 1] for a, n in zip(starts, sizes)]
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of every anchor of one document."""
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first and last window start of every anchor of one document, and the hashes of its grams."""
     if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     words = _words(data)
     grams = mix(mix(words[:len(data) - GRAM + 1]) ^ (words[8:len(data) - GRAM + 9] * np.uint64(0x9E3779B97F4A7C15)))
     span, low, have = length - GRAM + 1, grams, 1
@@ -135,14 +138,24 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     if size.max() > span:  # equal grams in a row share a hash: their windows are cut into contexts of ``span``
         parts = -(-size // span)
         edge = np.repeat(edge, parts) + span * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return low[edge], edge, np.concatenate([edge[1:], [len(low)]]) - 1
+    return low[edge], edge, np.concatenate([edge[1:], [len(low)]]) - 1, grams
+
+
+def gram_places(name: np.ndarray, high: np.ndarray, grams: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Where the gram of each anchor stands: the first place at or behind its last window start."""
+    place = np.full(len(name), -1, np.int64)
+    for k in range(length - GRAM + 1):
+        at = np.minimum(high + k, len(grams) - 1)
+        place = np.where((place < 0) & (grams[at] == name), at, place)
+    return place
 
 
 def _documents(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """The rows with first, the smallest id that has this very text."""
-    return docs.join(first, "doc_id", "left").withColumn(
-        "first", F.array_min(F.transform(F.filter("firsts", lambda x: x["whole"] == F.xxhash64("text", F.length("text"))), lambda x: x["first"]))
-    ).drop("firsts")
+    """The rows with ``first``, the smallest id that has this very text, and ``turn``, the place of the text among those of its id."""
+    whole = F.xxhash64("text", F.length("text"))
+    return docs.join(first, "doc_id", "left").select(
+        "doc_id", "text", F.array_min(F.transform(F.filter("firsts", lambda x: x["whole"] == whole), lambda x: x["first"])).alias("first"),
+        F.coalesce(F.array_position(F.transform("firsts", lambda x: x["whole"]), whole), F.lit(0)).alias("turn"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
@@ -151,16 +164,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
     if not GRAM <= length <= GRAM + 63:
         raise ValueError(f"length must lie between {GRAM} and {GRAM + 63}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("crc", F.crc32(F.col("text").cast("binary")))
     sums = rows.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text", F.length("text")).alias("whole")).where(F.col("doc_id").isNotNull())
     least = sums.groupBy("sha").agg(F.min("doc_id").alias("first"))
-    first = sums.join(least, "sha").groupBy("doc_id").agg(F.collect_set(F.struct("whole", "first")).alias("firsts"))
+    first = sums.join(least, "sha").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("whole", "first"))).alias("firsts"))
+    # All three uses of the texts keep the same columns and rows, so that one exchange serves them: copies and
+    # documents without candidates are left in Python.
     known = _documents(rows, first)
-    originals = known.where(F.col("doc_id") == F.col("first")).select("doc_id", "crc", "text")
+
+    def originals(part):
+        return part.filter(pc.fill_null(pc.equal(part.column("doc_id"), part.column("first")), False))
 
     def seen(batches):
         for batch in batches:
             for part in slices(batch, limit=1_000_000):
+                part = originals(part)
+                if not part.num_rows:
+                    continue
                 found = [np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0]) for t in part.column("text").to_pylist()]
                 ids = np.repeat(part.column("doc_id").to_numpy(), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)], ["anchor", "doc_id"])
@@ -180,24 +199,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
         if met:
             yield pa.RecordBatch.from_arrays([pa.array(held_a), pa.array(held_d)], ["anchor", "doc_id"])
 
-    dealt = originals.mapInArrow(seen, "anchor long, doc_id long").repartition("anchor").sortWithinPartitions("anchor")
+    dealt = known.mapInArrow(seen, "anchor long, doc_id long").repartition("anchor").sortWithinPartitions("anchor")
     wanted = dealt.mapInArrow(repeated, "anchor long, doc_id long").groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted"))
 
     def contexts(batches):
         for batch in batches:
             for part in slices(batch, limit=1_000_000):
-                out = {"anchor": [], "context": [], "doc_id": [], "place": []}
+                part = originals(part)
+                part = part.filter(pc.is_valid(part.column("wanted")))
+                out = {"context": [], "gram": [], "doc_id": [], "place": []}
                 lists = part.column("wanted")
-                for i, (doc, crc, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "crc", "text")))):
+                for i, (doc, turn, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "turn", "text")))):
                     coded = text.encode()
-                    name, low, high = anchors(np.frombuffer(coded, np.uint8), length)
+                    name, low, high, grams = anchors(np.frombuffer(coded, np.uint8), length)
                     keep = np.flatnonzero(np.isin(name, lists[i].values.to_numpy().view(np.uint64)))
-                    out["anchor"] += name[keep].view(np.int64).tolist()
-                    out["context"] += [coded[a:b] for a, b in zip(low[keep].tolist(), (high[keep] + length).tolist())]
-                    out["doc_id"] += [doc] * len(keep)
-                    out["place"] += ((np.int64(crc) << np.int64(31)) + low[keep]).tolist()
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-                    ("anchor", pa.int64()), ("context", pa.binary()), ("doc_id", pa.int64()), ("place", pa.int64())]))
+                    if not len(keep):
+                        continue
+                    name, low, high = name[keep], low[keep], high[keep]
+                    out["context"] += [coded[a:b] for a, b in zip(low.tolist(), (high + length).tolist())]
+                    out["gram"].append(gram_places(name, high, grams, length) - low)
+                    out["doc_id"].append(np.full(len(low), doc, np.int64))
+                    out["place"].append((turn << TURN_BITS) + low)
+                if out["context"]:
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(out["context"], pa.binary()), pa.array(np.concatenate(out["gram"]), pa.int32()),
+                        pa.array(np.concatenate(out["doc_id"])), pa.array(np.concatenate(out["place"]))], ["context", "gram", "doc_id", "place"])
 
     def decided(batches):
         """Bit masks of the removed windows; rows are sorted by anchor and taken in batches of whole anchors."""
@@ -254,8 +280,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
         if held:
             yield answer(pa.Table.from_batches(held))
 
-    met = originals.join(wanted, "doc_id").mapInArrow(contexts, "anchor long, context binary, doc_id long, place long")
-    masks = met.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(decided, "doc_id long, place long, mask long")
+    met = known.join(wanted, "doc_id", "left").select("doc_id", "text", "first", "turn", "wanted").mapInArrow(
+        contexts, "context binary, gram int, doc_id long, place long")
+    anchor = F.xxhash64(F.substring("context", F.col("gram") + 1, F.lit(GRAM)))  # told by the context, so not shuffled
+    masks = met.repartition(anchor).withColumn("anchor", anchor).sortWithinPartitions("anchor").mapInArrow(
+        decided, "doc_id long, place long, mask long")
     gone = masks.groupBy("doc_id").agg(F.collect_list(F.struct("place", "mask")).alias("gone"))
 
     held = [("kept", pa.binary()), ("kept_text", pa.string()), ("text_key", pa.int64())] if texts else []
@@ -266,8 +295,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
         for batch in batches:
             for part in slices(batch):
                 out, lists = [], part.column("gone")
-                columns = [part.column(c).to_pylist() for c in ("doc_id", "crc", "first", "text")]
-                for i, (doc, crc, first_, text) in enumerate(zip(*columns)):
+                columns = [part.column(c).to_pylist() for c in ("doc_id", "turn", "first", "text")]
+                for i, (doc, turn, first_, text) in enumerate(zip(*columns)):
                     data = np.frombuffer(text.encode(), np.uint8)
                     removed = np.zeros(len(data), bool)
                     if doc is not None and first_ is not None and first_ < doc:
@@ -275,8 +304,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
                     elif lists[i].is_valid:
                         pairs = lists[i].values
                         place, mask = pairs.field("place").to_numpy(), pairs.field("mask").to_numpy().view(np.uint64)
-                        mine = (place >> 31) == crc
-                        place, mask = place[mine] & (2 ** 31 - 1), mask[mine]
+                        mine = (place >> TURN_BITS) == turn
+                        place, mask = place[mine] & (2 ** TURN_BITS - 1), mask[mine]
                         change = np.zeros(len(data) + length + 1, np.int32)
                         for t in range(length - GRAM + 1):
                             at = place[(mask >> np.uint64(t)) & np.uint64(1) > 0] + t
@@ -287,8 +316,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
                     spans = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
                     out.append({"doc_id": doc, "n_bytes": len(data), "n_removed": int(removed.sum()), "n_spans": spans,
                                 "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept,
-                                "kept_text": kept.decode("utf-8", "ignore") if texts else "", "text_key": crc})
+                                "kept_text": kept.decode("utf-8", "ignore") if texts else "", "text_key": zlib.crc32(text.encode())})
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return known.join(gone, "doc_id", "left").select("doc_id", "crc", "first", "text", "gone").mapInArrow(
+    return known.join(gone, "doc_id", "left").select("doc_id", "text", "first", "turn", "gone").mapInArrow(
         cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, text_key long" * texts)

@@ -16,8 +16,8 @@ from .registry import query, rnd
 R = rnd
 
 
-def hot_cells(spark, d, top_n: int = 500):
-    """The hotspot ranking table of the fixture points, resolution 6 (at most ``top_n`` rows)."""
+def hot_cells(spark, d, top_n: int | None = None):
+    """The hotspot ranking table of the fixture points, resolution 6."""
     celled = fx.pts(spark, d).withColumn("cell", cell_index("lat", "lon", 6))
     cells = settle(panel.cell_month_panel(celled))
     return settle(risk.hotspots(cells, "crime_count", ["cell", "year", "month"], top_n).withColumn(
@@ -75,21 +75,48 @@ def s4(spark, d):
         "header", True).csv(path)
 
 
-@query("s5_sections_json")
+@query("s5_sections_json", f"""
+SELECT 'monthly' AS section, CAST(month AS VARCHAR) AS key, {R('avg(n)', 2)} AS value FROM unit_month GROUP BY month
+UNION ALL SELECT 'categories', category, CAST(count(*) AS DOUBLE) FROM inc GROUP BY category
+UNION ALL SELECT 'stations', 'all', CAST(count(DISTINCT station) AS DOUBLE) FROM inc""", "unit_month inc")
 def s5(spark, d):
-    um = fx.unit_month(spark, d)
-    return io.section_lines({"unit_trend": reports.unit_trend(um, "n"), "monthly": reports.monthly_profile(um, "n"),
-                             "categories": reports.category_share(fx.inc(spark, d))})
+    """The lines of three sections, read back."""
+    um, incidents = fx.unit_month(spark, d), fx.inc(spark, d)
+    lines = io.section_lines({"monthly": reports.monthly_profile(um, "n"), "categories": reports.category_share(incidents),
+                              "stations": reports.station_load(incidents)})
+    field = lambda name: F.get_json_object("json", f"$.{name}")
+    return lines.select("section", F.coalesce(field("month"), field("category"), F.lit("all")).alias("key"),
+                        F.coalesce(field("value"), field("count"), field("total_stations")).cast("double").alias("value"))
+
+
+_FEATURE = "struct<type:string, geometry:struct<type:string, coordinates:array<array<array<double>>>>, " \
+           "properties:struct<h3_index:string, risk_score:double, rank:int, predicted_crime_count:double>>"
+_FEATURE_SQL = f"""SELECT cell AS h3_index, {R('raw_score', 2)} AS risk_score, CAST(hotspot_rank AS INTEGER) AS rank,
+  {R('crime_count', 2)} AS predicted, CAST(7 AS INTEGER) AS corners FROM cell_hot"""
+
+
+def _feature_columns(df, feature):
+    p = F.col(feature)["properties"]
+    return df.select(p["h3_index"].alias("h3_index"), p["risk_score"].alias("risk_score"), p["rank"].alias("rank"),
+                     rounded(p["predicted_crime_count"], 2).alias("predicted"), F.size(F.col(feature)["geometry"]["coordinates"][0]).alias("corners"))
 
 
-@query("s6_to_geojson")
+@query("s6_to_geojson", _FEATURE_SQL, "cell_hot")
 def s6(spark, d):
-    return io.to_geojson(hot_cells(spark, d))
+    """Every feature line, read back."""
+    lines = io.to_geojson(hot_cells(spark, d))
+    return _feature_columns(lines.select(F.from_json("feature", _FEATURE).alias("f")), "f")
 
 
-@query("s6_feature_collection")
+@query("s6_feature_collection", f"SELECT f.*, (SELECT CAST(count(*) AS INTEGER) FROM cell_hot) AS total FROM ({_FEATURE_SQL}) f WHERE rank <= 500", "cell_hot")
 def s6_document(spark, d):
-    return io.feature_collection(hot_cells(spark, d))
+    """The one document of the first 500 cells, read back with the count of all."""
+    document = f"struct<features:array<{_FEATURE}>, metadata:struct<total_hotspots:int>>"
+    read = io.feature_collection(hot_cells(spark, d)).select(F.from_json("document", document).alias("d"))
+    rows = read.select(F.explode("d.features").alias("f"), F.col("d.metadata.total_hotspots").alias("total"))
+    return rows.select("total", "f").select("total", "f.*").select("total", F.struct("properties", "geometry").alias("f")).select(
+        "f.properties.h3_index", "f.properties.risk_score", "f.properties.rank",
+        rounded("f.properties.predicted_crime_count", 2).alias("predicted"), F.size(F.col("f.geometry.coordinates")[0]).alias("corners"), "total")
 
 
 @query("s7_read_geojson", f"""
@@ -97,11 +124,12 @@ SELECT 'Feature' AS type, 'Polygon' AS geometry_type, cell AS h3_cell, {R('raw_s
        CAST(hotspot_rank AS DOUBLE) AS rank, CAST(7 AS BIGINT) AS vertices FROM cell_hot""", "cell_hot")
 def s7(spark, d):
     path = new_table_dir(spark, "geojson")
-    io.feature_collection(hot_cells(spark, d)).write.text(path)
+    cells = hot_cells(spark, d)
+    io.feature_collection(cells, cells.count()).write.text(path)
     p = F.col("properties")
     return io.read_geojson(spark, path).select(
         "type", "geometry_type", p["h3_cell"].alias("h3_cell"), p["hotspot_score"].cast("double").alias("hotspot_score"),
-        p["rank"].cast("double").alias("rank"), F.size(F.col("coordinates")[0]).cast("long").alias("vertices"))
+        p["rank"].cast("double").alias("rank"), F.size(F.col("polygons")[0][0]).cast("long").alias("vertices"))
 
 
 @query("s7_read_feature_lines", f"""
@@ -216,7 +244,7 @@ def s12(spark, d):
                                  {"months": (months, ["month"])})
 
 
-@query("s13_dictionary")
+@query("s13_dictionary", "SELECT * FROM (VALUES ('station', 'string', 'categorical'), ('channel', 'string', 'categorical')) AS v(\"column\", dtype, kind)")
 def s13(spark, d):
     """A dictionary of two composite names, written from the profile of the table and read back."""
     incidents = fx.inc(spark, d)

@@ -42,7 +42,7 @@ def v3(spark, d):
        + _bad("population positive", "population <= 0", "(SELECT loss - 50000 AS population FROM inc_nulls)"), "inc_nulls")
 def v4(spark, d):
     df = fx.inc_nulls(spark, d).withColumn("population", F.col("loss") - 50000)
-    return q.run_checks(df, [q.non_negative("loss"), q.positive("population")])
+    checked = q.run_checks(df, [q.non_negative("loss"), q.positive("population")])
 
 
 @query("v5_unit_interval", _bad("risk_index in range", "NOT coalesce(risk_index BETWEEN 0 AND 1, FALSE)", "uy_risk") + " UNION ALL "
@@ -88,7 +88,7 @@ SELECT 'tail long-tailed' AS "check", s > 1 AS passed, 'skew=' || CAST(round(s,
   SELECT skewness(pow(loss / 10000, 3)) AS s FROM inc_nulls)""", "inc_nulls")
 def v10(spark, d):
     df = fx.inc_nulls(spark, d).withColumn("tail", F.pow(F.col("loss") / 10000, F.lit(3.0)))
-    return q.run_checks(df, [q.long_tailed("tail")])
+    checked = q.run_checks(df, [q.long_tailed("tail")])
 
 
 @query("v11_fill_rate", """
@@ -138,10 +138,22 @@ def v15_listing(spark, d):
     return q.focus_listing(uy, (F.col("state") == "ASIA") & (F.col("year") == 1997), "risk_index", "n")
 
 
-@query("v_all_checks")
+@query("v_all_checks", f"""
+WITH s AS (SELECT count(*) AS n, count(DISTINCT id) AS ids, count(*) FILTER (WHERE lat IS NULL OR lat < 6 OR lat > 38) AS lat,
+  count(*) FILTER (WHERE lon IS NULL OR lon < 68 OR lon > 98) AS lon, count(*) FILTER (WHERE CAST(dt AS DATE) > DATE '2001-08-01') AS late,
+  count(*) FILTER (WHERE loss < 0) AS neg, count(*) - count(category) AS cat, count(*) FILTER (WHERE coalesce(unit, '') = '') AS unit,
+  avg(loss) AS m, stddev_samp(loss) AS sd, avg(CASE WHEN loss IS NULL THEN 0 ELSE 1 END) AS rate FROM pts),
+t AS (SELECT sum(power((loss - s.m) / s.sd, 3)) * max(s.n) / ((max(s.n) - 1) * (max(s.n) - 2)) AS skew FROM pts, s)
+SELECT 'id unique' AS "check", ids = n AS passed, CAST(n - ids AS DOUBLE) AS number FROM s
+UNION ALL SELECT 'lat in range', lat = 0, lat FROM s UNION ALL SELECT 'lon in range', lon = 0, lon FROM s
+UNION ALL SELECT 'dt not after 2001-08-01', late = 0, late FROM s UNION ALL SELECT 'loss not negative', neg = 0, neg FROM s
+UNION ALL SELECT 'category present', cat = 0, cat FROM s UNION ALL SELECT 'unit not blank', unit = 0, unit FROM s
+UNION ALL SELECT 'loss long-tailed', skew > 1, {R('skew', 2)} FROM t UNION ALL SELECT 'loss filled', rate > 0.9, {R('rate', 2)} FROM s""", "pts")
 def v_all(spark, d):
     """The whole battery over one table in one pass."""
     df = fx.pts(spark, d).withColumn("blank", F.lit("x"))
-    return q.run_checks(df, [
+    checked = q.run_checks(df, [
         q.unique("id"), q.within("lat", 6, 38), q.within("lon", 68, 98), q.not_after("dt", "2001-08-01"), q.non_negative("loss"),
         q.not_null("category"), q.not_blank("unit"), q.long_tailed("loss"), q.filled("loss")])
+    number = F.regexp_extract("detail", r"(-?[0-9.]+)", 1).cast("double")
+    return checked.select("check", "passed", rounded(number, 2).alias("number"))

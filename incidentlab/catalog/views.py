@@ -133,8 +133,7 @@ FROM cells GROUP BY cell, year, month""")
 _view("cell_hot", "cell_month", """
 SELECT * FROM (SELECT *, (crime_count - lo) / (hi - lo) * 100 AS raw_score,
   CAST(row_number() OVER (ORDER BY crime_count DESC, cell, year, month) AS BIGINT) AS hotspot_rank
-  FROM cell_month, (SELECT min(crime_count) AS lo, max(crime_count) AS hi FROM cell_month))
-WHERE hotspot_rank <= 500""")
+  FROM cell_month, (SELECT min(crime_count) AS lo, max(crime_count) AS hi FROM cell_month))""")
 
 # --- application tables ---
 

@@ -54,7 +54,8 @@ class Settings:
     cv_gap: int = 1
     background_rows: int = 100
     display_features: int = 20
-    top_hotspots: int = 500
+    top_hotspots: int | None = None  # all cells
+    map_cells: int = 500  # of one map document
     top_units: int = 20
     cache_ttl_seconds: int = 300
     refresh_seconds: int = 900

@@ -94,6 +94,32 @@ def ring_distance(ring: Column | str, x: Column | str, y: Column | str) -> Colum
     return F.array_min(F.transform(F.sequence(F.lit(1), F.size(r) - 1), to_edge))
 
 
+def shape_contains(rings: Column | str, x: Column | str, y: Column | str) -> Column:
+    """Even-odd test against all rings of a shape: parts count, holes do not."""
+    return F.aggregate(col(rings), F.lit(False), lambda inside, ring: inside != ring_contains(ring, x, y))
+
+
+def shape_distance(rings: Column | str, x: Column | str, y: Column | str) -> Column:
+    """Distance of a point to the nearest edge of any ring."""
+    return F.array_min(F.transform(col(rings), lambda ring: ring_distance(ring, x, y)))
+
+
+def area_centroid(rings: Column | str) -> Column:
+    """Centre of area of a shape whose holes turn the other way than its parts; a shape without area gives its vertex mean."""
+    def sums(ring: Column) -> Column:
+        def term(i: Column) -> Column:
+            a, b = F.element_at(ring, i), F.element_at(ring, i + 1)
+            cross = a["x"] * b["y"] - b["x"] * a["y"]
+            return F.struct(cross.alias("w"), ((a["x"] + b["x"]) * cross).alias("x"), ((a["y"] + b["y"]) * cross).alias("y"))
+        return F.transform(F.sequence(F.lit(1), F.size(ring) - 1), term)
+
+    terms = F.flatten(F.transform(F.filter(col(rings), lambda ring: F.size(ring) > 1), sums))
+    total = lambda f: F.aggregate(terms, F.lit(0.0), lambda s, t: s + t[f])
+    mean = ring_centroid(F.flatten(col(rings)))
+    at = lambda f: F.coalesce(F.try_divide(total(f), 3 * F.nullif(total("w"), F.lit(0.0))), mean[f])
+    return F.struct(at("x").alias("x"), at("y").alias("y"))
+
+
 def ring_centroid(ring: Column | str) -> Column:
     """A28. Plain average of all vertices, the closing one included; (0, 0) for an empty ring."""
     r = col(ring)

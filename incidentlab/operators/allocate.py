@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import SETTINGS
 from ..functions.scalar import clamp
-from .scale import broadcast_if_small, top_k_per_group
+from .scale import top_k_per_group
 
 # Fixed values.
 SHARE_WEIGHTS = {"population": 0.55, "density": 0.20, "commercial": 0.15, "capital": 0.10}
@@ -31,7 +31,7 @@ def apportion(df: DataFrame, group: Sequence[str], key: str, total: str, share:
     per_group = own.groupBy(*group).agg(F.sum("_own").alias("_sum"), last.alias("_last"))
     rest = F.col(total).cast("long") - (F.col("_sum") - F.col("_last.own"))
     return (
-        own.join(broadcast_if_small(per_group), list(group))
+        own.join(per_group, list(group))
         .withColumn(name, F.when(F.col(key) == F.col("_last.key"), rest).otherwise(F.col("_own")))
         .drop("_own", "_sum", "_last")
     )
@@ -55,7 +55,7 @@ def share_score(df: DataFrame, parent: Sequence[str], weights: Mapping[str, floa
         score, whole = score + term, whole + fill
     # the shares of a column add up to 1 within its parent, so the scores add up to the weights in use
     return (
-        df.join(broadcast_if_small(totals), list(parent))
+        df.join(totals, list(parent))
         .withColumn(name, F.try_divide(score, F.nullif(whole, F.lit(0.0))))
         .drop(*[f"_t_{c}" for c in weights])
     )
@@ -66,20 +66,22 @@ def project_total(df: DataFrame, keys: Sequence[str], year: str, value: str, yea
     """W21. Value of each key in each asked year: known, else compounded from the last known year.
 
     The yearly rate runs from the first to the last known year and is cut to
-    ``limits``; without a positive base the last value is carried.
+    ``limits``; without a positive base the last value is carried. Rows without
+    a year are left out; of several values of one year the largest counts.
     """
-    known = df.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col(year).cast("int"), F.col(value).cast("double")))).alias("_known"),
+    known = df.filter(F.col(year).isNotNull()).groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col(year).cast("int").alias("y"), F.col(value).cast("double").alias("v"))).alias("_known"),
         F.min(year).alias("_y0"), F.max(year).alias("_y1"),
-        F.min_by(F.col(value).cast("double"), year).alias("_v0"),
-        F.max_by(F.col(value).cast("double"), year).alias("_v1"),
+        F.max_by(F.col(value).cast("double"), F.struct(-F.col(year), value)).alias("_v0"),
+        F.max_by(F.col(value).cast("double"), F.struct(year, value)).alias("_v1"),
     )
     asked = known.withColumn(year, F.explode(F.array(*[F.lit(int(y)) for y in years])))
     span = F.col("_y1") - F.col("_y0")
     usable = (F.col("_v0") > 0) & (F.col("_v1") != 0) & (span > 0)
     rate = clamp(F.pow(F.when(usable, F.col("_v1") / F.col("_v0")), F.when(usable, F.lit(1.0) / span)) - 1, *limits)
     grown = F.greatest(F.lit(0.0), F.round(F.col("_v1") * F.pow(1 + rate, F.col(year) - F.col("_y1"))))
-    value_then = F.coalesce(F.try_element_at("_known", F.col(year)), F.when(usable, grown), F.col("_v1"), F.lit(0.0))
+    then = F.array_max(F.transform(F.filter("_known", lambda k: k["y"] == F.col(year)), lambda k: k["v"]))
+    value_then = F.coalesce(then, F.when(usable, grown), F.col("_v1"), F.lit(0.0))
     return asked.select(*keys, year, value_then.alias(value))
 
 

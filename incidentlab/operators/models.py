@@ -22,6 +22,7 @@ from .scale import global_row_number, settle
 from .temporal import temporal_features
 
 PREDICTION = "prediction"
+ROWS_A_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class BoostSettings:
     feature_share: float = 0.8
     min_rows: int = 20
     seed: int = 42
-    tolerance: float = 0.01
+    patience: int = 50
 
 
 RISK_BOOST = BoostSettings()
@@ -55,30 +56,53 @@ def build_cell_features(points: DataFrame, resolution: int = SETTINGS.cell_resol
     return temporal_features(cell_month_panel(celled, cols), [cols.cell], "crime_count", cols)
 
 
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Trees to keep by their validation errors, and whether ``patience`` rounds without a better one have passed."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
 def _fit(df: DataFrame, features: Sequence[str], target: str, settings: BoostSettings,
          validation: str | None) -> PipelineModel:
     data = fill_features(df, features).withColumn("_label", F.col(target).cast("double"))
-    boost = GBTRegressor(
-        featuresCol="_features", labelCol="_label", predictionCol=PREDICTION, maxIter=settings.trees,
-        stepSize=settings.learning_rate, maxDepth=settings.depth, subsamplingRate=settings.row_share,
-        featureSubsetStrategy=str(settings.feature_share), minInstancesPerNode=settings.min_rows, seed=settings.seed,
-        validationTol=settings.tolerance)
-    keep = [*features, "_label"]
     if validation is not None:
-        boost = boost.setValidationIndicatorCol(validation)
-        keep.append(validation)
+        data = data.withColumn("_held", F.coalesce(F.col(validation), F.lit(False)))
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    # both training sets are read once per tree level, so keep them in the cluster's memory and disk
-    data = data.select(*keep).persist()
+    # the rows are read once per tree level: keep them in the cluster's memory and disk, in partitions worth a task
+    data = settle(data.select(*features, "_label", *(["_held"] if validation is not None else [])))
+    data = assembler.transform(data.repartition(max(1, -(-data.count() // ROWS_A_TASK)))).persist()
+
+    def boosted(rows: DataFrame, trees: int):
+        return GBTRegressor(
+            featuresCol="_features", labelCol="_label", predictionCol=PREDICTION, maxIter=trees,
+            stepSize=settings.learning_rate, maxDepth=settings.depth, subsamplingRate=settings.row_share,
+            featureSubsetStrategy=str(settings.feature_share), minInstancesPerNode=settings.min_rows, seed=settings.seed).fit(rows)
+
     try:
-        return Pipeline(stages=[assembler, boost]).fit(data)
+        if validation is None:
+            return PipelineModel([assembler, boosted(data, settings.trees)])
+        train, held = data.filter(~F.col("_held")), data.filter("_held")
+        trees = min(settings.trees, 2 * settings.patience)
+        while True:  # twice as many trees until the validation error has stopped falling; the same seed grows the same trees
+            model = boosted(train, trees)
+            keep, settled = best_round(model.evaluateEachIteration(held, "squared"), settings.patience)
+            if settled or trees == settings.trees:
+                break
+            trees = min(settings.trees, 2 * trees)
+        return PipelineModel([assembler, model if keep == trees else boosted(train, keep)])
     finally:
         data.unpersist()
 
 
 def fit_risk(df: DataFrame, features: Sequence[str], target: str, validation: str | None = None,
              settings: BoostSettings = RISK_BOOST) -> PipelineModel:
-    """M3. Boosted regression of the target; stops early on the rows whose ``validation`` flag is true."""
+    """M3. Boosted regression of the target. With a ``validation`` flag it learns from the other rows and keeps the trees up to the
+    smallest validation error after which ``patience`` more brought no smaller one."""
     return _fit(df, features, target, settings, validation)
 
 
@@ -99,7 +123,7 @@ def score_units(model: PipelineModel, df: DataFrame, features: Sequence[str], co
     return scored.withColumn("predicted_count", F.round(PREDICTION, 2)).drop(PREDICTION)
 
 
-def score_cells(model: PipelineModel, df: DataFrame, features: Sequence[str], top_n: int = SETTINGS.top_hotspots,
+def score_cells(model: PipelineModel, df: DataFrame, features: Sequence[str], top_n: int | None = SETTINGS.top_hotspots,
                 cols: Columns = COLUMNS) -> DataFrame:
     """M5 on cells, then W18."""
     keys = [cols.cell, *cols.time]
@@ -148,9 +172,10 @@ def fold_sizes(ordered: DataFrame, folds: Sequence[Fold]) -> DataFrame:
 def cross_validate(df: DataFrame, order: Sequence[Column | str], features: Sequence[str], target: str,
                    fit: Callable[[DataFrame], PipelineModel], splits: int = SETTINGS.cv_splits,
                    gap: int = SETTINGS.cv_gap) -> DataFrame:
-    """M6. Error per fold and pooled (fold 0); one fit per fold, rows never leave the executors."""
+    """M6. Error and sizes per fold and pooled (fold 0), with the number of folds and of all rows; one fit per fold."""
     ordered = settle(ordered_rows(df, order))
-    folds = time_folds(ordered.count(), splits, gap)
+    total = ordered.count()
+    folds = time_folds(total, splits, gap)
     tested: DataFrame | None = None
     for f in folds:
         model = fit(ordered.filter(F.col("_row") < f.train_rows))
@@ -160,7 +185,8 @@ def cross_validate(df: DataFrame, order: Sequence[Column | str], features: Seque
     tested = settle(tested)
     per_fold = fit_error(tested, target, PREDICTION, ["fold"])
     pooled = fit_error(tested, target, PREDICTION).withColumn("fold", F.lit(0))
-    return per_fold.unionByName(pooled)
+    return per_fold.unionByName(pooled).join(fold_sizes(ordered, folds), "fold", "left").withColumns({
+        "n_splits": F.lit(len(folds)), "total_samples": F.lit(total)})
 
 
 def evaluate(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

@@ -56,11 +56,12 @@ def rank_within_year(df: DataFrame, value: str = "risk_index", cols: Columns = C
 def with_trend_score(df: DataFrame, value: str = "trend_3y", cols: Columns = COLUMNS) -> DataFrame:
     """W13. Min-max within the year, a constant year gives 0.
 
-    The limits of all years travel as one small map (one entry per year).
+    The limits of all years travel as one small map (one entry per year). Rows
+    without a year have no limits and get 0.
     """
-    limits = df.groupBy(cols.year).agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("m"))
+    limits = df.filter(F.col(cols.year).isNotNull()).groupBy(cols.year).agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("m"))
     by_year = limits.agg(F.map_from_entries(F.collect_list(F.struct(cols.year, "m"))).alias("limits"))
-    own = F.element_at(F.col("_stats.limits"), F.col(cols.year))
+    own = F.try_element_at(F.col("_stats.limits"), F.col(cols.year))
     scaled = F.try_divide(F.col(value) - own["lo"], F.nullif(own["hi"] - own["lo"], F.lit(0.0)))
     df = with_stats(df, "_stats", by_year)
     return df.withColumn("trend_score", rounded(F.coalesce(scaled, F.lit(0.0)), 4)).drop("_stats")
@@ -90,9 +91,9 @@ def score_0_100(df: DataFrame, prediction: str, keys: Sequence[str], rank: str =
     return global_row_number(scored, [F.col(prediction).desc(), *[F.col(k).asc() for k in keys]], rank)
 
 
-def with_confidence(df: DataFrame, prediction: str, exact_rows: int = 1_000_000) -> DataFrame:
+def with_confidence(df: DataFrame, prediction: str) -> DataFrame:
     """W17. 1 at the median prediction, falling to 0 three deviations away."""
-    median = exact_medians(df, [prediction], exact_rows)[prediction]
+    median = exact_medians(df, [prediction])[prediction]
     df = with_stats(df, "_stats", df.agg(F.stddev_pop(prediction).alias("sd"), F.count(prediction).alias("n")))
     sd = F.when(F.col("_stats.n") > 1, F.col("_stats.sd")).otherwise(F.lit(1.0))
     off = F.abs(F.col(prediction) - F.lit(median)) / (sd * 3 + F.lit(1e-6))
@@ -105,10 +106,12 @@ def risk_scores(df: DataFrame, prediction: str, keys: Sequence[str]) -> DataFram
     return score_0_100(with_confidence(df, prediction), prediction, keys)
 
 
-def hotspots(df: DataFrame, prediction: str, keys: Sequence[str], top_n: int = SETTINGS.top_hotspots) -> DataFrame:
-    """W18. The ``top_n`` cells by prediction with score and rank; a bounded top-k, no full sort."""
+def hotspots(df: DataFrame, prediction: str, keys: Sequence[str], top_n: int | None = SETTINGS.top_hotspots) -> DataFrame:
+    """W18. All cells with score and rank by prediction, or the first ``top_n`` (a bounded top-k, no full sort)."""
     scored = _with_score(df, prediction)
     order = [F.col(prediction).desc(), *[F.col(k).asc() for k in keys]]
+    if top_n is None:
+        return global_row_number(scored, order, "hotspot_rank").withColumn("hotspot_rank", F.col("hotspot_rank").cast("int"))
     return scored.orderBy(*order).limit(top_n).withColumn(
         "hotspot_rank", F.row_number().over(Window.orderBy(*order)))
 

@@ -6,12 +6,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import shared_dir
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def settle(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` so that later passes read it instead of computing it again."""
@@ -27,27 +24,6 @@ def with_stats(df: DataFrame, name: str, stats: DataFrame) -> DataFrame:
     return df.withColumn(name, stats.select(F.struct(*stats.columns)).scalar())
 
 
-def _row_bytes(schema: T.StructType) -> Column:
-    """Upper estimate of a row's size: 16 bytes per column plus the text of variable-size values."""
-    total = F.lit(16 * len(schema.fields))
-    for f in schema.fields:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            total = total + F.coalesce(F.octet_length(f.name), F.lit(0))
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            total = total + F.coalesce(F.octet_length(F.to_json(f.name)), F.lit(0))
-    return total
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``df`` for broadcast when its measured size is within ``max_bytes``.
-
-    One aggregate measures it. Beyond the bound the frame comes back unmarked:
-    the join then shuffles and adaptive execution splits hot keys.
-    """
-    size = df.agg(F.coalesce(F.sum(_row_bytes(df.schema).cast("long")), F.lit(0))).first()[0]
-    return F.broadcast(df) if size <= max_bytes else df
-
-
 def global_row_number(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """1..n over the whole frame without a one-task window.
 
@@ -98,69 +74,68 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], exact_rows: int = 1_000_000,
-                  sizes: Mapping[str, int] | None = None) -> dict[str, float | None]:
+def exact_medians(df: DataFrame, columns: Sequence[str], sizes: Mapping[str, int] | None = None,
+                  distinct: int = 50_000) -> dict[str, float | None]:
     """Exact median of each numeric column; only single values reach the driver.
 
-    Up to ``exact_rows`` non-null rows, the built-in ``median`` is used (it
-    holds the distinct values of a column in one task). Beyond, approximate
-    percentiles bracket the middle ranks, the bracket is narrowed until few
-    distinct values can remain, and these are counted exactly. ``sizes`` are
-    the non-null counts where the caller has them already.
+    Approximate percentiles bracket the middle ranks. While more than about
+    ``distinct`` different values lie inside a bracket (counted, within a few
+    percent), it is narrowed; a bracket that misses its ranks is taken wider.
+    The values left are counted exactly, at most a window of that many rows.
+    ``sizes`` are the non-null counts where the caller has them already.
     """
     if not columns:
         return {}
     if sizes is None:
         sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    small = [c for c in columns if sizes[c] <= exact_rows]
-    large = [c for c in columns if sizes[c] > exact_rows]
-    out: dict[str, float | None] = {}
-    if small:
-        out.update(df.agg(*[F.median(c).alias(c) for c in small]).first().asDict())
-    if large:
-        out.update(_bracketed_medians(df, large, sizes, exact_rows))
-    return out
-
-
-def _bracketed_medians(df: DataFrame, columns: list[str], sizes: Mapping[str, int], exact_rows: int) -> dict[str, float]:
-    accuracy, margin = 10_000, 3e-4
-    ranks = {c: ((sizes[c] + 1) // 2, sizes[c] // 2 + 1) for c in columns}
-    state = {c: (None, None, 0, sizes[c]) for c in columns}  # low, high, rows below, rows inside
-    possible = float(max(sizes[c] for c in columns))
+    out: dict[str, float | None] = {c: None for c in columns}
+    live = [c for c in columns if sizes[c]]
+    if not live:
+        return out
+    ranks = {c: ((sizes[c] + 1) // 2, sizes[c] // 2 + 1) for c in live}
+    state = {c: (None, None, 0, sizes[c]) for c in live}  # low, high, rows below, rows inside
+    margin = {c: 3e-4 for c in live}
 
     def inside(c: str) -> Column:
         low, high, _, _ = state[c]
-        return F.lit(True) if low is None else F.col(c).between(F.lit(low), F.lit(high))
+        return F.col(c).isNotNull() if low is None else F.col(c).between(F.lit(low), F.lit(high))
+
+    def crowded(names: list[str]) -> list[str]:
+        found = df.agg(*[F.approx_count_distinct(F.when(inside(c), F.col(c))).alias(c) for c in names]).first()
+        return [c for c in names if found[c] > distinct]
 
-    while possible > max(exact_rows, 100):  # a pass leaves at least a few values, so stop well above that
+    wide, done = crowded(live), set()
+    while wide:
         picks = []
-        for c in columns:
+        for c in wide:
             _, _, below, rows = state[c]
-            k1, k2 = ranks[c]
-            shares = [max(0.0, (k1 - below) / rows - margin), min(1.0, (k2 - below) / rows + margin)]
-            picks.append(F.percentile_approx(F.when(inside(c), F.col(c)), shares, accuracy).alias(c))
+            shares = [max(0.0, (ranks[c][0] - below) / rows - margin[c]), min(1.0, (ranks[c][1] - below) / rows + margin[c])]
+            picks.append(F.percentile_approx(F.when(inside(c), F.col(c)), shares, 10_000).alias(c))
         bounds = df.agg(*picks).first()
         counts = df.agg(*[
             F.struct(F.count_if(F.col(c) < F.lit(bounds[c][0])).alias("below"),
                      F.count_if(F.col(c).between(F.lit(bounds[c][0]), F.lit(bounds[c][1]))).alias("rows")).alias(c)
-            for c in columns
+            for c in wide
         ]).first()
-        for c in columns:
-            k1, k2 = ranks[c]
-            if not (counts[c]["below"] < k1 and counts[c]["below"] + counts[c]["rows"] >= k2):
-                raise ArithmeticError(f"median bracket of {c} missed its ranks")
-            state[c] = (bounds[c][0], bounds[c][1], counts[c]["below"], counts[c]["rows"])
-        possible = possible * 1e-3 + 2
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.when(inside(c), F.col(c).cast("double")).alias("value"))
-                      for c in columns])
+        for c in wide:
+            below, rows = counts[c]["below"], counts[c]["rows"]
+            taken = (bounds[c][0], bounds[c][1], below, rows)
+            if below < ranks[c][0] and below + rows >= ranks[c][1]:
+                if taken == state[c]:
+                    done.add(c)  # as narrow as percentiles get
+                state[c] = taken
+            else:
+                margin[c] *= 4
+        wide = [c for c in crowded(wide) if c not in done]
+
+    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.when(inside(c), F.col(c).cast("double")).alias("value")) for c in live])
     values = (
         df.select(F.explode(pairs).alias("p")).select("p.name", "p.value").filter(F.col("value").isNotNull())
         .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    upto = Window.partitionBy("name").orderBy("value")
-    running = values.withColumn("upto", F.sum("n").over(upto))
-    need = F.create_map(*[x for c in columns for x in (
+    running = values.withColumn("upto", F.sum("n").over(Window.partitionBy("name").orderBy("value")))
+    need = F.create_map(*[x for c in live for x in (
         F.lit(c), F.array(*[F.lit(k - state[c][2]).cast("long") for k in ranks[c]]))])
     at = [F.min(F.when(F.col("upto") >= need[F.col("name")][i], F.col("value"))) for i in (0, 1)]
-    return {r["name"]: r["m"] for r in running.groupBy("name").agg(((at[0] + at[1]) / 2).alias("m")).collect()}
+    middles = running.groupBy("name").agg(((at[0] + at[1]) / 2).alias("m")).collect()
+    return out | {r["name"]: r["m"] for r in middles}

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, Columns
-from ..functions.geo import ring_bounds, ring_contains, ring_distance
-from ..functions.scalar import col
-from .scale import broadcast_if_small, with_stats
+from ..functions.geo import area_centroid, ring_bounds, ring_contains, ring_distance, shape_contains, shape_distance
+from ..functions.scalar import col, haversine_km
+from .scale import with_stats
 
 
 def _neighbour_mean(unit_year: DataFrame, edges: DataFrame, value: str, name: str, cols: Columns) -> DataFrame:
     other = unit_year.select(F.col(cols.unit).alias("dst"), F.col(cols.year), F.col(value).alias("_v"))
     means = (
-        other.join(broadcast_if_small(edges), "dst")
+        other.join(edges, "dst")
         .groupBy(F.col("src").alias(cols.unit), cols.year).agg(F.avg("_v").alias(name))
     )
     return unit_year.join(means, [cols.unit, cols.year], "left")
@@ -68,6 +68,12 @@ def _rings_meet(a: Column, b: Column, reach: float) -> Column:
     return near(a, b) | near(b, a) | crosses
 
 
+def whole_shapes(polys: DataFrame) -> DataFrame:
+    """(name, rings): all parts and holes of a name in one row. ``polys`` has a ``ring`` or an array ``rings`` a row."""
+    rings = F.flatten(F.collect_list("rings")) if "rings" in polys.columns else F.collect_list("ring")
+    return polys.groupBy("name").agg(rings.alias("rings"))
+
+
 def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
     """J5. Edges (src, dst), both ways, of shapes that meet when each grows by ``tol``.
 
@@ -75,7 +81,9 @@ def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
     of two above its grown box, so it touches at most nine buckets) and looks
     for others there and on all coarser grids. Candidates thus are near a shape
     of at least their own size, however the shapes crowd. They then pass the
-    bounding-box test, and with ``exact`` the ring test.
+    bounding-box test, and with ``exact`` the ring test. A shape of several
+    parts has a row for each; parts of one name are no neighbours, and an edge
+    comes once however many parts meet.
     """
     b = ring_bounds("ring")
     side = F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]) + F.lit(2 * tol)
@@ -110,50 +118,52 @@ def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
     if exact:
         # the optimizer may test this before the join's own conditions: keep the cheap ones in front
         pairs = pairs.filter(F.when(once & boxes_meet & here, _rings_meet(F.col("a.ring"), F.col("b.ring"), reach)))
-    one_way = pairs.select(F.col("a.name").alias("src"), F.col("b.name").alias("dst"))
+    one_way = pairs.select(F.least("a.name", "b.name").alias("src"), F.greatest("a.name", "b.name").alias("dst"))
+    one_way = one_way.filter(F.col("src") != F.col("dst")).distinct()
     both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return one_way.select(F.inline(both))
 
 
-def _inside(ring: Column, x: Column, y: Column, tol: float) -> Column:
-    hit = ring_contains(ring, x, y)
-    return hit | (ring_distance(ring, x, y) <= tol) if tol > 0 else hit
+def _inside(rings: Column, x: Column, y: Column, tol: float) -> Column:
+    hit = shape_contains(rings, x, y)
+    return hit | (shape_distance(rings, x, y) <= tol) if tol > 0 else hit
 
 
 def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cols: Columns = COLUMNS) -> DataFrame:
     """J6. Points with the ``name`` of each polygon holding them (within ``tol``); points outside all drop out.
 
-    An equi-join on grid buckets feeds the ring test. A polygon lives on the
+    Parts and holes of a name are one shape, see :func:`whole_shapes`. An
+    equi-join on grid buckets feeds the ring test. A polygon lives on the
     grid of its size class (bucket side: the power of eight above its grown
     box, so it touches at most nine buckets); a point looks on each grid in
     use, which for shapes of like size is one.
     """
     x, y = F.col(cols.lon), F.col(cols.lat)
-    b = ring_bounds("ring")
+    b = ring_bounds(F.flatten("rings"))
     side = F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]) + F.lit(2 * tol)
     size = F.ceil(F.log2(F.greatest(side, F.lit(1e-9))) / 3).cast("int")
-    shapes = polys.select("name", "ring").withColumns({**b, "_level": size})
+    shapes = whole_shapes(polys).withColumns({**b, "_level": size})
     levels = [r[0] for r in shapes.select("_level").distinct().collect()]  # a few powers of eight
     step = F.pow(F.lit(8.0), F.col("_level"))
     bucket = lambda c, d=0.0: F.floor((c + F.lit(d)) / step)
     covers = (
         shapes.withColumn("_bx", F.explode(F.sequence(bucket(F.col("x_min"), -tol), bucket(F.col("x_max"), tol))))
         .withColumn("_by", F.explode(F.sequence(bucket(F.col("y_min"), -tol), bucket(F.col("y_max"), tol))))
-        .select("name", "ring", *b, "_level", "_bx", "_by")
+        .select("name", "rings", *b, "_level", "_bx", "_by")
     )
     in_box = x.between(F.col("x_min") - tol, F.col("x_max") + tol) & y.between(F.col("y_min") - tol, F.col("y_max") + tol)
     grids = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
     located = points.withColumn("_level", grids).withColumns({"_bx": bucket(x), "_by": bucket(y)})
     return (
-        located.join(broadcast_if_small(covers), ["_level", "_bx", "_by"])
-        .filter(F.when(in_box, _inside(F.col("ring"), x, y, tol))).drop("_level", "_bx", "_by", "ring", *b)
+        located.join(covers, ["_level", "_bx", "_by"])
+        .filter(F.when(in_box, _inside(F.col("rings"), x, y, tol))).drop("_level", "_bx", "_by", "rings", *b)
     )
 
 
 def outside_claimed(points: DataFrame, polys: DataFrame, tol: float, cols: Columns = COLUMNS) -> DataFrame:
     """J6 / V14. One row: points tested, points outside the polygon of their own unit, and the share."""
-    tested = points.join(broadcast_if_small(polys.select(F.col("name").alias(cols.unit), "ring")), cols.unit)
-    outside = F.count_if(~_inside(F.col("ring"), F.col(cols.lon), F.col(cols.lat), tol))
+    tested = points.join(whole_shapes(polys).withColumnRenamed("name", cols.unit), cols.unit)
+    outside = F.count_if(~_inside(F.col("rings"), F.col(cols.lon), F.col(cols.lat), tol))
     return tested.agg(F.count(F.lit(1)).alias("tested"), outside.alias("outside")).withColumn(
         "failure_share", F.try_divide(F.col("outside").cast("double"), F.col("tested")))
 
@@ -177,7 +187,7 @@ def crosswalk(units: DataFrame, mapping: DataFrame) -> DataFrame:
     """
     grouped = mapping.groupBy("name").agg(
         F.array_sort(F.collect_set("source")).alias("_s"), F.bool_or("approximate").alias("_a"))
-    return units.join(broadcast_if_small(grouped), "name", "left").select(
+    return units.join(grouped, "name", "left").select(
         "name", F.coalesce("_s", F.array("name")).alias("sources"),
         F.coalesce("_a", F.lit(False)).alias("approximate"))
 
@@ -193,16 +203,24 @@ def unresolved(walked: DataFrame, polys: DataFrame) -> DataFrame:
 
 def attach_centroid(df: DataFrame, centroids: DataFrame, on: str) -> DataFrame:
     """J9. Inner join with a centroid table; rows without one drop out."""
-    return df.join(broadcast_if_small(centroids), on)
+    return df.join(centroids, on)
+
+
+def distance_to_centre(points: DataFrame, polys: DataFrame, cols: Columns = COLUMNS, name: str = "distance_to_centre_km") -> DataFrame:
+    """J9. Great-circle distance of each point to the centre of area of its own unit; NULL without a shape."""
+    centre = whole_shapes(polys).select(F.col("name").alias(cols.unit), area_centroid("rings").alias("_c"))
+    far = haversine_km(F.col(cols.lat), F.col(cols.lon), F.col("_c.y"), F.col("_c.x"))
+    known = F.col("_c").isNotNull() & F.col(cols.lat).isNotNull() & F.col(cols.lon).isNotNull()
+    return points.join(centre, cols.unit, "left").withColumn(name, F.when(known, far)).drop("_c")
 
 
 def lookup_default(df: DataFrame, dim: DataFrame, on: str, value: str, default: Column | str | float) -> DataFrame:
     """J10. Left join with a lookup table; a missing value becomes ``default``."""
     fallback = default if isinstance(default, Column) else F.lit(default)
-    joined = df.join(broadcast_if_small(dim.select(on, F.col(value).alias("_v"))), on, "left")
+    joined = df.join(dim.select(on, F.col(value).alias("_v")), on, "left")
     return joined.withColumn(value, F.coalesce("_v", fallback)).drop("_v")
 
 
 def attach_unit_features(incidents: DataFrame, unit_year: DataFrame, cols: Columns = COLUMNS) -> DataFrame:
     """J1. Yearly unit features on every incident; incidents without a match stay."""
-    return incidents.join(broadcast_if_small(unit_year), cols.unit_year_keys, "left")
+    return incidents.join(unit_year, cols.unit_year_keys, "left")

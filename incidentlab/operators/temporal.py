@@ -8,7 +8,6 @@ month of the calendar.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -42,20 +41,24 @@ def rolling(df: DataFrame, group: Sequence[str], target: str, windows: Sequence[
 
 def ema(df: DataFrame, group: Sequence[str], target: str, span: int = SETTINGS.ema_span,
         cols: Columns = COLUMNS) -> DataFrame:
-    """W3. Exponential mean of the previous rows, first row NULL.
+    """W3. Exponential mean of all previous rows, first row NULL.
 
-    A fold over a bounded trailing frame: rows further back than ``depth``
-    weigh less than 1e-18 of the newest and cannot change a double, so the
-    result is that of the full recursion and the window is shared with W1-W6.
+    A fold over the whole history of the group (a unit's months). A NULL keeps
+    its place: the mean stays, and the weight of what came before it falls by
+    one more step. The window is shared with W1-W6.
     """
     alpha = 2.0 / (span + 1)
-    depth = math.ceil(math.log(1e-18) / math.log(1 - alpha)) + 1 if alpha < 1 else 1
-    past = F.collect_list(F.col(target).cast("double")).over(series(group, cols).rowsBetween(-depth, -1))
-    fold = F.aggregate(
-        past, F.lit(None).cast("double"),
-        lambda e, x: F.when(e.isNull(), x).otherwise(e * F.lit(1 - alpha) + x * F.lit(alpha)),
-    )
-    return df.withColumn(f"ema_{span}m", fold)
+    past = F.collect_list(F.struct(F.col(target).cast("double").alias("x"))).over(
+        series(group, cols).rowsBetween(Window.unboundedPreceding, -1))
+    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(1.0).alias("weight"))
+
+    def step(state: Column, row: Column) -> Column:
+        x, old = row["x"], state["weight"] * F.lit(1 - alpha)
+        mixed = (state["mean"] * old + x * F.lit(alpha)) / (old + F.lit(alpha))
+        return F.struct(F.when(x.isNull(), state["mean"]).when(state["mean"].isNull(), x).otherwise(mixed).alias("mean"),
+                        F.when(x.isNull() & state["mean"].isNotNull(), old).otherwise(F.lit(1.0)).alias("weight"))
+
+    return df.withColumn(f"ema_{span}m", F.aggregate(past, start, step, lambda state: state["mean"]))
 
 
 def growth(df: DataFrame, group: Sequence[str], target: str, lag: int = 12, cols: Columns = COLUMNS) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..columns import COLUMNS, Columns
 from ..functions.scalar import rate_100k
 from ..operators import risk, spatial, temporal
-from ..operators.scale import broadcast_if_small, settle
+from ..operators.scale import settle
 
 FEATURES = ("rate_100k", "trend_3y", "growth_rate", "historical_growth", "expected_growth", "neighbor_risk",
             "spatial_lag", "local_moran", "risk_index", "risk_percentile", "risk_rank", "trend_score", "anomaly_score")
@@ -23,7 +23,7 @@ def unit_year_neighbours(unit_year: DataFrame, edges: DataFrame, count: str, col
     """Neighbour mean and spatial lag from one pass over the edges."""
     other = unit_year.select(F.col(cols.unit).alias("dst"), cols.year, F.col(count).alias("_n"), "rate_100k")
     near = (
-        other.join(broadcast_if_small(edges), "dst").groupBy(F.col("src").alias(cols.unit), cols.year)
+        other.join(edges, "dst").groupBy(F.col("src").alias(cols.unit), cols.year)
         .agg(F.avg("_n").alias("neighbor_risk"), F.avg("rate_100k").alias("spatial_lag"))
     )
     return unit_year.join(near, [cols.unit, cols.year], "left")

@@ -21,6 +21,8 @@ def build_session(app: str = "incidentlab", master: str | None = None, shuffle_p
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")  # by measured shuffle sizes
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)

@@ -106,14 +106,19 @@ def to_geojson(df: DataFrame, **names: str) -> DataFrame:
     return features.select(F.to_json(F.struct("type", "geometry", "properties")).alias("feature"))
 
 
-def feature_collection(df: DataFrame, top_n: int = SETTINGS.top_hotspots, rank: str = "hotspot_rank",
+def feature_collection(df: DataFrame, top_n: int = SETTINGS.map_cells, rank: str = "hotspot_rank",
                        resolution: int = SETTINGS.cell_resolution, **names: str) -> DataFrame:
-    """S6. One FeatureCollection document of the first ``top_n`` cells (a bounded list) with its metadata."""
+    """S6. One FeatureCollection document with its metadata.
+
+    One document is one value, so it holds the first ``top_n`` cells;
+    ``total_hotspots`` counts all of them. ``to_geojson`` writes any number.
+    """
+    total = df.agg(F.count(F.lit(1)).cast("int")).scalar()
     features = to_features(df.orderBy(rank).limit(top_n), rank=rank, **names)
     ordered = F.array_sort(F.collect_list(F.struct(F.col("properties.rank").alias("k"), F.struct("type", "geometry", "properties").alias("f"))))
     return features.agg(ordered.alias("_f")).select(F.to_json(F.struct(
         F.lit("FeatureCollection").alias("type"), F.transform("_f", lambda x: x["f"]).alias("features"),
-        F.struct(F.lit(resolution).alias("resolution"), F.size("_f").alias("total_hotspots")).alias("metadata"),
+        F.struct(F.lit(resolution).alias("resolution"), total.alias("total_hotspots")).alias("metadata"),
     )).alias("document"))
 
 
@@ -127,7 +132,10 @@ def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str] | None
 
     A document without a feature list gives no rows. With ``lines`` each line
     holds one Feature (as :func:`to_geojson` writes them), which splits over
-    tasks at any size.
+    tasks at any size. ``polygons`` is an array of polygons of rings of
+    positions for every kind of geometry: a line or a point is one ring,
+    and Multi* kinds keep all their parts. :func:`shape_rings` feeds it to the
+    spatial operators.
     """
     renames = dict(GEOJSON_NAMES if names is None else names)
     if lines:
@@ -137,11 +145,27 @@ def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str] | None
         features = docs.select(F.explode("features").alias("f"))
     return features.select(
         "f.type", F.get_json_object("f.geometry", "$.type").alias("geometry_type"),
-        F.from_json(F.get_json_object("f.geometry", "$.coordinates"), "array<array<array<double>>>").alias("coordinates"),
+        _polygons(F.get_json_object("f.geometry", "$.type"), F.get_json_object("f.geometry", "$.coordinates")).alias("polygons"),
         _renamed(F.coalesce(F.col("f.properties"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), renames)
         .alias("properties"))
 
 
+def _polygons(kind: Column, coordinates: Column) -> Column:
+    """Coordinates of any geometry kind as array<polygon<ring<position<double>>>>; an unknown kind gives NULL."""
+    def parsed(depth: int) -> Column:
+        return F.from_json(coordinates, "array<" * depth + "double" + ">" * depth)
+
+    return (F.when(kind == "MultiPolygon", parsed(4)).when(kind.isin("Polygon", "MultiLineString"), F.array(parsed(3)))
+            .when(kind.isin("LineString", "MultiPoint"), F.array(F.array(parsed(2)))).when(kind == "Point", F.array(F.array(F.array(parsed(1))))))
+
+
+def shape_rings(features: DataFrame, name: str) -> DataFrame:
+    """(name, rings) of features for the spatial operators; ``name`` is a property."""
+    position = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    rings = F.transform(F.flatten("polygons"), lambda ring: F.transform(ring, position))
+    return features.filter(F.col("polygons").isNotNull()).select(F.col("properties")[name].alias("name"), rings.alias("rings"))
+
+
 def _renamed(properties: Column, names: Mapping[str, str]) -> Column:
     pairs = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.transform_keys(properties, lambda k, _: F.coalesce(F.try_element_at(pairs, k), k))

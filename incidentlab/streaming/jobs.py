@@ -20,9 +20,18 @@ CHANNELS = ("risk_update", "hotspot_update", "report_complete")
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The files of one table as a stream, schema taken from the table."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """The rows of one table as a stream, schema taken from the table.
+
+    A table may be a folder of part files or a single file; a missing one
+    raises. One row tells which: its file lies inside the folder or is the table.
+    """
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    table = spark.read.parquet(path)
+    row = table.select(F.col("_metadata.file_path").alias("file")).first()
+    source = spark.readStream.schema(table.schema)
+    if row is None or f"/{name}.parquet/" in row.file:
+        return source.parquet(path)
+    return source.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def caller(user: str = "user_id", forwarded: str = "forwarded", host: str = "host") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from incidentlab import fixtures as fx
-from incidentlab.operators import allocate, scale
+from incidentlab.operators import allocate, scale, spatial
 
 
 def test_global_row_number_equals_one_window(spark, data):
@@ -36,7 +36,7 @@ def test_global_row_number_empty(spark):
 ])
 def test_bracketed_median_is_exact(spark, values):
     df = spark.createDataFrame([(float(v), None if i % 7 == 0 else float(-v)) for i, v in enumerate(values)], "a double, b double")
-    got = scale.exact_medians(df, ["a", "b"], exact_rows=2)
+    got = scale.exact_medians(df, ["a", "b"], distinct=2)
     assert got["a"] == statistics.median(values)
     assert got["b"] == statistics.median([-float(v) for i, v in enumerate(values) if i % 7 != 0])
 
@@ -44,7 +44,7 @@ def test_bracketed_median_is_exact(spark, values):
 def test_bracketed_median_on_many_values(spark):
     df = spark.range(200_001).select(((F.col("id") * 7919) % 200_003).cast("double").alias("v"))
     rows = sorted((i * 7919) % 200_003 for i in range(200_001))
-    assert scale.exact_medians(df, ["v"], exact_rows=100)["v"] == float(rows[100_000])
+    assert scale.exact_medians(df, ["v"], distinct=100)["v"] == float(rows[100_000])
 
 
 def test_median_of_nothing_is_null(spark):
@@ -65,13 +65,23 @@ def test_capped_sample_cuts_map_side(spark, data):
     assert text.count("WindowGroupLimit") == 4
 
 
-def test_long_values_count_towards_the_bound(spark):
-    wide = spark.range(3).select("id", F.repeat(F.lit("x"), 500).alias("text"), F.array_repeat(F.lit(1.5), 200).alias("ring"))
-    assert "broadcast" not in scale.broadcast_if_small(wide, 3000)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" in scale.broadcast_if_small(wide, 5000)._jdf.queryExecution().logical().toString().lower()
-
-
-def test_broadcast_only_below_the_bound(spark):
-    small, big = spark.range(10), spark.range(1000)
-    assert "broadcast" in scale.broadcast_if_small(small, 1000)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in scale.broadcast_if_small(big, 1000)._jdf.queryExecution().logical().toString().lower()
+def test_joins_with_totals_start_no_job_and_broadcast_when_run(spark, data):
+    tracker = spark.sparkContext.statusTracker()
+    members, incidents = fx.unit_year(spark, data), fx.inc(spark, data)
+    spark.sparkContext.setJobGroup("planning", "no job while a plan is built")
+    built = [allocate.apportion(members.withColumns({"t": F.lit(100), "s": F.lit(0.1)}), ["state"], "unit", "t", "s"),
+             allocate.share_score(members.selectExpr("*", "n as a"), ["state"], {"a": 1.0}),
+             spatial.crosswalk(members.select(F.col("unit").alias("name")).distinct(),
+                               members.select(F.col("unit").alias("name"), F.lit("x").alias("source"), F.lit(True).alias("approximate"))),
+             spatial.attach_unit_features(incidents, members)]
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for frame in built:
+        frame.collect()
+        assert "BroadcastHashJoin" in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_confidence_and_medians_take_one_path(spark):
+    df = spark.createDataFrame([(float(v),) for v in [7] * 900 + list(range(101))], "v double")
+    for bound in (1, 10, 100_000):
+        assert scale.exact_medians(df, ["v"], distinct=bound) == {"v": 7.0}

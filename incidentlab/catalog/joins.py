@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..functions.geo import ring_centroid
 from ..operators import access, clean, spatial
-from ..operators.risk import with_risk_index
-from ..operators.scale import settle
 from ..plans import enrich
 from ..functions.scalar import rounded
 from .registry import query, rnd
@@ -20,15 +18,26 @@ def unit_year_chain(spark, d):
     return enrich.unit_year_rates(fx.unit_year(spark, d), "n")
 
 
+_SIX = ("rate_100k", "trend_3y", "growth_rate", "historical_growth", "expected_growth", "neighbor_risk", "spatial_lag", "local_moran")
+
+
 @query("j1_attach_unit_features", f"""
-SELECT i.id, i.unit, i.year, u.n AS unit_count, {R('u.growth_rate')} AS growth_rate, {R('u.risk_index', 4)} AS risk_index
-FROM inc i LEFT JOIN uy_risk u ON i.state = u.state AND i.unit = u.unit AND i.year = u.year""", "uy_risk")
+WITH v AS (SELECT *, coalesce(rate_100k, CAST(n AS DOUBLE)) AS v FROM uy_risk),
+z AS (SELECT *, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS z FROM v),
+nz AS (SELECT src, year, avg(z) AS nz FROM edges JOIN z ON dst = unit GROUP BY src, year),
+m AS (SELECT z.*, z.z * nz.nz AS local_moran, count(*) OVER y AS of_year, rank() OVER (PARTITION BY z.year ORDER BY risk_index) AS up,
+  rank() OVER (PARTITION BY z.year ORDER BY risk_index DESC) AS down, count(*) OVER (PARTITION BY z.year, risk_index) AS ties,
+  min(trend_3y) OVER y AS lo, max(trend_3y) OVER y AS hi, avg(growth_rate) OVER u AS gm, stddev_samp(growth_rate) OVER u AS gs
+  FROM z LEFT JOIN nz ON nz.src = z.unit AND nz.year = z.year WINDOW y AS (PARTITION BY z.year), u AS (PARTITION BY state, unit))
+SELECT i.id, i.unit, i.year, m.n AS unit_count, {', '.join(f"{R('m.' + c)} AS {c}" for c in _SIX)}, m.risk_index AS risk_index,
+  m.risk_index AS nearby_hotspot_score, {R('(up + (ties - 1) / 2) / of_year', 4)} AS risk_percentile, down AS risk_rank,
+  {R('coalesce((trend_3y - lo) / nullif(hi - lo, 0), 0)', 4)} AS trend_score,
+  CASE WHEN gs = 0 THEN 0 ELSE {R('abs((growth_rate - gm) / gs)', 4)} END AS anomaly_score
+FROM inc i LEFT JOIN m ON i.state = m.state AND i.unit = m.unit AND i.year = m.year""", "uy_risk edges inc")
 def j1(spark, d):
-    near = enrich.unit_year_neighbours(unit_year_chain(spark, d), fx.edges(spark, d), "n")
-    uy = settle(with_risk_index(near, "n", "rate_100k", "growth_rate", "neighbor_risk").select(
-        "state", "unit", "year", F.col("n").alias("unit_count"), rounded("growth_rate", 6).alias("growth_rate"), "risk_index"))
-    return spatial.attach_unit_features(fx.inc(spark, d).select("id", "state", "unit", "year"), uy).select(
-        "id", "unit", "year", "unit_count", "growth_rate", "risk_index")
+    """All fifteen unit-year features on every incident."""
+    out = enrich.enrich_incidents(fx.inc(spark, d).select("id", "state", "unit", "year"), fx.unit_year(spark, d), fx.edges(spark, d), "n")
+    return out.drop("state").withColumns({c: rounded(c, 6) for c in _SIX})
 
 
 @query("j2_neighbor_mean", f"SELECT unit, year, {R('neighbor_risk')} AS neighbor_risk FROM uy_near", "uy_near")

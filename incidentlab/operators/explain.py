@@ -70,7 +70,9 @@ def sampled_attributions(df: DataFrame, background: DataFrame, model: PipelineMo
     one feature at a time; a feature's contribution is the mean change of the
     prediction when it switches. All rows x permutations x (features + 1)
     inputs are one exploded frame scored by the model; contributions are a
-    grouped mean. ``background`` is a bounded sample (see background_sample).
+    grouped mean. ``background`` is a bounded sample (see background_sample): each
+    row meets ``permutations`` of it, evenly spread from a hashed start, so that
+    all of it is in use over the rows.
     The orders depend on a hash of row, permutation and feature only.
     """
     d = len(features)
@@ -87,9 +89,11 @@ def sampled_attributions(df: DataFrame, background: DataFrame, model: PipelineMo
         lambda i: F.when(F.array_position(F.col("_order"), i) <= F.col("_k"), F.element_at(own, i.cast("int")))
         .otherwise(F.element_at(other, i.cast("int"))))
     inputs = (
-        df.select(F.col(key).cast("string").alias("_key"), as_array().alias("_x"))
+        # the slim rows are dealt by their key before they multiply: the sums below then need no exchange
+        df.select(F.col(key).cast("string").alias("_key"), as_array().alias("_x")).repartition("_key")
         .withColumn("_perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-        .withColumn("_z", F.element_at(pool, (F.pmod(F.xxhash64("_key", "_perm"), F.size(pool)) + 1).cast("int")))
+        .withColumn("_z", F.element_at(pool, (F.pmod(
+            F.xxhash64("_key") + F.floor(F.col("_perm") * F.size(pool) / permutations).cast("long"), F.size(pool)) + 1).cast("int")))
         .withColumn("_order", order)
         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(d))))
         .withColumn("_in", mixed)

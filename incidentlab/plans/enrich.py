@@ -10,8 +10,9 @@ from ..functions.scalar import rate_100k
 from ..operators import risk, spatial, temporal
 from ..operators.scale import settle
 
-FEATURES = ("rate_100k", "trend_3y", "growth_rate", "historical_growth", "expected_growth", "neighbor_risk",
-            "spatial_lag", "local_moran", "risk_index", "risk_percentile", "risk_rank", "trend_score", "anomaly_score")
+FEATURES = ("unit_count", "rate_100k", "trend_3y", "growth_rate", "historical_growth", "expected_growth", "neighbor_risk",
+            "spatial_lag", "local_moran", "risk_index",
+            "nearby_hotspot_score", "risk_percentile", "risk_rank", "trend_score", "anomaly_score")
 
 
 def unit_year_rates(unit_year: DataFrame, count: str, cols: Columns = COLUMNS) -> DataFrame:
@@ -47,5 +48,7 @@ def enrich_unit_year(unit_year: DataFrame, edges: DataFrame, count: str, cols: C
 def enrich_incidents(incidents: DataFrame, unit_year: DataFrame, edges: DataFrame, count: str,
                      cols: Columns = COLUMNS) -> DataFrame:
     """The unit-year features on every incident."""
-    features = settle(enrich_unit_year(unit_year, edges, count, cols).select(*cols.unit_year_keys, *FEATURES))
+    enriched = enrich_unit_year(unit_year, edges, count, cols).withColumns(
+        {"unit_count": F.col(count), "nearby_hotspot_score": F.col("risk_index")})
+    features = settle(enriched.select(*cols.unit_year_keys, *FEATURES))
     return spatial.attach_unit_features(incidents, features, cols)

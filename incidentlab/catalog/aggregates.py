@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions.geo import ring_centroid
 from ..operators import panel, reports, risk, spatial, temporal
 from ..functions.scalar import calendar_flags
+from ..operators.reports import pearson
 from ..plans import enrich
+from ..sources import io
 from .joins import unit_year_chain
 from ..functions.scalar import rounded
 from .registry import query, rnd
@@ -134,6 +137,33 @@ def a13(spark, d):
     return reports.hotspot_summary(hot_cells(spark, d))
 
 
+_INFLUENCE = " UNION ALL ".join(
+    f"SELECT state, '{c}' AS feature, {R(f'corr(n, {c})', 4)} AS correlation, {R(f'avg({c})', 4)} AS mean FROM uy_near GROUP BY state"
+    for c in ("neighbor_risk", "spatial_lag"))
+
+
+@query("s9_report_influence", _INFLUENCE, "uy_near")
+def s9_influence(spark, d):
+    """A report document per state (its neighbour influence as a JSON map), read back into rows."""
+    near = enrich.unit_year_neighbours(unit_year_chain(spark, d), fx.edges(spark, d), "n")
+    part = lambda c: F.struct(rounded(pearson("n", c), 4).alias("correlation"), rounded(F.avg(c), 4).alias("mean")).alias(c)
+    found = near.groupBy("state").agg(part("neighbor_risk"), part("spatial_lag"))
+    documents = found.select("state", F.to_json(F.struct("neighbor_risk", "spatial_lag")).alias("doc"))
+    return io.influence_rows(documents, "doc", ["state"])
+
+
+@query("s9_report_rankings", f"""
+SELECT state, CAST(row_number() OVER (PARTITION BY state ORDER BY count(*) DESC, unit) AS INTEGER) AS rank, unit AS district,
+  CAST(count(*) AS DOUBLE) AS score FROM inc GROUP BY state, unit""", "inc")
+def s9_rankings(spark, d):
+    """A report document per state (its units in order as a JSON list), read back into rows."""
+    units = fx.inc(spark, d).groupBy("state", "unit").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("state").orderBy(F.col("score").desc(), "unit"))
+    entry = F.struct(rank.alias("rank"), F.col("unit").alias("district"), "score")
+    documents = units.select("state", entry.alias("e")).groupBy("state").agg(F.to_json(F.array_sort(F.collect_list("e"))).alias("doc"))
+    return io.ranking_rows(documents, "doc", ["state"])
+
+
 @query("a14_neighbor_influence", " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {R(f'corr(n, {c})', 4)} AS correlation, {R(f'avg({c})', 4)} AS mean FROM uy_near"
     for c in ("neighbor_risk", "spatial_lag")), "uy_near")

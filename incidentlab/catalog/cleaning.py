@@ -8,6 +8,7 @@ from .. import fixtures as fx
 from ..functions import scalar as sc
 from ..operators import access, clean, temporal
 from ..functions.scalar import rounded
+from ..sources import profile
 from .registry import query, rnd
 from .storage import hot_cells, scores
 
@@ -141,8 +142,9 @@ SELECT feature FROM (
   SELECT 'loss', avg(CAST(loss IS NULL AS INTEGER)) FROM inc_nulls UNION ALL
   SELECT 'sparse', avg(CAST(sparse IS NULL AS INTEGER)) FROM inc_nulls) WHERE s < 0.5 AND feature <> 'id'""", "inc_nulls")
 def c13(spark, d):
-    names = clean.feature_columns(fx.inc_nulls(spark, d), exclude=["id"])
-    return spark.createDataFrame([(n,) for n in names], "feature string")
+    table = fx.inc_nulls(spark, d)
+    names = clean.feature_columns(table, exclude=["id"])
+    return profile.profile(table).filter(F.col("column").isin(names)).select(F.col("column").alias("feature"))
 
 
 @query("c14_fill_features", """

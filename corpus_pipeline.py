@@ -52,17 +52,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts bytes that repeat an earlier document out of the texts; documents of which nothing is left go.
 
-    A cut may fall inside a character; what is left of it is dropped.
-    ``n_chars`` follows the text. Texts of one id are told apart by their length and hash.
+    A cut may fall inside a character; what is left of it is dropped. ``n_chars`` follows the text.
     """
-    cut = suffix_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept_text", "text_key").dropDuplicates(["doc_id", "text_key"])
-    cut = cut.select(F.col("doc_id"), F.col("kept_text").alias("__kept"), F.col("text_key").alias("__key"))
-    rows = docs.withColumn("__key", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).join(cut, ["doc_id", "__key"], "left")
-    rows = rows.withColumn("text", F.coalesce("__kept", "text"))
-    if "n_chars" in docs.columns:
-        length = F.length("text").cast(dict(docs.dtypes)["n_chars"])
-        rows = rows.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), length).otherwise(F.col("n_chars")))
-    return _like(docs, rows.where(F.col("__kept").isNull() | (F.length(F.trim("__kept")) > 0)))
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    carry = {c: n for c, n in names.items() if c != "text"} | {"__null": "__null"}
+    cut = suffix_dedup.remove_repeats(docs.withColumn("__null", F.col("text").isNull()), texts=("kept_text",), carry=carry)
+    kept, changed = F.col("kept_text"), F.col("n_removed") > 0
+    columns = []
+    for c, kind in docs.dtypes:
+        if c == "text":
+            columns.append(F.when(~F.col("__null"), kept).alias(c))
+        elif c == "n_chars":
+            columns.append(F.when(changed, F.length(kept).cast(kind)).otherwise(F.col(names[c])).alias(c))
+        else:
+            columns.append(F.col(names[c]).alias(c))
+    return cut.where(~changed | (F.length(F.trim(kept)) > 0)).select(columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

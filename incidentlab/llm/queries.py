@@ -100,4 +100,4 @@ def op4_quality_classifier(spark, sf_dir):
 
 @query
 def op1_suffix_dedup(spark, sf_dir):
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), texts=())

@@ -30,13 +30,13 @@ kept_sha256, and the remaining bytes and text.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from incidentlab.llm.common import slices
 from incidentlab.llm.shingles import mix
@@ -153,17 +153,25 @@ def gram_places(name: np.ndarray, high: np.ndarray, grams: np.ndarray, length: i
 def _documents(docs: DataFrame, first: DataFrame) -> DataFrame:
     """The rows with ``first``, the smallest id that has this very text, and ``turn``, the place of the text among those of its id."""
     whole = F.xxhash64("text", F.length("text"))
+    carried = [c for c in docs.columns if c not in ("doc_id", "text")]
     return docs.join(first, "doc_id", "left").select(
-        "doc_id", "text", F.array_min(F.transform(F.filter("firsts", lambda x: x["whole"] == whole), lambda x: x["first"])).alias("first"),
+        "doc_id", "text", *carried, F.array_min(F.transform(F.filter("firsts", lambda x: x["whole"] == whole), lambda x: x["first"])).alias("first"),
         F.coalesce(F.array_position(F.transform("firsts", lambda x: x["whole"]), whole), F.lit(0)).alias("turn"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row, and with ``texts`` the remaining bytes as
-    ``kept`` and, without characters that were cut in part, as ``kept_text``; ``text_key`` is the crc32 of the whole text."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...] = ("kept", "kept_text"),
+                   carry: dict[str, str] | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row.
+
+    ``texts`` adds the remaining bytes (``kept``) and the remaining text
+    without characters that were cut in part (``kept_text``). ``carry`` maps
+    columns of ``docs`` to the names under which they come along.
+    """
+    carry = carry or {}
     if not GRAM <= length <= GRAM + 63:
         raise ValueError(f"length must lie between {GRAM} and {GRAM + 63}")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                       *[F.col(f"`{old}`").alias(new) for old, new in carry.items()])
     sums = rows.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text", F.length("text")).alias("whole")).where(F.col("doc_id").isNotNull())
     least = sums.groupBy("sha").agg(F.min("doc_id").alias("first"))
     first = sums.join(least, "sha").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("whole", "first"))).alias("firsts"))
@@ -280,14 +288,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
         if held:
             yield answer(pa.Table.from_batches(held))
 
-    met = known.join(wanted, "doc_id", "left").select("doc_id", "text", "first", "turn", "wanted").mapInArrow(
+    met = known.join(wanted, "doc_id", "left").select(*known.columns, "wanted").mapInArrow(
         contexts, "context binary, gram int, doc_id long, place long")
     anchor = F.xxhash64(F.substring("context", F.col("gram") + 1, F.lit(GRAM)))  # told by the context, so not shuffled
     masks = met.repartition(anchor).withColumn("anchor", anchor).sortWithinPartitions("anchor").mapInArrow(
         decided, "doc_id long, place long, mask long")
     gone = masks.groupBy("doc_id").agg(F.collect_list(F.struct("place", "mask")).alias("gone"))
 
-    held = [("kept", pa.binary()), ("kept_text", pa.string()), ("text_key", pa.int64())] if texts else []
+    held = [(name, {"kept": pa.binary(), "kept_text": pa.string()}[name]) for name in texts]
+    taken = list(carry.values())
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                         ("kept_sha256", pa.string()), *held])
 
@@ -316,8 +325,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: bool = True) ->
                     spans = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())
                     out.append({"doc_id": doc, "n_bytes": len(data), "n_removed": int(removed.sum()), "n_spans": spans,
                                 "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept,
-                                "kept_text": kept.decode("utf-8", "ignore") if texts else "", "text_key": zlib.crc32(text.encode())})
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-
-    return known.join(gone, "doc_id", "left").select("doc_id", "text", "first", "turn", "gone").mapInArrow(
-        cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, kept_text string, text_key long" * texts)
+                                "kept_text": kept.decode("utf-8", "ignore") if texts else ""})
+                made = pa.RecordBatch.from_pylist(out, schema=schema)
+                yield pa.RecordBatch.from_arrays([*made.columns, *(part.column(c) for c in taken)], [*schema.names, *taken])
+
+    made_fields = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + "".join(
+        {"kept": ", kept binary", "kept_text": ", kept_text string"}[name] for name in texts))
+    carried = [known.schema[c] for c in taken]
+    return known.join(gone, "doc_id", "left").select(*known.columns, "gone").mapInArrow(cut_out, T.StructType([*made_fields.fields, *carried]))

@@ -40,8 +40,10 @@ from incidentlab.llm.common import slices
 from incidentlab.llm.shingles import Shingler, mix
 from incidentlab.session import shared_dir
 
-BANDS, ROWS = 28, 4
-PIVOTS = 8
+BANDS, ROWS = 20, 4
+PIVOTS = 64
+FEW_PAIRS = 5_000  # so many pairs name at most twice as many sets: their ids are broadcast
+FEW_DOCUMENTS = 100_000  # ids of so many documents (16 bytes each) are broadcast instead of shuffling all texts
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -157,8 +159,11 @@ def _sets(docs: DataFrame, weighting: str) -> DataFrame:
     return texts.mapInArrow(run, "whole long, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets at or above the Jaccard similarity."""
+def _verified(pairs: DataFrame, number: int, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets at or above the Jaccard similarity; ``number`` of them. Few pairs shuffle only their own sets."""
+    if number <= FEW_PAIRS:
+        ids = pairs.select(F.col("a").alias("whole")).unionByName(pairs.select(F.col("b").alias("whole"))).distinct()
+        sets = sets.join(F.broadcast(ids), "whole", "left_semi")
     left = sets.select(F.col("whole").alias("a"), F.col("hashes").alias("ha"))
     right = sets.select(F.col("whole").alias("b"), F.col("hashes").alias("hb"))
     common = F.size(F.array_intersect("ha", "hb"))
@@ -194,39 +199,41 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     shared_dir(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     sketch = _sketched(docs, bands, rows, weighting).checkpoint()
-    # one representative of each set
-    sets = sketch.groupBy("whole").agg(F.min("doc_id").alias("first"), F.min_by("bands", "doc_id").alias("bands"))
-    met = (sets.select("whole", F.posexplode("bands").alias("band", "key")))
-    crowded = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
-    buckets = met.join(crowded, ["band", "key"]).checkpoint()
-    asked = buckets.select("whole").distinct()
+    # one representative of each set; a band key holds its band
+    sets = sketch.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
+    met = sets.select("whole", F.explode("bands").alias("key"))
+    crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    buckets = met.join(crowded, "key", "left_semi").checkpoint()
+    asked = buckets.select("whole").distinct().checkpoint()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     firsts = sketch.select("doc_id", "whole").join(asked, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
+    if asked.count() <= FEW_DOCUMENTS:
+        firsts = F.broadcast(firsts)
     held = _sets(texts.join(firsts, "doc_id"), weighting).dropDuplicates(["whole"]).checkpoint()
     nodes = asked.select(F.col("whole").alias("node"))
-    state, links, used, width = nodes.select("node", F.col("node").alias("label")), None, None, 1
+    state, links, used = nodes.select("node", F.col("node").alias("label")), None, None
     while True:
         labelled = buckets.join(state.withColumnRenamed("node", "whole"), "whole")
-        split = labelled.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        left = labelled.join(split.select("band", "key"), ["band", "key"]).checkpoint()
-        fresh = left if used is None else left.join(used, ["band", "key", "whole"], "left_anti")
-        pivots = fresh.groupBy("band", "key", F.pmod("whole", F.lit(width)).alias("slot")).agg(
-            F.min(F.struct("whole", "label")).alias("p")).select(
-            "band", "key", F.col("p.whole").alias("pivot"), F.col("p.label").alias("pivot_label")).checkpoint()
-        pairs = left.join(pivots, ["band", "key"]).where(F.col("label") != F.col("pivot_label")).select("whole", "pivot")
+        split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        left = labelled.join(split, "key", "left_semi").checkpoint()
+        fresh = left if used is None else left.join(used, ["key", "whole"], "left_anti")
+        slots = F.lit(1 if links is None else PIVOTS)
+        pivots = fresh.groupBy("key", F.pmod("whole", slots).alias("slot")).agg(F.min(F.struct("whole", "label")).alias("p")).select(
+            "key", F.col("p.whole").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        pairs = left.join(pivots, "key").where(F.col("label") != F.col("pivot_label")).select("whole", "pivot")
         if links is None:
             pairs = pairs.groupBy("whole").agg(F.min("pivot").alias("pivot"))
         else:
-            now = pivots.select("band", "key", F.col("pivot").alias("whole"))
-            used = (now if used is None else used.unionByName(now)).checkpoint()
+            now = pivots.select("key", F.col("pivot").alias("whole"))
+            used = now if used is None else used.unionByName(now)
         pairs = pairs.select(F.least("whole", "pivot").alias("a"), F.greatest("whole", "pivot").alias("b")).distinct().checkpoint()
-        if not pairs.limit(1).count():
+        number = pairs.count()
+        if not number:
             break
-        new = _verified(pairs, held, similarity).checkpoint()
-        width, first = PIVOTS, links is None
-        links = new if first else links.unionByName(new)
-        if new.limit(1).count():
-            links = links.checkpoint()
+        new = _verified(pairs, number, held, similarity).checkpoint()
+        merging = links is None or new.limit(1).count()
+        links = new if links is None else links.unionByName(new)
+        if merging:
             state = components(nodes, links)
     named = sketch.select("doc_id", "whole").join(state.withColumnRenamed("node", "whole"), "whole", "left")
     named = named.select("doc_id", F.coalesce("label", "whole").alias("label"))

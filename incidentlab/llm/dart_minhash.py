@@ -211,21 +211,19 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
         firsts = F.broadcast(firsts)
     held = _sets(texts.join(firsts, "doc_id"), weighting).dropDuplicates(["whole"]).checkpoint()
     nodes = asked.select(F.col("whole").alias("node"))
-    state, links, used = nodes.select("node", F.col("node").alias("label")), None, None
+    state, links, rest = nodes.select("node", F.col("node").alias("label")), None, buckets
     while True:
-        labelled = buckets.join(state.withColumnRenamed("node", "whole"), "whole")
+        labelled = rest.join(state.withColumnRenamed("node", "whole"), "whole")
         split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
         left = labelled.join(split, "key", "left_semi").checkpoint()
-        fresh = left if used is None else left.join(used, ["key", "whole"], "left_anti")
         slots = F.lit(1 if links is None else PIVOTS)
-        pivots = fresh.groupBy("key", F.pmod("whole", slots).alias("slot")).agg(F.min(F.struct("whole", "label")).alias("p")).select(
-            "key", F.col("p.whole").alias("pivot"), F.col("p.label").alias("pivot_label"))
+        pivots = left.groupBy("key", F.pmod("whole", slots).alias("slot")).agg(F.min(F.struct("whole", "label")).alias("p")).select(
+            "key", F.col("p.whole").alias("pivot"), F.col("p.label").alias("pivot_label")).checkpoint()
         pairs = left.join(pivots, "key").where(F.col("label") != F.col("pivot_label")).select("whole", "pivot")
         if links is None:
             pairs = pairs.groupBy("whole").agg(F.min("pivot").alias("pivot"))
-        else:
-            now = pivots.select("key", F.col("pivot").alias("whole"))
-            used = now if used is None else used.unionByName(now)
+        else:  # a pivot has met its whole bucket and leaves it
+            rest = left.select("key", "whole").join(pivots.select("key", F.col("pivot").alias("whole")), ["key", "whole"], "left_anti")
         pairs = pairs.select(F.least("whole", "pivot").alias("a"), F.greatest("whole", "pivot").alias("b")).distinct().checkpoint()
         number = pairs.count()
         if not number:

@@ -132,12 +132,13 @@ def m6(spark, d):
 WITH c AS (SELECT count(*) AS n FROM unit_month), k AS (SELECT n, CAST(f AS INTEGER) AS fold, n // 6 AS t FROM c, range(1, 6) r(f))
 SELECT fold, t AS rows, n - (6 - fold) * t - 1 AS train_size, t AS test_size, CAST(5 AS INTEGER) AS n_splits, n AS total_samples,
   true AS has_errors FROM k
-UNION ALL SELECT 0, CAST(sum(t) AS BIGINT), NULL, NULL, 5, max(n), true FROM k""", "unit_month")
+UNION ALL SELECT 0, CAST(sum(t) AS BIGINT), 0, 0, 5, max(n), true FROM k""", "unit_month")
 def m6_cv(spark, d):
     errors = models.cross_validate(risk_panel(spark, d), ["year", "month", "unit"], _FIT, "n",
                                    lambda train: models.fit_risk(train, _FIT, "n", settings=FOLDS))
     found = F.col("rmse").isNotNull() & F.col("mae").isNotNull() & (F.col("rmse") >= F.col("mae"))
-    return errors.select("fold", "rows", "train_size", "test_size", "n_splits", "total_samples", found.alias("has_errors"))
+    size = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)  # noqa: E731  the pooled row has no sizes of its own
+    return errors.select("fold", "rows", size("train_size"), size("test_size"), "n_splits", "total_samples", found.alias("has_errors"))
 
 
 @query("m7_evaluate", "SELECT count(*) AS rows, true AS has_errors FROM unit_month WHERE year > 2000", "unit_month")

@@ -186,7 +186,7 @@ def cross_validate(df: DataFrame, order: Sequence[Column | str], features: Seque
     per_fold = fit_error(tested, target, PREDICTION, ["fold"])
     pooled = fit_error(tested, target, PREDICTION).withColumn("fold", F.lit(0))
     return per_fold.unionByName(pooled).join(fold_sizes(ordered, folds), "fold", "left").withColumns({
-        "n_splits": F.lit(len(folds)), "total_samples": F.lit(total)})
+        "n_splits": F.lit(len(folds)), "total_samples": F.lit(total).cast("long")})
 
 
 def evaluate(model: PipelineModel, df: DataFrame, features: Sequence[str], target: str) -> DataFrame:

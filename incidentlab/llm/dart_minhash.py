@@ -41,7 +41,7 @@ from incidentlab.llm.shingles import Shingler, mix
 from incidentlab.session import shared_dir
 
 BANDS, ROWS = 20, 4
-PIVOTS = 64
+PIVOTS = 256
 FEW_PAIRS = 5_000  # so many pairs name at most twice as many sets: their ids are broadcast
 FEW_DOCUMENTS = 100_000  # ids of so many documents (16 bytes each) are broadcast instead of shuffling all texts
 _STEP = np.uint64(0x9E3779B97F4A7C15)

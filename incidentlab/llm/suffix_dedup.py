@@ -16,10 +16,20 @@ starts in a document with a smaller doc_id. Matches do not cross documents.
    their names, sorts the remaining suffixes by first symbol and the rank
    behind it, merges both, and compares the ``length``-byte prefixes of
    neighbours. The smallest doc_id of each run of equal prefixes decides.
-4. The removed windows return to their documents as bit masks.
-
-Tasks hold one batch of anchors at a time, each context once. All occurrences
-of one anchor (equal 16 bytes) stand in one batch.
+4. Anchors that stand in very many documents (common passages, rules, runs of
+   one byte) would fill a task, so they are not sorted: their contexts are made
+   distinct with their smallest doc_id by partial aggregates, the smallest
+   doc_id of every distinct window follows by partial aggregates as well, and
+   the answer returns to the occurrences by (context, salt). Both ways are
+   exact, so the choice of anchors touches no result. A sample of the distinct
+   texts finds them; at most ``HOT_ANCHORS``, so that any other anchor has less
+   than that share of the rows.
+5. The removed windows return to their documents as bit masks.
+
+Tasks hold one batch of anchors at a time. The occurrences of one anchor
+(equal 16 bytes) stand in one batch, those of step 4 excepted: about
+``HOT_SAMPLE * HOT_ROWS`` rows in inputs of any size up to ``HOT_ANCHORS``
+times as many.
 
 NULL text is empty. Rows with a NULL id neither lose bytes nor are a source.
 Rows of one id do not remove each other. Invalid input bytes cannot occur: the
@@ -34,7 +44,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +55,9 @@ LENGTH = 50
 GRAM = 16
 TURN_BITS = 40  # a place is the turn of the text among those of its id, and a byte position
 BATCH_SYMBOLS = 1_000_000
+HOT_SAMPLE = 64  # one distinct text in so many is looked at for anchors of many rows
+HOT_ROWS = 64  # so many rows in the sample make an anchor hot
+HOT_ANCHORS = 65_536  # goes to the driver and into each task
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -150,6 +163,56 @@ def gram_places(name: np.ndarray, high: np.ndarray, grams: np.ndarray, length: i
     return place
 
 
+def among(names: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Whether each name is in ``held``, which is sorted."""
+    if not len(held):
+        return np.zeros(len(names), bool)
+    return held[np.minimum(np.searchsorted(held, names), len(held) - 1)] == names
+
+
+def hot_anchors(rows: DataFrame, length: int = LENGTH) -> np.ndarray:
+    """Anchors that stand in very many places of the distinct texts, by a sample of these; sorted."""
+    drawn = rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(HOT_SAMPLE)) == 0)).select("text").distinct()
+
+    def named(batches):
+        for batch in batches:
+            for part in slices(batch, limit=1_000_000):
+                found = [anchors(np.frombuffer(t.encode(), np.uint8), length)[0] for t in part.column("text").to_pylist()]
+                name, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(count.astype(np.int64))], ["anchor", "n"])
+
+    counts = drawn.mapInArrow(named, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_ROWS)
+    top = counts.orderBy(F.col("n").desc(), "anchor").limit(HOT_ANCHORS).collect()
+    return np.sort(np.array([r["anchor"] for r in top], np.int64).view(np.uint64))
+
+
+def deal_key(anchor: Column) -> Column:
+    """What contexts are dealt by: their anchor; those of hot anchors evenly."""
+    return F.when(F.col("hot"), F.xxhash64("context", "doc_id")).otherwise(anchor)
+
+
+def spread_masks(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, place, mask) of (context, doc_id, place) with removed windows, however many share a context or a window.
+
+    Every group is reduced by partial aggregates; joins back are dealt by a
+    salt as well, and only the salts that a context or window has get a copy.
+    """
+    parts = F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), parts))
+    salted = rows.groupBy("context", "salt").agg(F.min("doc_id").alias("least"))
+    contexts = salted.groupBy("context").agg(F.min("least").alias("least"))
+    starts = F.sequence(F.lit(0), F.length("context") - length)
+    windows = contexts.select("context", "least", F.pmod(F.xxhash64("context"), parts).alias("salt"), F.posexplode(
+        F.transform(starts, lambda i: F.substring(F.col("context"), i + 1, F.lit(length)))).alias("t", "window"))
+    held = windows.groupBy("window", "salt").agg(F.min("least").alias("least"))
+    earliest = held.select("window", "salt").join(held.groupBy("window").agg(F.min("least").alias("earliest")), "window")
+    answers = windows.join(earliest, ["window", "salt"]).groupBy("context", "earliest").agg(
+        F.bit_or(F.expr("shiftleft(1L, t)")).alias("bits")).groupBy("context").agg(F.collect_list(F.struct("earliest", "bits")).alias("answers"))
+    back = salted.select("context", "salt").join(answers, "context")
+    mask = F.aggregate(F.filter("answers", lambda x: x["earliest"] < F.col("doc_id")), F.lit(0).cast("long"), lambda m, x: m.bitwiseOR(x["bits"]))
+    return rows.join(back, ["context", "salt"]).select("doc_id", "place", mask.alias("mask")).where(F.col("mask") != 0)
+
+
 def _documents(docs: DataFrame, first: DataFrame) -> DataFrame:
     """The rows with ``first``, the smallest id that has this very text, and ``turn``, the place of the text among those of its id."""
     whole = F.xxhash64("text", F.length("text"))
@@ -178,6 +241,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
     # All three uses of the texts keep the same columns and rows, so that one exchange serves them: copies and
     # documents without candidates are left in Python.
     known = _documents(rows, first)
+    hot = hot_anchors(rows, length)
 
     def originals(part):
         return part.filter(pc.fill_null(pc.equal(part.column("doc_id"), part.column("first")), False))
@@ -188,7 +252,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
                 part = originals(part)
                 if not part.num_rows:
                     continue
-                found = [np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0]) for t in part.column("text").to_pylist()]
+                found = []
+                for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    names = np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0])
+                    known_hot = among(names, hot)
+                    if known_hot.any():  # not dealt; a pair of equal rows under a name of its own keeps the document in
+                        names = np.concatenate([names[~known_hot], np.repeat(mix(np.array([doc], np.int64).view(np.uint64)), 2)])
+                    found.append(names)
                 ids = np.repeat(part.column("doc_id").to_numpy(), [len(f) for f in found])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)], ["anchor", "doc_id"])
 
@@ -215,12 +285,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
             for part in slices(batch, limit=1_000_000):
                 part = originals(part)
                 part = part.filter(pc.is_valid(part.column("wanted")))
-                out = {"context": [], "gram": [], "doc_id": [], "place": []}
+                out = {"context": [], "gram": [], "doc_id": [], "place": [], "hot": []}
                 lists = part.column("wanted")
                 for i, (doc, turn, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "turn", "text")))):
                     coded = text.encode()
                     name, low, high, grams = anchors(np.frombuffer(coded, np.uint8), length)
-                    keep = np.flatnonzero(np.isin(name, lists[i].values.to_numpy().view(np.uint64)))
+                    often = among(name, hot)
+                    keep = np.flatnonzero(often | np.isin(name, lists[i].values.to_numpy().view(np.uint64)))
                     if not len(keep):
                         continue
                     name, low, high = name[keep], low[keep], high[keep]
@@ -228,10 +299,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
                     out["gram"].append(gram_places(name, high, grams, length) - low)
                     out["doc_id"].append(np.full(len(low), doc, np.int64))
                     out["place"].append((turn << TURN_BITS) + low)
+                    out["hot"].append(often[keep])
                 if out["context"]:
                     yield pa.RecordBatch.from_arrays([
                         pa.array(out["context"], pa.binary()), pa.array(np.concatenate(out["gram"]), pa.int32()),
-                        pa.array(np.concatenate(out["doc_id"])), pa.array(np.concatenate(out["place"]))], ["context", "gram", "doc_id", "place"])
+                        pa.array(np.concatenate(out["doc_id"])), pa.array(np.concatenate(out["place"])), pa.array(np.concatenate(out["hot"]))],
+                        ["context", "gram", "doc_id", "place", "hot"])
 
     def decided(batches):
         """Bit masks of the removed windows; rows are sorted by anchor and taken in batches of whole anchors."""
@@ -272,6 +345,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
 
         size = 0
         for batch in batches:
+            batch = batch.filter(pc.invert(batch.column("hot")))
             if not batch.num_rows:
                 continue
             held.append(batch)
@@ -289,10 +363,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
             yield answer(pa.Table.from_batches(held))
 
     met = known.join(wanted, "doc_id", "left").select(*known.columns, "wanted").mapInArrow(
-        contexts, "context binary, gram int, doc_id long, place long")
+        contexts, "context binary, gram int, doc_id long, place long, hot boolean")
     anchor = F.xxhash64(F.substring("context", F.col("gram") + 1, F.lit(GRAM)))  # told by the context, so not shuffled
-    masks = met.repartition(anchor).withColumn("anchor", anchor).sortWithinPartitions("anchor").mapInArrow(
-        decided, "doc_id long, place long, mask long")
+    spread = met.repartition(deal_key(anchor))  # one exchange for both ways, so each takes its rows in Python
+    masks = spread.withColumn("anchor", anchor).sortWithinPartitions("anchor").mapInArrow(decided, "doc_id long, place long, mask long")
+
+    def often_met(batches):
+        for batch in batches:
+            yield batch.filter(batch.column("hot")).select(["context", "doc_id", "place"])
+
+    if len(hot):
+        masks = masks.unionByName(spread_masks(spread.mapInArrow(often_met, "context binary, doc_id long, place long"), length))
     gone = masks.groupBy("doc_id").agg(F.collect_list(F.struct("place", "mask")).alias("gone"))
 
     held = [(name, {"kept": pa.binary(), "kept_text": pa.string()}[name]) for name in texts]

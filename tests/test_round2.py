@@ -3,10 +3,42 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from incidentlab.catalog import QUERIES
+from incidentlab.llm import suffix_dedup
+from tests.llm.test_corpus import brute_repeats, repeats
 
 
 @pytest.mark.parametrize("name, rows", [("v4_sign", 2), ("v10_long_tailed", 1)])
 def test_checks_are_returned(spark, data, name, rows):
     assert QUERIES[name](spark, data).count() == rows
+
+
+def common_passage(spark):
+    """Documents that share one gram or passage in bytes that differ, or that equal each other in part."""
+    rule = "=" * 20
+    passage = "".join(chr(97 + i * i * 7 % 26) for i in range(90))
+    rows = [(i, f"{i * 7919:030d}{rule}{i * 104729:040d} {passage[i % 9:]}{i % 5:030d}") for i in range(60)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_hot_anchors_give_the_same_cuts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 20)
+    rows, frame = common_passage(spark)
+    assert len(suffix_dedup.hot_anchors(frame))
+    assert repeats(frame) == brute_repeats(rows)
+
+
+def test_all_repeated_anchors_hot(spark, monkeypatch, data):
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    assert repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
+
+
+def test_contexts_of_a_hot_anchor_go_to_many_tasks(spark):
+    rows = spark.range(2000).select(F.lit(b"x" * 60).alias("context"), F.col("id").alias("doc_id"), F.lit(True).alias("hot"))
+    sizes = [r["count"] for r in rows.repartition(8, suffix_dedup.deal_key(F.lit(1).cast("long"))).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 500

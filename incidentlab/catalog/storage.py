@@ -124,10 +124,9 @@ SELECT 'Feature' AS type, 'Polygon' AS geometry_type, cell AS h3_cell, {R('raw_s
        CAST(hotspot_rank AS DOUBLE) AS rank, CAST(7 AS BIGINT) AS vertices FROM cell_hot""", "cell_hot")
 def s7(spark, d):
     path = new_table_dir(spark, "geojson")
-    cells = hot_cells(spark, d)
-    io.feature_collection(cells, cells.count()).write.text(path)
+    io.feature_collections(hot_cells(spark, d)).write.text(path)
     p = F.col("properties")
-    return io.read_geojson(spark, path).select(
+    return io.read_geojson(spark, path, multi_line=False).select(
         "type", "geometry_type", p["h3_cell"].alias("h3_cell"), p["hotspot_score"].cast("double").alias("hotspot_score"),
         p["rank"].cast("double").alias("rank"), F.size(F.col("polygons")[0][0]).cast("long").alias("vertices"))
 

@@ -111,15 +111,37 @@ def feature_collection(df: DataFrame, top_n: int = SETTINGS.map_cells, rank: str
     """S6. One FeatureCollection document with its metadata.
 
     One document is one value, so it holds the first ``top_n`` cells;
-    ``total_hotspots`` counts all of them. ``to_geojson`` writes any number.
+    ``total_hotspots`` counts all of them. ``feature_collections`` and
+    ``to_geojson`` write any number.
     """
     total = df.agg(F.count(F.lit(1)).cast("int")).scalar()
     features = to_features(df.orderBy(rank).limit(top_n), rank=rank, **names)
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("properties.rank").alias("k"), F.struct("type", "geometry", "properties").alias("f"))))
-    return features.agg(ordered.alias("_f")).select(F.to_json(F.struct(
+    return features.agg(_in_order().alias("_f")).select(_document(total, resolution))
+
+
+def feature_collections(df: DataFrame, block: int = SETTINGS.map_cells, rank: str = "hotspot_rank",
+                        resolution: int = SETTINGS.cell_resolution, **names: str) -> DataFrame:
+    """S6. All cells, in one FeatureCollection document per block of ``block`` ranks.
+
+    ``rank`` numbers the rows from 1 without ties, so a document has at most
+    ``block`` features. Rows without a rank would share one document.
+    ``total_hotspots`` counts the cells of all documents.
+    """
+    total = df.agg(F.count(F.lit(1)).cast("int")).scalar()
+    features = to_features(df, rank=rank, **names)
+    blocks = features.groupBy(F.floor((F.col("properties.rank") - 1) / block).alias("_block")).agg(_in_order().alias("_f"))
+    return blocks.select(_document(total, resolution))
+
+
+def _in_order() -> Column:
+    return F.array_sort(F.collect_list(F.struct(F.col("properties.rank").alias("k"), F.struct("type", "geometry", "properties").alias("f"))))
+
+
+def _document(total: Column, resolution: int) -> Column:
+    return F.to_json(F.struct(
         F.lit("FeatureCollection").alias("type"), F.transform("_f", lambda x: x["f"]).alias("features"),
         F.struct(F.lit(resolution).alias("resolution"), total.alias("total_hotspots")).alias("metadata"),
-    )).alias("document"))
+    )).alias("document")
 
 
 FEATURE_SCHEMA = "type string, geometry string, properties map<string,string>"
@@ -127,12 +149,13 @@ GEOJSON_SCHEMA = "type string, features array<struct<type:string, geometry:strin
 
 
 def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str] | None = None,
-                 lines: bool = False) -> DataFrame:
+                 lines: bool = False, multi_line: bool = True) -> DataFrame:
     """S7. One row per feature of the FeatureCollections at ``path``; property names renamed.
 
     A document without a feature list gives no rows. With ``lines`` each line
     holds one Feature (as :func:`to_geojson` writes them), which splits over
-    tasks at any size. ``polygons`` is an array of polygons of rings of
+    tasks at any size. Without ``multi_line`` each line holds one document (as
+    :func:`feature_collections` gives them). ``polygons`` is an array of polygons of rings of
     positions for every kind of geometry: a line or a point is one ring,
     and Multi* kinds keep all their parts. :func:`shape_rings` feeds it to the
     spatial operators.
@@ -141,7 +164,7 @@ def read_geojson(spark: SparkSession, path: str, names: Mapping[str, str] | None
     if lines:
         features = spark.read.schema(FEATURE_SCHEMA).json(path).select(F.struct("type", "geometry", "properties").alias("f"))
     else:
-        docs = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", True).json(path)
+        docs = spark.read.schema(GEOJSON_SCHEMA).option("multiLine", multi_line).json(path)
         features = docs.select(F.explode("features").alias("f"))
     return features.select(
         "f.type", F.get_json_object("f.geometry", "$.type").alias("geometry_type"),

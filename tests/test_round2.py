@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from incidentlab.catalog import QUERIES
 from incidentlab.llm import suffix_dedup
+from incidentlab.sources import io
 from tests.llm.test_corpus import brute_repeats, repeats
 
 
@@ -42,3 +45,16 @@ def test_contexts_of_a_hot_anchor_go_to_many_tasks(spark):
     rows = spark.range(2000).select(F.lit(b"x" * 60).alias("context"), F.col("id").alias("doc_id"), F.lit(True).alias("hot"))
     sizes = [r["count"] for r in rows.repartition(8, suffix_dedup.deal_key(F.lit(1).cast("long"))).groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) == 8 and max(sizes) < 500
+
+
+def test_feature_collections_hold_a_block_of_ranks_each(spark, tmp_path):
+    cells = spark.range(1, 24).select(F.concat(F.lit("6:"), "id", F.lit(":0")).alias("cell"), F.col("id").alias("hotspot_rank"),
+                                      F.lit(1.0).alias("risk_score"))
+    documents = [json.loads(r.document) for r in io.feature_collections(cells, 10).collect()]
+    ranks = sorted([f["properties"]["rank"] for f in d["features"]] for d in documents)
+    assert ranks == [list(range(1, 11)), list(range(11, 21)), list(range(21, 24))]
+    assert {d["metadata"]["total_hotspots"] for d in documents} == {23}
+    path = str(tmp_path / "blocks")
+    io.feature_collections(cells, 10).write.text(path)
+    read = io.read_geojson(spark, path, multi_line=False)
+    assert sorted(int(r.rank) for r in read.select(F.col("properties")["rank"].alias("rank")).collect()) == list(range(1, 24))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -101,8 +100,9 @@ _LIST_SQL = """SELECT count(*) AS rows, count(*) AS ranks, CAST(1 AS BIGINT) AS
 
 def _ranked(df, rank):
     """A ranked list in one row: rows, ranks, score limits, and neighbours whose scores rise."""
-    before = F.lag("risk_score").over(Window.orderBy(rank))
-    return df.select(F.col(rank).cast("long").alias(rank), "risk_score").withColumn("_up", before < F.col("risk_score")).agg(
+    scored = settle(df.select(F.col(rank).cast("long").alias(rank), "risk_score"))
+    before = scored.select((F.col(rank) + 1).alias(rank), F.col("risk_score").alias("_before"))
+    return scored.join(before, rank, "left").withColumn("_up", F.col("_before") < F.col("risk_score")).agg(
         F.count(F.lit(1)).alias("rows"), F.countDistinct(rank).alias("ranks"), F.min(rank).alias("first"), F.max(rank).alias("last"),
         F.min("risk_score").alias("low"), F.max("risk_score").alias("high"), F.count_if("_up").alias("out_of_order"))
 

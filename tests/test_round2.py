@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from incidentlab.catalog import QUERIES
+from incidentlab.catalog import QUERIES, modelling
 from incidentlab.llm import suffix_dedup
 from incidentlab.sources import io
 from tests.llm.test_corpus import brute_repeats, repeats
@@ -58,3 +58,10 @@ def test_feature_collections_hold_a_block_of_ranks_each(spark, tmp_path):
     io.feature_collections(cells, 10).write.text(path)
     read = io.read_geojson(spark, path, multi_line=False)
     assert sorted(int(r.rank) for r in read.select(F.col("properties")["rank"].alias("rank")).collect()) == list(range(1, 24))
+
+
+def test_ranked_compares_neighbours_without_a_one_task_window(spark):
+    rows = [(1, 9.0), (2, 7.0), (3, 8.0), (4, 8.0), (5, None), (6, 1.0)]
+    found = modelling._ranked(spark.createDataFrame(rows, "place int, risk_score double"), "place")
+    assert tuple(found.first()) == (6, 6, 1, 6, 1.0, 9.0, 1)
+    assert "Window" not in found._jdf.queryExecution().toString()

@@ -65,3 +65,15 @@ def test_ranked_compares_neighbours_without_a_one_task_window(spark):
     found = modelling._ranked(spark.createDataFrame(rows, "place int, risk_score double"), "place")
     assert tuple(found.first()) == (6, 6, 1, 6, 1.0, 9.0, 1)
     assert "Window" not in found._jdf.queryExecution().toString()
+
+
+def test_every_fold_is_fitted_with_the_documented_settings(spark, data, monkeypatch):
+    fit, asked = modelling.models.fit_risk, []
+
+    def spy(rows, features, target, validation=None, settings=modelling.models.RISK_BOOST):
+        asked.append(settings)
+        return fit(rows, features, target, validation, modelling.models.BoostSettings(trees=1, depth=1))
+
+    monkeypatch.setattr(modelling.models, "fit_risk", spy)
+    modelling.m6_cv(spark, data)
+    assert asked == 5 * [modelling.models.BoostSettings()]

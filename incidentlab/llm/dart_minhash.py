@@ -96,9 +96,28 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, d
     return names
 
 
+def _documents(docs: DataFrame, weighting: str) -> DataFrame:
+    """(doc_id, text, more): one row for each id, with the texts of its other rows in ``more``. Ids of one row are not shuffled
+    where no id repeats; rows without an id stay alone."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    once = texts.withColumn("more", F.lit(None).cast("array<string>"))
+    repeated = texts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").checkpoint()
+    if not repeated.limit(1).count():
+        return once
+    gathered = F.collect_set("text") if weighting == "set" else F.collect_list("text")  # equal texts add nothing to a set
+    several = texts.join(repeated, "doc_id").groupBy("doc_id").agg(F.array_sort(gathered).alias("all")).select(
+        "doc_id", F.col("all")[0].alias("text"), F.slice("all", F.lit(2), F.size("all") - 1).alias("more"))
+    return once.join(repeated, "doc_id", "left_anti").unionByName(several)
+
+
+def _shingles(shingler: Shingler, text: str, more: list[str] | None) -> np.ndarray:
+    """The shingles of all texts of a document, with repeats; none runs from one text into the next."""
+    return np.concatenate([shingler.all(t) for t in (text, *more)]) if more else shingler.all(text)
+
+
 def _sketched(docs: DataFrame, bands: int, rows: int, weighting: str) -> DataFrame:
     """(doc_id, whole, bands array<long>): the hash of the weighted set and the band keys; no row for texts without words."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select("doc_id", "text", "more")
     schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -106,8 +125,8 @@ def _sketched(docs: DataFrame, bands: int, rows: int, weighting: str) -> DataFra
         for batch in batches:
             for part in slices(batch, limit=1_000_000):
                 ids, wholes, sets = [], [], []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    elements, counts = np.unique(shingler.all(text), return_counts=True)
+                for doc, text, more in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "more"))):
+                    elements, counts = np.unique(_shingles(shingler, text, more), return_counts=True)
                     if len(elements):
                         if weighting == "set":
                             counts = np.ones(len(elements), np.int64)
@@ -138,11 +157,11 @@ def _whole(elements: np.ndarray, counts: np.ndarray) -> int:
 def _sets(docs: DataFrame, weighting: str) -> DataFrame:
     """(whole, hashes): the sets of the given documents. With counts, the i-th repeat of a shingle is an element of its
     own, so the Jaccard similarity of these sets is the weighted one."""
-    texts = docs.select("whole", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select("whole", "text", "more")
     schema = pa.schema([("whole", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
-    def expanded(text, shingler):
-        found = np.sort(shingler.all(text))
+    def expanded(text, more, shingler):
+        found = np.sort(_shingles(shingler, text, more))
         if weighting == "set":
             return np.unique(found)
         first = np.searchsorted(found, found)
@@ -152,7 +171,7 @@ def _sets(docs: DataFrame, weighting: str) -> DataFrame:
         shingler = Shingler()
         for batch in batches:
             for part in slices(batch):
-                found = [expanded(t, shingler) for t in part.column("text").to_pylist()]
+                found = [expanded(t, m, shingler) for t, m in zip(part.column("text").to_pylist(), part.column("more").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("whole"), pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], schema=schema)
 
@@ -198,14 +217,14 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     spark = docs.sparkSession
     shared_dir(spark)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    sketch = _sketched(docs, bands, rows, weighting).checkpoint()
+    texts = _documents(docs, weighting)
+    sketch = _sketched(texts, bands, rows, weighting).checkpoint()
     # one representative of each set; a band key holds its band
     sets = sketch.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
     met = sets.select("whole", F.explode("bands").alias("key"))
     crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     buckets = met.join(crowded, "key", "left_semi").checkpoint()
     asked = buckets.select("whole").distinct().checkpoint()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     firsts = sketch.select("doc_id", "whole").join(asked, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
     if asked.count() <= FEW_DOCUMENTS:
         firsts = F.broadcast(firsts)

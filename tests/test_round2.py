@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from incidentlab.catalog import QUERIES, modelling
-from incidentlab.llm import suffix_dedup
+from incidentlab.llm import dart_minhash, suffix_dedup
 from incidentlab.sources import io
 from tests.llm.test_corpus import brute_repeats, repeats
 
@@ -77,3 +77,12 @@ def test_every_fold_is_fitted_with_the_documented_settings(spark, data, monkeypa
     monkeypatch.setattr(modelling.models, "fit_risk", spy)
     modelling.m6_cv(spark, data)
     assert asked == 5 * [modelling.models.BoostSettings()]
+
+
+@pytest.mark.parametrize("weighting", ["set", "count"])
+def test_rows_of_one_id_are_one_document(spark, weighting):
+    a, b, c = (" ".join(f"{name}{i}" for i in range(200)) for name in ("ant", "bee", "cow"))
+    rows = [(1, a), (1, b), (2, b), (2, a + " tail"), (3, a), (4, a), (4, c), (5, c), (6, c + " tail"), (6, None), (None, c)]
+    found = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()
+    assert {r.doc_id: r.class_id for r in found if r.doc_id is not None} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
+    assert len(found) == 7

@@ -131,8 +131,7 @@ SELECT fold, t AS rows, n - (6 - fold) * t - 1 AS train_size, t AS test_size, CA
   true AS has_errors FROM k
 UNION ALL SELECT 0, CAST(sum(t) AS BIGINT), 0, 0, 5, max(n), true FROM k""", "unit_month")
 def m6_cv(spark, d):
-    errors = models.cross_validate(risk_panel(spark, d), ["year", "month", "unit"], _FIT, "n",
-                                   lambda train: models.fit_risk(train, _FIT, "n"))
+    errors = models.cross_validate(risk_panel(spark, d), ["year", "month", "unit"], _FIT, "n")
     found = F.col("rmse").isNotNull() & F.col("mae").isNotNull() & (F.col("rmse") >= F.col("mae"))
     size = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)  # noqa: E731  the pooled row has no sizes of its own
     return errors.select("fold", "rows", size("train_size"), size("test_size"), "n_splits", "total_samples", found.alias("has_errors"))

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, SETTINGS, Columns
 from ..functions.geo import cell_index
+from ..session import new_table_dir
 from .clean import fill_features
 from .panel import cell_month_panel
 from .reports import fit_error
@@ -67,34 +71,47 @@ def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
     return best + 1, False
 
 
-def _fit(df: DataFrame, features: Sequence[str], target: str, settings: BoostSettings,
-         validation: str | None) -> PipelineModel:
-    data = fill_features(df, features).withColumn("_label", F.col(target).cast("double"))
-    if validation is not None:
-        data = data.withColumn("_held", F.coalesce(F.col(validation), F.lit(False)))
+def first_trees(model: GBTRegressionModel, keep: int) -> GBTRegressionModel:
+    """The model cut off after its first ``keep`` trees, which are the trees a shorter run would have grown.
+
+    Spark ML has no method for this, so the saved form of the model is cut: its metadata, one row a tree, the nodes by tree.
+    """
+    spark = SparkSession.active()
+    whole, cut = new_table_dir(spark, "boosted"), new_table_dir(spark, "boosted")
+    model.write().save(whole)
+    metadata = json.loads(spark.read.text(f"{whole}/metadata").first()[0]) | {"numTrees": keep}
+    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.text(f"{cut}/metadata")
+    spark.read.parquet(f"{whole}/treesMetadata").where(F.col("_1") < keep).write.parquet(f"{cut}/treesMetadata")
+    spark.read.parquet(f"{whole}/data").where(F.col("treeID") < keep).write.parquet(f"{cut}/data")
+    return GBTRegressionModel.load(cut)
+
+
+def _assembled(df: DataFrame, features: Sequence[str], target: str, *more: str) -> tuple[VectorAssembler, DataFrame]:
+    """Feature vectors and labels, kept in the cluster's memory and disk in partitions worth a task: they are read once per tree
+    level."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    # the rows are read once per tree level: keep them in the cluster's memory and disk, in partitions worth a task
-    data = settle(data.select(*features, "_label", *(["_held"] if validation is not None else [])))
-    data = assembler.transform(data.repartition(max(1, -(-data.count() // ROWS_A_TASK)))).persist()
+    data = settle(fill_features(df, features).select(*features, F.col(target).cast("double").alias("_label"), *more))
+    return assembler, assembler.transform(data.repartition(max(1, -(-data.count() // ROWS_A_TASK)))).persist()
+
 
-    def boosted(rows: DataFrame, trees: int):
-        return GBTRegressor(
-            featuresCol="_features", labelCol="_label", predictionCol=PREDICTION, maxIter=trees,
-            stepSize=settings.learning_rate, maxDepth=settings.depth, subsamplingRate=settings.row_share,
-            featureSubsetStrategy=str(settings.feature_share), minInstancesPerNode=settings.min_rows, seed=settings.seed).fit(rows)
+def _boosted(rows: DataFrame, settings: BoostSettings) -> GBTRegressionModel:
+    return GBTRegressor(
+        featuresCol="_features", labelCol="_label", predictionCol=PREDICTION, maxIter=settings.trees,
+        stepSize=settings.learning_rate, maxDepth=settings.depth, subsamplingRate=settings.row_share,
+        featureSubsetStrategy=str(settings.feature_share), minInstancesPerNode=settings.min_rows, seed=settings.seed).fit(rows)
 
+
+def _fit(df: DataFrame, features: Sequence[str], target: str, settings: BoostSettings,
+         validation: str | None) -> PipelineModel:
+    if validation is not None:
+        df = df.withColumn("_held", F.coalesce(F.col(validation), F.lit(False)))
+    assembler, data = _assembled(df, features, target, *(["_held"] if validation is not None else []))
     try:
         if validation is None:
-            return PipelineModel([assembler, boosted(data, settings.trees)])
-        train, held = data.filter(~F.col("_held")), data.filter("_held")
-        trees = min(settings.trees, 2 * settings.patience)
-        while True:  # twice as many trees until the validation error has stopped falling; the same seed grows the same trees
-            model = boosted(train, trees)
-            keep, settled = best_round(model.evaluateEachIteration(held, "squared"), settings.patience)
-            if settled or trees == settings.trees:
-                break
-            trees = min(settings.trees, 2 * trees)
-        return PipelineModel([assembler, model if keep == trees else boosted(train, keep)])
+            return PipelineModel([assembler, _boosted(data, settings)])
+        model = _boosted(data.filter(~F.col("_held")), settings)  # every tree is grown once; the errors tell how many to keep
+        keep, _ = best_round(model.evaluateEachIteration(data.filter("_held"), "squared"), settings.patience)
+        return PipelineModel([assembler, first_trees(model, keep) if keep < settings.trees else model])
     finally:
         data.unpersist()
 
@@ -170,16 +187,30 @@ def fold_sizes(ordered: DataFrame, folds: Sequence[Fold]) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, order: Sequence[Column | str], features: Sequence[str], target: str,
-                   fit: Callable[[DataFrame], PipelineModel], splits: int = SETTINGS.cv_splits,
-                   gap: int = SETTINGS.cv_gap) -> DataFrame:
-    """M6. Error and sizes per fold and pooled (fold 0), with the number of folds and of all rows; one fit per fold."""
+                   settings: BoostSettings = RISK_BOOST, splits: int = SETTINGS.cv_splits, gap: int = SETTINGS.cv_gap,
+                   parallel_folds: int = SETTINGS.cv_splits) -> DataFrame:
+    """M6. Error and sizes per fold and pooled (fold 0), with the number of folds and of all rows.
+
+    All folds train on one table of feature vectors, each on the rows before its test block. Their jobs run side by side
+    (``parallel_folds`` at a time), since a boosted fit is a long chain of small jobs, one for each level of each tree.
+    """
     ordered = settle(ordered_rows(df, order))
     total = ordered.count()
     folds = time_folds(total, splits, gap)
+    assembler, data = _assembled(ordered, features, target, "_row")
+    row = F.col("_row")
+
+    def fitted(fold: Fold) -> PipelineModel:
+        return PipelineModel([assembler, _boosted(data.filter(row < fold.train_rows), settings)])
+
+    try:
+        with ThreadPoolExecutor(parallel_folds) as pool:
+            models = list(pool.map(inheritable_thread_target(df.sparkSession)(fitted), folds))
+    finally:
+        data.unpersist()
     tested: DataFrame | None = None
-    for f in folds:
-        model = fit(ordered.filter(F.col("_row") < f.train_rows))
-        block = ordered.filter((F.col("_row") >= f.test_from) & (F.col("_row") < f.test_to))
+    for f, model in zip(folds, models):
+        block = ordered.filter((row >= f.test_from) & (row < f.test_to))
         out = predict(model, block, features).select(F.lit(f.number).alias("fold"), F.col(target), PREDICTION)
         tested = out if tested is None else tested.unionByName(out)
     tested = settle(tested)

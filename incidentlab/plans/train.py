@@ -62,8 +62,7 @@ def train(incidents: DataFrame, out: str, years: Years = Years(), cols: Columns
 
     test = units.filter(F.col("split") == "test")
     metrics = models.evaluate(model, test, features, cols.target)
-    cv = models.cross_validate(units.filter(F.col("split") != "test"), [*cols.time, cols.unit], features, cols.target,
-                               lambda part: models.fit_risk(part, features, cols.target, settings=risk), folds)
+    cv = models.cross_validate(units.filter(F.col("split") != "test"), [*cols.time, cols.unit], features, cols.target, risk, folds)
     predictions = settle(models.score_units(model, units, features, cols))
 
     located = clean.valid_coordinates(rows, cols)

@@ -8,9 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from incidentlab.catalog import QUERIES, modelling
-from incidentlab.llm import dart_minhash, suffix_dedup
 from incidentlab.sources import io
-from tests.llm.test_corpus import brute_repeats, repeats
 
 
 @pytest.mark.parametrize("name, rows", [("v4_sign", 2), ("v10_long_tailed", 1)])
@@ -18,35 +16,6 @@ def test_checks_are_returned(spark, data, name, rows):
     assert QUERIES[name](spark, data).count() == rows
 
 
-def common_passage(spark):
-    """Documents that share one gram or passage in bytes that differ, or that equal each other in part."""
-    rule = "=" * 20
-    passage = "".join(chr(97 + i * i * 7 % 26) for i in range(90))
-    rows = [(i, f"{i * 7919:030d}{rule}{i * 104729:040d} {passage[i % 9:]}{i % 5:030d}") for i in range(60)]
-    return rows, spark.createDataFrame(rows, "doc_id long, text string")
-
-
-def test_hot_anchors_give_the_same_cuts(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 20)
-    rows, frame = common_passage(spark)
-    assert len(suffix_dedup.hot_anchors(frame))
-    assert repeats(frame) == brute_repeats(rows)
-
-
-def test_all_repeated_anchors_hot(spark, monkeypatch, data):
-    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
-    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 2)
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").limit(60).collect()]
-    assert repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
-
-
-def test_contexts_of_a_hot_anchor_go_to_many_tasks(spark):
-    rows = spark.range(2000).select(F.lit(b"x" * 60).alias("context"), F.col("id").alias("doc_id"), F.lit(True).alias("hot"))
-    sizes = [r["count"] for r in rows.repartition(8, suffix_dedup.deal_key(F.lit(1).cast("long"))).groupBy(F.spark_partition_id()).count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 500
-
-
 def test_feature_collections_hold_a_block_of_ranks_each(spark, tmp_path):
     cells = spark.range(1, 24).select(F.concat(F.lit("6:"), "id", F.lit(":0")).alias("cell"), F.col("id").alias("hotspot_rank"),
                                       F.lit(1.0).alias("risk_score"))
@@ -65,24 +34,3 @@ def test_ranked_compares_neighbours_without_a_one_task_window(spark):
     found = modelling._ranked(spark.createDataFrame(rows, "place int, risk_score double"), "place")
     assert tuple(found.first()) == (6, 6, 1, 6, 1.0, 9.0, 1)
     assert "Window" not in found._jdf.queryExecution().toString()
-
-
-def test_every_fold_is_fitted_with_the_documented_settings(spark, data, monkeypatch):
-    fit, asked = modelling.models.fit_risk, []
-
-    def spy(rows, features, target, validation=None, settings=modelling.models.RISK_BOOST):
-        asked.append(settings)
-        return fit(rows, features, target, validation, modelling.models.BoostSettings(trees=1, depth=1))
-
-    monkeypatch.setattr(modelling.models, "fit_risk", spy)
-    modelling.m6_cv(spark, data)
-    assert asked == 5 * [modelling.models.BoostSettings()]
-
-
-@pytest.mark.parametrize("weighting", ["set", "count"])
-def test_rows_of_one_id_are_one_document(spark, weighting):
-    a, b, c = (" ".join(f"{name}{i}" for i in range(200)) for name in ("ant", "bee", "cow"))
-    rows = [(1, a), (1, b), (2, b), (2, a + " tail"), (3, a), (4, a), (4, c), (5, c), (6, c + " tail"), (6, None), (None, c)]
-    found = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()
-    assert {r.doc_id: r.class_id for r in found if r.doc_id is not None} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
-    assert len(found) == 7

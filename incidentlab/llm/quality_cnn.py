@@ -144,8 +144,9 @@ class QualityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = 900, epochs: int = 12, batch: int = 32,
-        parts: int = 5, held_out: int = 0, seed: int = 3) -> QualityModel:
-    """Learns from labelled documents whose fold is not the held-out one."""
+        parts: int = 5, held_out: int = 0, seed: int = 3, min_steps: int = 480) -> QualityModel:
+    """Learns from labelled documents whose fold is not the held-out one: ``epochs`` times each, and over again where that is
+    fewer than ``min_steps`` batches, since few steps only find the share of the labels."""
     known = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id"), F.col("quality").cast("int").alias("quality"))
     known = known.where(fold(F.col("doc_id"), parts) != held_out)
     drawn = bounded_sample(known, "quality", docs_per_label)
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_label: int = 900, epochs: i
     coded, marks = [r.text.encode() for r in found], np.array([float(r.quality > 0) for r in found])
 
     def batches():
-        for _ in range(epochs):
+        for _ in range(max(epochs, -(-min_steps // -(-len(coded) // batch)))):
             order = draw.permutation(len(coded))
             for a in range(0, len(order), batch):
                 some = order[a:a + batch]

@@ -391,6 +391,27 @@ def test_quality_of_held_out_rows(spark):
     found = got.join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").collect()
     assert sum(r.quality == r.predicted for r in found) >= 0.9 * len(found)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in found)
+    assert {r.predicted for r in found} == {0, 1}
+    ones, zeros = ([r.score for r in found if r.quality == q] for q in (1, 0))
+    assert sum((a > b) + (a == b) / 2 for a in ones for b in zeros) >= 0.9 * len(ones) * len(zeros)
+
+
+def test_blocked_scores_equal_a_plain_forward_pass():
+    """Every filter at every place, chunk by chunk, without blocks or shared work."""
+    network, texts = quality_cnn.ByteCnn(5, 3, 4, seed=9), [b"", b"short", bytes(range(256)) * 3, b"abc d" * 400]
+    for text, score in zip(texts, network.scores(texts, block=1 << 9)):
+        halves = max(2, -(-(len(text) + quality_cnn.STEP) // quality_cnn.SPAN))
+        codes = text.ljust(halves * quality_cnn.SPAN, b"\0")
+        step, outs = quality_cnn.STEP, []
+        filters = np.concatenate([network.p["now"], network.p["next"]])
+        for at in range(0, len(codes) - step, step):
+            window = np.concatenate([network.p["embed"][c] for c in codes[at:at + 2 * step]])
+            outs.append(np.maximum(window @ filters + network.p["bias"], 0))
+        half = quality_cnn.HALF
+        chunks = [np.max(outs[k * half:(k + 2) * half], axis=0) for k in range(halves - 1)]
+        both = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)])
+        hidden = np.tanh(both @ network.p["join"] + network.p["join_b"])
+        assert abs(score - 1 / (1 + np.exp(-(hidden @ network.p["out"] + network.p["out_b"])[0]))) < 1e-5
 
 
 def test_quality_of_odd_rows(spark, odd, empty):

@@ -1,7 +1,8 @@
 """Lag, rolling, exponential and growth features over panels.
 
 All windows of one panel share one specification, so a chain of these
-operators costs one exchange and one sort. Offsets count rows, not calendar
+operators costs one exchange and one sort; the exponential mean is a scan of
+its own. Offsets count rows, not calendar
 months. A group is one unit (or cell) of a panel, hence at most one row per
 month of the calendar.
 """
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, SETTINGS, Columns
 from ..functions.scalar import seasonal_columns
+from .scale import global_row_number, settle
+from .scan import prefixes
 
 
 def series(group: Sequence[str], cols: Columns = COLUMNS) -> WindowSpec:
@@ -39,26 +42,53 @@ def rolling(df: DataFrame, group: Sequence[str], target: str, windows: Sequence[
     return df.withColumns(new)
 
 
+def _observed(key: Sequence[str], value: Column) -> Column:
+    """One row as an element of the EMA scan: its series, and the map it applies to the mean.
+
+    ``first`` and ``last`` are the series of the first and last row of a run of rows, ``one`` tells whether it is a single series.
+    The rest describes the rows of the last series: ``some`` whether a value was seen, ``lead`` the rows before the first value,
+    ``x`` that value, ``tail`` the rows after the last one; the first mean m becomes ``decay`` * m + ``gain``.
+    """
+    series_of, seen = F.struct(*key), value.isNotNull()
+    return F.struct(series_of.alias("first"), series_of.alias("last"), F.lit(True).alias("one"), seen.alias("some"),
+                    F.when(seen, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("lead"), F.coalesce(value, F.lit(0.0)).alias("x"),
+                    F.lit(1.0).alias("decay"), F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("tail"))
+
+
+def _followed(alpha: float):
+    """Two neighbouring runs of rows as one."""
+    def combine(a: Column, b: Column) -> Column:
+        on = b["one"] & a["last"].eqNullSafe(b["first"])  # b goes on with the series that a ends in
+        # a value after k rows without one meets a mean whose weight has fallen k + 1 times
+        old = F.pow(F.lit(1 - alpha), (a["tail"] + b["lead"] + 1).cast("double"))
+        share = old / (old + alpha)
+        both, meets = on & a["some"], on & a["some"] & b["some"]
+        return F.struct(
+            a["first"].alias("first"), b["last"].alias("last"), (a["one"] & on).alias("one"), (b["some"] | both).alias("some"),
+            F.when(both, a["lead"]).when(on, a["lead"] + b["lead"]).otherwise(b["lead"]).alias("lead"),
+            F.when(both, a["x"]).otherwise(b["x"]).alias("x"),
+            F.when(meets, b["decay"] * share * a["decay"]).when(both, a["decay"]).otherwise(b["decay"]).alias("decay"),
+            F.when(meets, b["decay"] * (share * a["gain"] + (1 - share) * b["x"]) + b["gain"]).when(both, a["gain"]).otherwise(b["gain"]).alias("gain"),
+            F.when(both & ~b["some"], a["tail"] + b["lead"]).otherwise(b["tail"]).alias("tail"))
+
+    return combine
+
+
 def ema(df: DataFrame, group: Sequence[str], target: str, span: int = SETTINGS.ema_span,
         cols: Columns = COLUMNS) -> DataFrame:
     """W3. Exponential mean of all previous rows, first row NULL.
 
-    A fold over the whole history of the group (a unit's months). A NULL keeps
-    its place: the mean stays, and the weight of what came before it falls by
-    one more step. The window is shared with W1-W6.
+    A NULL keeps its place: the mean stays, and the weight of what came before
+    it falls by one more step. Every run of rows is an affine map of the mean
+    before it, so the table is numbered as a whole, runs of rows are combined
+    in blocks, and blocks hand over to blocks (``prefixes``): memory does not
+    grow with a series, and a long one is spread over many tasks.
     """
-    alpha = 2.0 / (span + 1)
-    past = F.collect_list(F.struct(F.col(target).cast("double").alias("x"))).over(
-        series(group, cols).rowsBetween(Window.unboundedPreceding, -1))
-    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(1.0).alias("weight"))
-
-    def step(state: Column, row: Column) -> Column:
-        x, old = row["x"], state["weight"] * F.lit(1 - alpha)
-        mixed = (state["mean"] * old + x * F.lit(alpha)) / (old + F.lit(alpha))
-        return F.struct(F.when(x.isNull(), state["mean"]).when(state["mean"].isNull(), x).otherwise(mixed).alias("mean"),
-                        F.when(x.isNull() & state["mean"].isNotNull(), old).otherwise(F.lit(1.0)).alias("weight"))
-
-    return df.withColumn(f"ema_{span}m", F.aggregate(past, start, step, lambda state: state["mean"]))
+    numbered = global_row_number(settle(df), [*group, *cols.time], "_row").withColumn("_row", F.col("_row") - 1)
+    held = prefixes(numbered, "_row", _observed(group, F.col(target).cast("double")), _followed(2.0 / (span + 1)), "_before", numbered.count())
+    past = F.col("_before")
+    known = past.isNotNull() & past["last"].eqNullSafe(F.struct(*group)) & past["some"]
+    return held.withColumn(f"ema_{span}m", F.when(known, past["decay"] * past["x"] + past["gain"])).drop("_row", "_before")
 
 
 def growth(df: DataFrame, group: Sequence[str], target: str, lag: int = 12, cols: Columns = COLUMNS) -> DataFrame:
@@ -83,8 +113,10 @@ def growth_features(df: DataFrame, group: Sequence[str], target: str, cols: Colu
 
 
 def temporal_features(df: DataFrame, group: Sequence[str], target: str, cols: Columns = COLUMNS) -> DataFrame:
-    """W1, W2, W3, F1, W4-W6 in one chain over one window specification."""
-    df = ema(rolling(lags(df, group, target, cols=cols), group, target, cols=cols), group, target, cols=cols)
+    """W1, W2, W3, F1, W4-W6; all but W3 in one chain over one window specification. W3 runs first, on the narrow panel."""
+    name = f"ema_{SETTINGS.ema_span}m"
+    df = rolling(lags(ema(df, group, target, cols=cols), group, target, cols=cols), group, target, cols=cols)
+    df = df.select(*[c for c in df.columns if c != name], name)
     df = df.withColumns(seasonal_columns(df.columns, cols))
     return growth_features(df, group, target, cols)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -74,68 +75,81 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], sizes: Mapping[str, int] | None = None,
-                  distinct: int = 50_000) -> dict[str, float | None]:
-    """Exact median of each numeric column; only single values reach the driver.
+#: Fixed values of 64-bit floating point numbers: bits of the fraction, bias of the exponent, least normal and least positive number.
+_FRACTION, _BIAS, _NORMAL, _LEAST = 52, 1023, 2.0 ** -1022, 2.0 ** -1074
+#: Digits of a code: four of 16 bits, the highest first.
+_SHIFTS = (48, 32, 16, 0)
 
-    Approximate percentiles bracket the middle ranks. While more than about
-    ``distinct`` different values lie inside a bracket (counted, within a few
-    percent), it is narrowed; a bracket that misses its ranks is taken wider.
-    The values left are counted exactly, at most a window of that many rows.
-    ``sizes`` are the non-null counts where the caller has them already.
+
+def order_code(value: Column) -> Column:
+    """A 64-bit whole number that orders as the number does: its floating point bits, worked out from exponent and fraction.
+
+    Powers of two and products with them are exact. NULL stays NULL; NaN comes after infinity; 0 and -0 are one.
+    """
+    x = value.cast("double")
+    size = F.abs(x)
+    rough = F.floor(F.log2(size)).cast("int")  # may be one off next to a power of two
+    power = F.when(F.pow(F.lit(2.0), rough) > size, rough - 1).when(F.pow(F.lit(2.0), rough + 1) <= size, rough + 1).otherwise(rough)
+    fraction = ((size / F.pow(F.lit(2.0), power) - 1) * 2.0 ** _FRACTION).cast("long")
+    infinite = F.lit((2 * _BIAS + 1) << _FRACTION)
+    code = (F.when(size < _NORMAL, (size / _LEAST).cast("long")).when(size == float("inf"), infinite)
+            .otherwise(F.shiftleft((power + _BIAS).cast("long"), _FRACTION) + fraction))
+    return F.when(F.isnan(x), infinite + 1).when(x < 0, -code).when(x.isNotNull(), code)
+
+
+def code_value(code: int) -> float:
+    """The number that has a code."""
+    value = struct.unpack(">d", struct.pack(">q", abs(code)))[0]
+    return -value if code < 0 else value
+
+
+def exact_medians(df: DataFrame, columns: Sequence[str], sizes: Mapping[str, int] | None = None) -> dict[str, float | None]:
+    """Exact median of each numeric column by radix selection, all columns together.
+
+    Numbers become order-preserving 64-bit codes. Four passes, whatever the
+    data, count the 16-bit digits of the codes, highest first, among the
+    numbers that share the digits already known of a middle rank; at most
+    65,536 counts for each column and rank are added up in Spark, and only the
+    digit in which the rank falls reaches the driver. ``sizes`` are the non-null
+    counts where the caller has them already.
     """
     if not columns:
         return {}
     if sizes is None:
         sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
-    out: dict[str, float | None] = {c: None for c in columns}
     live = [c for c in columns if sizes[c]]
     if not live:
-        return out
-    ranks = {c: ((sizes[c] + 1) // 2, sizes[c] // 2 + 1) for c in live}
-    state = {c: (None, None, 0, sizes[c]) for c in live}  # low, high, rows below, rows inside
-    margin = {c: 3e-4 for c in live}
-
-    def inside(c: str) -> Column:
-        low, high, _, _ = state[c]
-        return F.col(c).isNotNull() if low is None else F.col(c).between(F.lit(low), F.lit(high))
-
-    def crowded(names: list[str]) -> list[str]:
-        found = df.agg(*[F.approx_count_distinct(F.when(inside(c), F.col(c))).alias(c) for c in names]).first()
-        return [c for c in names if found[c] > distinct]
-
-    wide, done = crowded(live), set()
-    while wide:
-        picks = []
-        for c in wide:
-            _, _, below, rows = state[c]
-            shares = [max(0.0, (ranks[c][0] - below) / rows - margin[c]), min(1.0, (ranks[c][1] - below) / rows + margin[c])]
-            picks.append(F.percentile_approx(F.when(inside(c), F.col(c)), shares, 10_000).alias(c))
-        bounds = df.agg(*picks).first()
-        counts = df.agg(*[
-            F.struct(F.count_if(F.col(c) < F.lit(bounds[c][0])).alias("below"),
-                     F.count_if(F.col(c).between(F.lit(bounds[c][0]), F.lit(bounds[c][1]))).alias("rows")).alias(c)
-            for c in wide
-        ]).first()
-        for c in wide:
-            below, rows = counts[c]["below"], counts[c]["rows"]
-            taken = (bounds[c][0], bounds[c][1], below, rows)
-            if below < ranks[c][0] and below + rows >= ranks[c][1]:
-                if taken == state[c]:
-                    done.add(c)  # as narrow as percentiles get
-                state[c] = taken
-            else:
-                margin[c] *= 4
-        wide = [c for c in crowded(wide) if c not in done]
-
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.when(inside(c), F.col(c).cast("double")).alias("value")) for c in live])
-    values = (
-        df.select(F.explode(pairs).alias("p")).select("p.name", "p.value").filter(F.col("value").isNotNull())
-        .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = values.withColumn("upto", F.sum("n").over(Window.partitionBy("name").orderBy("value")))
-    need = F.create_map(*[x for c in live for x in (
-        F.lit(c), F.array(*[F.lit(k - state[c][2]).cast("long") for k in ranks[c]]))])
-    at = [F.min(F.when(F.col("upto") >= need[F.col("name")][i], F.col("value"))) for i in (0, 1)]
-    middles = running.groupBy("name").agg(((at[0] + at[1]) / 2).alias("m")).collect()
-    return out | {r["name"]: r["m"] for r in middles}
+        return {c: None for c in columns}
+    codes = settle(df.select(F.array(*[order_code(F.col(c)) for c in live]).alias("codes")))  # worked out once, read four times
+    # ranks from 1 among the numbers that share a prefix: by column and prefix
+    wanted = {(c, 0): sorted({(sizes[c] + 1) // 2, sizes[c] // 2 + 1}) for c in live}
+    found: dict[tuple[str, int], list[int]] = {}
+    for turn, shift in enumerate(_SHIFTS):
+        known = {c: sorted(p for n, p in wanted if n == c) for c in live}
+        at, code = F.col("at"), F.col("code")
+        inside = F.lit(False)
+        for i, c in enumerate(live):
+            inside = inside | ((at == i) & (F.shiftright(code, shift + 16).isin(known[c]) if turn else code.isNotNull()))
+        names = F.array(*map(F.lit, live))
+        counted = (codes.select(F.posexplode("codes").alias("at", "code")).where(inside)
+                   .groupBy("at", F.shiftright(code, shift).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+                   .withColumn("name", F.element_at(names, at + 1)))
+        above = F.shiftright("prefix", 16) if turn else F.lit(0).cast("long")
+        upto = Window.partitionBy("name", "above").orderBy("prefix")
+        counted = counted.withColumn("above", above).withColumn("upto", F.sum("n").over(upto))
+        hit = F.lit(False)
+        for (c, prefix), ranks in wanted.items():
+            for rank in ranks:
+                hit = hit | ((F.col("name") == c) & (F.col("above") == F.lit(prefix).cast("long"))
+                             & (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank))
+        found = {}
+        for r in counted.where(hit).collect():
+            before = r["upto"] - r["n"]
+            ranks = [rank - before for rank in wanted[r["name"], r["above"]] if before < rank <= r["upto"]]
+            found[r["name"], r["prefix"]] = ranks
+        wanted = found
+    out: dict[str, float | None] = {c: None for c in columns}
+    for c in live:
+        middles = [code_value(code) for name, code in found if name == c]
+        out[c] = (min(middles) + max(middles)) / 2
+    return out

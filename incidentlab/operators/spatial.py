@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, Columns
-from ..functions.geo import area_centroid, ring_bounds, ring_contains, ring_distance, shape_contains, shape_distance
+from ..functions.geo import area_centroid, ring_bounds, ring_contains, ring_distance
 from ..functions.scalar import col, haversine_km
 from .scale import with_stats
 
@@ -124,47 +124,100 @@ def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
     return one_way.select(F.inline(both))
 
 
-def _inside(rings: Column, x: Column, y: Column, tol: float) -> Column:
-    hit = shape_contains(rings, x, y)
-    return hit | (shape_distance(rings, x, y) <= tol) if tol > 0 else hit
+#: Edges a band should hold on average, beside those that only pass through.
+BAND_EDGES = 8
+
+
+def shape_edges(polys: DataFrame) -> DataFrame:
+    """(name, ax, ay, bx, by): every edge of every ring, part or hole. ``polys`` has a ``ring`` or an array ``rings`` a row."""
+    rings = polys.select("name", F.explode("rings").alias("ring")) if "rings" in polys.columns else polys.select("name", "ring")
+    ring = F.col("ring")
+    edges = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.struct(
+        F.element_at(ring, i)["x"].alias("ax"), F.element_at(ring, i)["y"].alias("ay"),
+        F.element_at(ring, i + 1)["x"].alias("bx"), F.element_at(ring, i + 1)["y"].alias("by")))
+    return rings.filter(F.size(ring) > 1).select("name", F.inline(edges))
+
+
+def banded_shapes(polys: DataFrame, tol: float) -> tuple[DataFrame, DataFrame]:
+    """Shapes (name, box, y_step, bands) and their edges by horizontal band (name, band, edges).
+
+    A shape's height is cut into equal bands, so many that a band holds about
+    ``BAND_EDGES`` edges besides those passing through; an edge is listed in the
+    bands it comes within ``tol`` of, and the lists hold at most some twice the
+    shape's edges together, however long these are.
+    """
+    edges = shape_edges(polys)
+    high, low = F.greatest("ay", "by"), F.least("ay", "by")
+    box = edges.groupBy("name").agg(
+        F.min(F.least("ax", "bx")).alias("x_min"), F.max(F.greatest("ax", "bx")).alias("x_max"), F.min(low).alias("y_min"),
+        F.max(high).alias("y_max"), F.count(F.lit(1)).alias("_edges"), F.sum(high - low + 2 * tol).alias("_rise"))
+    height = F.col("y_max") - F.col("y_min")
+    passing = F.greatest(F.lit(1.0), F.coalesce(F.try_divide(F.col("_rise"), height), F.lit(1.0)))
+    shapes = box.withColumn("bands", F.ceil(F.col("_edges") / (BAND_EDGES * passing)).cast("long")).select(
+        "name", "x_min", "x_max", "y_min", "y_max", "bands", F.when(height > 0, height / F.col("bands")).otherwise(1.0).alias("y_step"))
+    reached = F.explode(F.sequence(band_of(low - tol), band_of(high + tol)))
+    listed = edges.join(shapes.select("name", "y_min", "y_step", "bands"), "name").withColumn("band", reached)
+    return shapes, listed.groupBy("name", "band").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("edges"))
+
+
+def band_of(y: Column) -> Column:
+    """The band of a shape in which a height lies; those above and below count to the outer bands."""
+    return F.greatest(F.lit(0), F.least(F.col("bands") - 1, F.floor((y - F.col("y_min")) / F.col("y_step")).cast("long"))).cast("long")
+
+
+def _held(x: Column, y: Column, tol: float) -> Column:
+    """Even-odd test against the edges of the point's band, or an edge within ``tol``."""
+    def crosses(e: Column) -> Column:
+        at = F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]
+        return ((e["ay"] > y) != (e["by"] > y)) & F.coalesce(x < at, F.lit(False))
+
+    def near(e: Column) -> Column:
+        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+        along = F.coalesce(F.try_divide((x - e["ax"]) * dx + (y - e["ay"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return F.hypot(e["ax"] + s * dx - x, e["ay"] + s * dy - y) <= tol
+
+    inside = F.aggregate("edges", F.lit(False), lambda odd, e: F.when(crosses(e), ~odd).otherwise(odd))
+    return inside | F.exists("edges", near) if tol > 0 else inside
 
 
 def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cols: Columns = COLUMNS) -> DataFrame:
     """J6. Points with the ``name`` of each polygon holding them (within ``tol``); points outside all drop out.
 
-    Parts and holes of a name are one shape, see :func:`whole_shapes`. An
-    equi-join on grid buckets feeds the ring test. A polygon lives on the
-    grid of its size class (bucket side: the power of eight above its grown
-    box, so it touches at most nine buckets); a point looks on each grid in
-    use, which for shapes of like size is one.
+    Parts and holes of a name are one shape. An equi-join on grid buckets
+    finds the boxes around a point: a shape lives on the grid of its size class
+    (bucket side: the power of eight above its grown box, so it touches at most
+    nine buckets); a point looks on each grid in use, which for shapes of like
+    size is one. A second equi-join on (name, band) brings the few edges at the
+    point's height: no ring travels, and the test does not grow with the
+    vertices of the shape.
     """
     x, y = F.col(cols.lon), F.col(cols.lat)
-    b = ring_bounds(F.flatten("rings"))
-    side = F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]) + F.lit(2 * tol)
-    size = F.ceil(F.log2(F.greatest(side, F.lit(1e-9))) / 3).cast("int")
-    shapes = whole_shapes(polys).withColumns({**b, "_level": size})
+    shapes, edges = banded_shapes(polys, tol)
+    side = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")) + F.lit(2 * tol)
+    shapes = shapes.withColumn("_level", F.ceil(F.log2(F.greatest(side, F.lit(1e-9))) / 3).cast("int"))
     levels = [r[0] for r in shapes.select("_level").distinct().collect()]  # a few powers of eight
     step = F.pow(F.lit(8.0), F.col("_level"))
     bucket = lambda c, d=0.0: F.floor((c + F.lit(d)) / step)
     covers = (
         shapes.withColumn("_bx", F.explode(F.sequence(bucket(F.col("x_min"), -tol), bucket(F.col("x_max"), tol))))
         .withColumn("_by", F.explode(F.sequence(bucket(F.col("y_min"), -tol), bucket(F.col("y_max"), tol))))
-        .select("name", "rings", *b, "_level", "_bx", "_by")
     )
     in_box = x.between(F.col("x_min") - tol, F.col("x_max") + tol) & y.between(F.col("y_min") - tol, F.col("y_max") + tol)
     grids = F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))
     located = points.withColumn("_level", grids).withColumns({"_bx": bucket(x), "_by": bucket(y)})
-    return (
-        located.join(covers, ["_level", "_bx", "_by"])
-        .filter(F.when(in_box, _inside(F.col("rings"), x, y, tol))).drop("_level", "_bx", "_by", "rings", *b)
-    )
+    boxed = located.join(covers, ["_level", "_bx", "_by"]).filter(in_box).withColumn("band", band_of(y))
+    return boxed.join(edges, ["name", "band"]).filter(_held(x, y, tol)).select(*points.columns, "name")
 
 
 def outside_claimed(points: DataFrame, polys: DataFrame, tol: float, cols: Columns = COLUMNS) -> DataFrame:
     """J6 / V14. One row: points tested, points outside the polygon of their own unit, and the share."""
-    tested = points.join(whole_shapes(polys).withColumnRenamed("name", cols.unit), cols.unit)
-    outside = F.count_if(~_inside(F.col("rings"), F.col(cols.lon), F.col(cols.lat), tol))
-    return tested.agg(F.count(F.lit(1)).alias("tested"), outside.alias("outside")).withColumn(
+    x, y = F.col(cols.lon), F.col(cols.lat)
+    shapes, edges = banded_shapes(polys, tol)
+    tested = points.join(shapes, F.col(cols.unit) == F.col("name")).withColumn("band", band_of(y)).select(
+        "name", "band", x.alias("_x"), y.alias("_y"))
+    held = tested.join(edges, ["name", "band"], "left").withColumn("_in", F.coalesce(_held(F.col("_x"), F.col("_y"), tol), F.lit(False)))
+    return held.agg(F.count(F.lit(1)).alias("tested"), F.count_if(~F.col("_in")).alias("outside")).withColumn(
         "failure_share", F.try_divide(F.col("outside").cast("double"), F.col("tested")))
 
 

@@ -9,6 +9,7 @@ from ..operators import reports
 from ..streaming import jobs
 from .cleaning import _ACTION
 from ..functions.scalar import rounded
+from ..session import new_table_dir
 from .registry import query, rnd
 
 R = rnd
@@ -81,6 +82,17 @@ def r4(spark, d):
     return jobs.changed_rankings(um.filter(F.col("year") == 1999), um.filter(F.col("year") == 2000), "place", ["n"], "risk_update")
 
 
+@query("r4_ranking_pushes_stream", """
+SELECT user_id, 'risk_update' AS channel, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id) AS rank,
+  'new' AS first_change FROM ev GROUP BY user_id""", "ev")
+def r4_stream(spark, d):
+    """The ranking that a listener holds once the events have come in several files, one micro-batch each."""
+    arriving = new_table_dir(spark, "events-in-turn")
+    fx.ev(spark, d).select("user_id", F.lit(1).cast("long").alias("n")).repartition(4).write.parquet(arriving)
+    pushes = jobs.RankingPushes(spark, "user_id", "n", "risk_update")
+    return jobs.last_pushes(pushes.run(jobs.read_files_in_turn(spark, arriving)), "user_id")
+
+
 _LATEST = """SELECT user_id, value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM ev) WHERE r = 1"""
 

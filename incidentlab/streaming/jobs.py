@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..columns import SETTINGS
 from ..functions.scalar import client_ip
 from ..operators.access import classify_requests
+from ..operators.scale import global_row_number
 from ..session import new_table_dir
 
 # Fixed values.
@@ -19,6 +20,11 @@ CHANNELS = ("risk_update", "hotspot_update", "report_complete")
 # End of fixed values.
 
 
+def read_files_in_turn(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a folder of Parquet files as a stream, one file a micro-batch."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The rows of one table as a stream, schema taken from the table.
 
@@ -87,6 +93,55 @@ def changed_rankings(previous: DataFrame, current: DataFrame, key: str, columns:
     return changed.select(key, F.lit(channel).alias("channel"), kind.alias("change"), "_new.*")
 
 
+class RankingPushes:
+    """R4 as a stream: scores add up by key, and each micro-batch pushes the rows of the ranking that it adds or changes.
+
+    Rankings are versions by batch: a batch reads the version before it,
+    writes the next one and then the difference. Both are folders of its own
+    that a repeated batch overwrites from the same version, so a restart gives
+    the same rows. Only the last version is read again; older ones may be
+    deleted.
+    """
+
+    def __init__(self, spark: SparkSession, key: str, score: str, channel: str):
+        self.key, self.score, self.channel = key, score, channel
+        self.versions, self.pushes = new_table_dir(spark, "ranking-versions"), new_table_dir(spark, "ranking-pushes")
+        self.progress = new_table_dir(spark, "ranking-progress")
+
+    def version(self, spark: SparkSession, batch_id: int, like: DataFrame | None = None) -> DataFrame:
+        """(key, score, rank) after a batch; before the first one an empty table with the types of ``like``."""
+        if batch_id < 0:
+            return like.select(self.key, self.score, F.lit(0).cast("long").alias("rank")).limit(0)
+        return spark.read.parquet(f"{self.versions}/{batch_id}")
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        added = batch.groupBy(self.key).agg(F.sum(self.score).alias(self.score))
+        before = self.version(spark, batch_id - 1, added)
+        totals = before.select(self.key, self.score).unionByName(added).groupBy(self.key).agg(F.sum(self.score).alias(self.score))
+        ranked = global_row_number(totals, [F.col(self.score).desc(), F.col(self.key)], "rank")
+        ranked.select(self.key, self.score, "rank").write.mode("overwrite").parquet(f"{self.versions}/{batch_id}")
+        pushed = changed_rankings(before, self.version(spark, batch_id), self.key, [self.score, "rank"], self.channel)
+        pushed.write.mode("overwrite").parquet(f"{self.pushes}/batch={batch_id}")
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Runs what is available; all pushes with their batch."""
+        query = (stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", self.progress)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        return self.pushed(stream.sparkSession)
+
+    def pushed(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(self.pushes)
+
+
+def last_pushes(pushes: DataFrame, key: str) -> DataFrame:
+    """R4. What a listener holds after all pushes: the last row of each key."""
+    values = F.struct(*[c for c in pushes.columns if c not in (key, "batch", "change")])
+    return pushes.groupBy(key).agg(F.max_by(values, F.col("batch")).alias("_v"), F.min_by("change", "batch").alias("first_change")
+                               ).select(key, "_v.*", "first_change")
+
+
 def latest_by_key(events: DataFrame, key: str, value: str, ts: str, tie: str) -> DataFrame:
     """R5. Newest value per key (the greater ``tie`` at equal times)."""
     newest = F.max_by(F.struct(F.col(value).alias("value"), F.col(ts).alias("updated_at")), F.struct(ts, tie))

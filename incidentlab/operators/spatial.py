@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import COLUMNS, Columns
-from ..functions.geo import area_centroid, ring_bounds, ring_contains, ring_distance
+from ..functions.geo import area_centroid, ring_bounds
 from ..functions.scalar import col, haversine_km
-from .scale import with_stats
+from .scale import settle, with_stats
 
 
 def _neighbour_mean(unit_year: DataFrame, edges: DataFrame, value: str, name: str, cols: Columns) -> DataFrame:
@@ -50,52 +52,31 @@ def local_moran_proxy(unit_year: DataFrame, edges: DataFrame, rate: str, count:
 # --- shapes ------------------------------------------------------------------
 
 
-def _rings_meet(a: Column, b: Column, reach: float) -> Column:
-    """True when two rings come within ``reach`` of each other, cross, or one holds the other."""
-    near = lambda ring, other: F.exists(ring, lambda p: (
-        ring_contains(other, p["x"], p["y"]) | (ring_distance(other, p["x"], p["y"]) <= reach)))
-
-    def side(p: Column, q: Column, r: Column) -> Column:
-        return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
-
-    def edge_crosses(i: Column, j: Column) -> Column:
-        p, q = F.element_at(a, i), F.element_at(a, i + 1)
-        r, s = F.element_at(b, j), F.element_at(b, j + 1)
-        return (side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)
-
-    steps = lambda ring: F.sequence(F.lit(1), F.size(ring) - 1)
-    crosses = F.exists(steps(a), lambda i: F.exists(steps(b), lambda j: edge_crosses(i, j)))
-    return near(a, b) | near(b, a) | crosses
-
-
 def whole_shapes(polys: DataFrame) -> DataFrame:
     """(name, rings): all parts and holes of a name in one row. ``polys`` has a ``ring`` or an array ``rings`` a row."""
     rings = F.flatten(F.collect_list("rings")) if "rings" in polys.columns else F.collect_list("ring")
     return polys.groupBy("name").agg(rings.alias("rings"))
 
 
-def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
-    """J5. Edges (src, dst), both ways, of shapes that meet when each grows by ``tol``.
+def _near_boxes(boxes: DataFrame, tol: float) -> DataFrame:
+    """Pairs (a, b) of the rows of ``boxes`` (name, own, x_min, x_max, y_min, y_max) with other names whose boxes, each grown by
+    ``tol``, meet.
 
-    Each shape lives on the grid of its own size class (bucket side: the power
+    Each box lives on the grid of its own size class (bucket side: the power
     of two above its grown box, so it touches at most nine buckets) and looks
-    for others there and on all coarser grids. Candidates thus are near a shape
-    of at least their own size, however the shapes crowd. They then pass the
-    bounding-box test, and with ``exact`` the ring test. A shape of several
-    parts has a row for each; parts of one name are no neighbours, and an edge
-    comes once however many parts meet.
+    for others there and on all coarser grids. Candidates thus are near a box
+    of at least their own size, however the boxes crowd. A pair comes once.
     """
-    b = ring_bounds("ring")
-    side = F.greatest(b["x_max"] - b["x_min"], b["y_max"] - b["y_min"]) + F.lit(2 * tol)
-    size = F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int")
-    shapes = polys.withColumns({**b, "_size": size}).select("name", "ring", *b, "_size")
-    coarsest = shapes.agg(F.max("_size")).scalar()
+    bounds = ("x_min", "x_max", "y_min", "y_max")
+    side = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min")) + F.lit(2 * tol)
+    sized = boxes.withColumn("_size", F.ceil(F.log2(F.greatest(side, F.lit(1e-9)))).cast("int"))
+    coarsest = sized.agg(F.max("_size")).scalar()
 
     def at_level(level: Column | str) -> DataFrame:
         step = F.pow(F.lit(2.0), F.col("_level"))
         bucket = lambda c, d: F.floor((F.col(c) + d) / step)
         return (
-            shapes.withColumn("_level", level)
+            sized.withColumn("_level", level)
             .withColumn("_bx", F.explode(F.sequence(bucket("x_min", -tol), bucket("x_max", tol))))
             .withColumn("_by", F.explode(F.sequence(bucket("y_min", -tol), bucket("y_max", tol))))
         )
@@ -104,8 +85,8 @@ def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
     visit = at_level(F.explode(F.sequence(F.col("_size"), coarsest))).alias("b")
     reach = 2 * tol
     same_bucket = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("_level", "_bx", "_by")]
-    once = (F.col("b._size") < F.col("a._size")) | (
-        (F.col("b._size") == F.col("a._size")) & (F.col("a.name") < F.col("b.name")))
+    once = (F.col("a.name") != F.col("b.name")) & ((F.col("b._size") < F.col("a._size")) | (
+        (F.col("b._size") == F.col("a._size")) & (F.col("a.name") < F.col("b.name"))))
     boxes_meet = (
         (F.col("a.x_min") - F.col("b.x_max") <= reach) & (F.col("b.x_min") - F.col("a.x_max") <= reach)
         & (F.col("a.y_min") - F.col("b.y_max") <= reach) & (F.col("b.y_min") - F.col("a.y_max") <= reach)
@@ -114,11 +95,66 @@ def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
     corner = lambda c: F.floor(
         (F.greatest(f"a.{c}", f"b.{c}") - F.lit(tol)) / F.pow(F.lit(2.0), F.col("a._level")))
     here = (corner("x_min") == F.col("a._bx")) & (corner("y_min") == F.col("a._by"))
-    pairs = home.join(visit, [*same_bucket, once, boxes_meet, here])
+    whole = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(c) for c in ("name", "own", *bounds)])
+    return home.join(visit, [*same_bucket, once, boxes_meet, here]).select(whole("a").alias("a"), whole("b").alias("b"))
+
+
+def _segments_near(a: Column, b: Column, reach: float) -> Column:
+    """True when two segments (ax, ay, bx, by) cross or come within ``reach`` of each other."""
+    def side(e: Column, x: Column, y: Column) -> Column:
+        return (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
+
+    crosses = ((side(a, b["ax"], b["ay"]) * side(a, b["bx"], b["by"]) < 0)
+               & (side(b, a["ax"], a["ay"]) * side(b, a["bx"], a["by"]) < 0))
+    ends = [_edge_distance(e, o[f"{end}x"], o[f"{end}y"]) <= reach for e, o in ((a, b), (b, a)) for end in ("a", "b")]
+    return crosses | ends[0] | ends[1] | ends[2] | ends[3]
+
+
+def _edge_distance(e: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to a segment (ax, ay, bx, by), in coordinate units."""
+    dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
+    along = F.coalesce(F.try_divide((x - e["ax"]) * dx + (y - e["ay"]) * dy, dx * dx + dy * dy), F.lit(0.0))
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return F.hypot(e["ax"] + s * dx - x, e["ay"] + s * dy - y)
+
+
+def _borders_meet(polys: DataFrame, tol: float) -> DataFrame:
+    """(src, dst) of shapes with an edge within ``2 * tol`` of an edge of the other, or with a ring inside a ring of the other.
+
+    Every edge is a small box of its own on the grids, so the work follows the
+    edges that lie close together and not the product of two shapes' vertices.
+    Where no edges meet, a ring lies inside another as a whole or not at all:
+    one of its vertices tells.
+    """
+    e = F.struct("ax", "ay", "bx", "by")
+    boxes = shape_edges(polys).select(
+        "name", e.alias("own"), F.least("ax", "bx").alias("x_min"), F.greatest("ax", "bx").alias("x_max"),
+        F.least("ay", "by").alias("y_min"), F.greatest("ay", "by").alias("y_max"))
+    pairs = _near_boxes(boxes, tol)
+    a, b = F.col("a"), F.col("b")
+    # a few near boxes for each edge; settled, so that the costly test stays out of the join over all in a bucket
+    near = settle(pairs).filter(_segments_near(F.col("a")["own"], F.col("b")["own"], 2 * tol)).select(
+        F.col("a")["name"].alias("src"), F.col("b")["name"].alias("dst"))
+    each = polys.select("name", "ring").filter(F.size("ring") > 0).dropDuplicates(["name", "ring"])
+    rings = each.select(F.struct("name", F.xxhash64("ring").alias("ring")).alias("name"), "ring")
+    first = each.select(F.col("name").alias("_of"), F.col("ring")[0]["x"].alias("_x"), F.col("ring")[0]["y"].alias("_y"))
+    inside = point_in_polygon(first, rings, cols=replace(COLUMNS, lon="_x", lat="_y"))
+    return near.unionByName(inside.select(F.col("_of").alias("src"), F.col("name")["name"].alias("dst")))
+
+
+def adjacency(polys: DataFrame, tol: float, exact: bool = False) -> DataFrame:
+    """J5. Edges (src, dst), both ways, of shapes that meet when each grows by ``tol``.
+
+    By bounding boxes, or with ``exact`` by their borders. A shape of several
+    parts has a row for each; parts of one name are no neighbours, and an edge
+    comes once however many parts meet.
+    """
     if exact:
-        # the optimizer may test this before the join's own conditions: keep the cheap ones in front
-        pairs = pairs.filter(F.when(once & boxes_meet & here, _rings_meet(F.col("a.ring"), F.col("b.ring"), reach)))
-    one_way = pairs.select(F.least("a.name", "b.name").alias("src"), F.greatest("a.name", "b.name").alias("dst"))
+        pairs = _borders_meet(polys, tol)
+    else:
+        boxes = polys.select("name", F.lit(True).alias("own"), *[c.alias(n) for n, c in ring_bounds("ring").items()])
+        pairs = _near_boxes(boxes, tol).select(F.col("a")["name"].alias("src"), F.col("b")["name"].alias("dst"))
+    one_way = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     one_way = one_way.filter(F.col("src") != F.col("dst")).distinct()
     both = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return one_way.select(F.inline(both))
@@ -171,14 +207,8 @@ def _held(x: Column, y: Column, tol: float) -> Column:
         at = F.try_divide((e["bx"] - e["ax"]) * (y - e["ay"]), e["by"] - e["ay"]) + e["ax"]
         return ((e["ay"] > y) != (e["by"] > y)) & F.coalesce(x < at, F.lit(False))
 
-    def near(e: Column) -> Column:
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        along = F.coalesce(F.try_divide((x - e["ax"]) * dx + (y - e["ay"]) * dy, dx * dx + dy * dy), F.lit(0.0))
-        s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-        return F.hypot(e["ax"] + s * dx - x, e["ay"] + s * dy - y) <= tol
-
     inside = F.aggregate("edges", F.lit(False), lambda odd, e: F.when(crosses(e), ~odd).otherwise(odd))
-    return inside | F.exists("edges", near) if tol > 0 else inside
+    return inside | F.exists("edges", lambda e: _edge_distance(e, x, y) <= tol) if tol > 0 else inside
 
 
 def point_in_polygon(points: DataFrame, polys: DataFrame, tol: float = 0.0, cols: Columns = COLUMNS) -> DataFrame:

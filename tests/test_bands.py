@@ -83,3 +83,51 @@ def test_a_point_meets_few_edges_of_a_shape_of_many_vertices(spark):
 def test_lists_stay_small_where_every_band_meets_every_edge(spark):
     _, edges = spatial.banded_shapes(spark.createDataFrame([("comb", comb(2000))], POLYS), 0.0)
     assert edges.agg(F.sum(F.size("edges"))).first()[0] <= 2 * (4 * 2000 + 4)
+
+
+def segment_distance(p, q, r, s):
+    """Smallest distance of two segments."""
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    if side(p, q, r) * side(p, q, s) < 0 and side(r, s, p) * side(r, s, q) < 0:
+        return 0.0
+
+    def end(c, a, b):
+        d2 = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        t = max(0.0, min(1.0, ((c[0] - a[0]) * (b[0] - a[0]) + (c[1] - a[1]) * (b[1] - a[1])) / d2)) if d2 else 0.0
+        return math.hypot(a[0] + t * (b[0] - a[0]) - c[0], a[1] + t * (b[1] - a[1]) - c[1])
+    return min(end(r, p, q), end(s, p, q), end(p, r, s), end(q, r, s))
+
+
+def plain_neighbours(rows, tol):
+    """Every edge against every edge, and every first vertex against every ring."""
+    out = set()
+    for n, a in rows:
+        for m, b in rows:
+            if n == m:
+                continue
+            near = any(segment_distance(p, q, r, s) <= 2 * tol for p, q in zip(a, a[1:]) for r, s in zip(b, b[1:]))
+            if near or plain([b], np.array([a[0][0]]), np.array([a[0][1]]))[0]:
+                out |= {(n, m), (m, n)}
+    return out
+
+
+@pytest.mark.parametrize("tol", [0.0, 0.02, 0.3])
+def test_neighbours_of_irregular_shapes_equal_the_plain_test(spark, tol):
+    rng = random.Random(8)
+    rows = [(f"s{i:02d}", wobbly(rng.randint(3, 40), rng.uniform(0, 12), rng.uniform(0, 12), rng.uniform(0.3, 1.6), i)) for i in range(30)]
+    rows += [("island", wobbly(12, 5, 5, 0.05, 50)), ("around", wobbly(60, 6, 6, 20, 51)), ("s00", wobbly(9, 15, 2, 0.7, 52)), ("comb", comb(4))]
+    got = {tuple(r) for r in spatial.adjacency(spark.createDataFrame(rows, POLYS), tol, exact=True).collect()}
+    assert got == plain_neighbours(rows, tol) and got
+
+
+def test_two_long_borders_meet_without_a_product_of_vertices(spark):
+    """20,000 vertices a side along one border: near boxes are a few for each edge."""
+    line = [(i / 1000, 0.1 * math.sin(i / 50)) for i in range(20_001)]
+    upper = [*[(x, y + 0.001) for x, y in line], (20.0, 5.0), (0.0, 5.0), (0.0, line[0][1] + 0.001)]
+    lower = [*line, (20.0, -5.0), (0.0, -5.0), line[0]]
+    polys = spark.createDataFrame([("upper", upper), ("lower", lower), ("far", wobbly(50, 40, 40, 1, 3))], POLYS)
+    assert {tuple(r) for r in spatial.adjacency(polys, 0.001, exact=True).collect()} == {("upper", "lower"), ("lower", "upper")}
+    assert spatial.adjacency(polys, 0.0001, exact=True).count() == 0
+    edges = spatial.shape_edges(polys).select("name", F.lit(1).alias("own"), F.least("ax", "bx").alias("x_min"), F.greatest("ax", "bx").alias("x_max"),
+                                              F.least("ay", "by").alias("y_min"), F.greatest("ay", "by").alias("y_max"))
+    assert spatial._near_boxes(edges, 0.001).count() < 10 * 40_000

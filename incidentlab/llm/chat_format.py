@@ -39,6 +39,8 @@ CONTROLS = (TURN, BODY, END, *PLACEHOLDERS.values(), "<|im_start|>", "<|im_end|>
             "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=True))) + r"|\\")
 _TURNS = re.compile(re.escape(TURN) + "(.*?)" + re.escape(BODY) + "(.*?)" + re.escape(END), re.DOTALL)
+_KINDS = {mark: kind for kind, mark in PLACEHOLDERS.items()}
+_PLACED = re.compile("(" + "|".join(map(re.escape, _KINDS)) + ")")  # texts hold no bare placeholder
 
 PART = "type string, text string, ref string, width int, height int, seconds double, pages int"
 
@@ -58,7 +60,7 @@ class PartVisitor:
         self.patch, self.audio_rate, self.page_tokens = patch, audio_rate, page_tokens
 
     def flatten(self, parts) -> tuple[str, list[dict]]:
-        self.out, self.length, self.attached = [], 0, []
+        self.out, self.texts, self.length, self.attached = [], [], 0, []
         for part in parts or []:
             if part is not None:
                 kind = part.get("type") or "text"
@@ -66,18 +68,25 @@ class PartVisitor:
                 if visit is None:
                     raise ValueError(f"unknown part type {kind!r}")
                 visit(part)
+        self._close_text()
         return "".join(self.out), self.attached
 
+    def _close_text(self) -> None:
+        """Texts that follow each other are escaped as one: a control string may begin in one and end in the next."""
+        self._add(escape("".join(self.texts)))
+        self.texts.clear()
+
     def _add(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
 
     def _attach(self, part, kind: str, tokens: int) -> None:
+        self._close_text()
         self.attached.append({"ref": part.get("ref") or "", "type": kind, "at": self.length, "tokens": tokens})
         self._add(PLACEHOLDERS[kind])
 
     def visit_text(self, part) -> None:
-        self._add(escape(part.get("text") or ""))
+        self.texts.append(part.get("text") or "")
 
     def visit_image(self, part) -> None:
         cells = [max(1, math.ceil((part.get(side) or 1) / self.patch)) for side in ("width", "height")]
@@ -134,6 +143,13 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(role), unescape(body)) for role, body in _TURNS.findall(formatted)]
 
 
+def read_parts(formatted: str) -> list[tuple[str, list[tuple[str, str]]]]:
+    """Role and typed parts of every turn: ("text", its text) or a kind and its placeholder. Texts that followed each other come as
+    one part; a placeholder that a text spells out stays text."""
+    return [(unescape(role), [(_KINDS.get(piece, "text"), unescape(piece)) for piece in _PLACED.split(body) if piece])
+            for role, body in _TURNS.findall(formatted)]
+
+
 def conversation_digest(formatted: DataFrame) -> DataFrame:
     """Digests per conversation, read back from formatted turns and their loss spans."""
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -182,6 +182,22 @@ def test_visitor_places_attachments():
         chat_format.PartVisitor().flatten([{"type": "video"}])
 
 
+@pytest.mark.parametrize("control", [*chat_format.CONTROLS, "\\\\", "\\"])
+def test_control_strings_split_over_text_parts(control):
+    """Cut at every place, with and without an attachment in the cut, beside texts that spell a placeholder."""
+    for cut in range(len(control) + 1):
+        texts = [f"a{control[:cut]}", f"{control[cut:]}b <|image|>"]
+        parts = [{"type": "text", "text": t} for t in texts]
+        body, _ = chat_format.PartVisitor().flatten(parts)
+        turn = chat_format.TURN + "user" + chat_format.BODY + body + chat_format.END
+        assert chat_format.read_turns(turn) == [("user", "".join(texts))]
+        assert chat_format.read_parts(turn) == [("user", [("text", "".join(texts))])]
+        body, found = chat_format.PartVisitor().flatten([parts[0], {"type": "image", "ref": "i"}, parts[1], None])
+        turn = chat_format.TURN + "user" + chat_format.BODY + body + chat_format.END
+        assert chat_format.read_parts(turn) == [("user", [("text", texts[0]), ("image", "<|image|>"), ("text", texts[1])])]
+        assert body[found[0]["at"]:].startswith("<|image|>")
+
+
 def test_chat_of_odd_rows(spark):
     rows = [(1, 1, None, None), (1, 0, "assistant", "é"), (1, 0, "assistant", "é"), (None, None, "user", "x")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))

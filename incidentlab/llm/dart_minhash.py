@@ -14,15 +14,26 @@ a coordinate with the probability of their weighted Jaccard similarity.
 no band agrees is (1 - 0.8^rows)^bands, below 1 in 10,000 at the defaults. What
 meets is verified exactly on the shingle sets.
 
-Equal sets are one class from the start. Within a bucket of a band no pairs of
-all members are made. First each set is verified against the smallest set it
-meets anywhere. Then, in each round, up to ``PIVOTS`` members not yet used in
-the bucket are pivots, and members of other components are verified against
-them; a bucket ends when all its members are in one component or all have been
-pivots. So every meeting pair is either verified or already connected, no link
-between components is lost, and a round makes at most ``PIVOTS`` rows a member.
-Components come from label propagation with pointer jumping over verified
-links; nothing is gathered on the driver but counts.
+Equal sets are one class from the start. Each set carries its size and the
+parities of its elements over ``PARITIES`` cells. Two sets differ in at least as
+many elements as parities, so sizes and parities alone tell most pairs below
+the similarity, without a loss and before a row is made; what passes is
+verified on the sets themselves.
+
+Within a bucket of a band no pairs of all members are made. First each set is
+verified against the smallest set it meets anywhere that passes. Then, in each
+round, some members not yet used in the bucket are pivots, and members of other
+components that pass are verified against them; a bucket ends when all its
+members are in one component or all have been pivots. So every meeting pair is
+either told apart, verified or already connected, and no link between
+components is lost. Rounds start with few pivots, since what they connect need
+not be compared again, and take four times as many each time up to ``PIVOTS``.
+
+Crowded buckets, pivots and classes are spread over parts by a salt. Components
+come from label propagation with pointer jumping over the components and links
+of the round; nothing is gathered on the driver but counts. The plan is the
+same for every size: what is asked for goes out as a bitmap of ``ASKED_BITS``
+bits, so only rows that may be asked for are shuffled.
 
 Texts without words are classes of their own. Texts of fewer than five words
 have one shingle of all their words. NULL text is a text without words. Rows of
@@ -41,9 +52,11 @@ from incidentlab.llm.shingles import Shingler, mix
 from incidentlab.session import shared_dir
 
 BANDS, ROWS = 20, 4
-PIVOTS = 256
-FEW_PAIRS = 5_000  # so many pairs name at most twice as many sets: their ids are broadcast
-FEW_DOCUMENTS = 100_000  # ids of so many documents (16 bytes each) are broadcast instead of shuffling all texts
+PIVOTS = 4096
+PARITIES = 512
+PART_ROWS = 512  # rows of a bucket, or partners of a pivot, in one part
+SALTS = 8
+ASKED_BITS = 2 ** 24  # a bitmap of 2 MB at most
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -115,24 +128,39 @@ def _shingles(shingler: Shingler, text: str, more: list[str] | None) -> np.ndarr
     return np.concatenate([shingler.all(t) for t in (text, *more)]) if more else shingler.all(text)
 
 
+def _parities(elements: np.ndarray) -> np.ndarray:
+    """Whether each of ``PARITIES`` cells holds an odd number of the elements, as 64-bit words."""
+    cells = (mix(elements ^ _STEP) % np.uint64(PARITIES)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sketched(docs: DataFrame, bands: int, rows: int, weighting: str) -> DataFrame:
-    """(doc_id, whole, bands array<long>): the hash of the weighted set and the band keys; no row for texts without words."""
-    texts = docs.select("doc_id", "text", "more")
-    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """(doc_id, whole, size, parities, bands): the hash of the weighted set, its size and parities, and the band keys; no row
+    for texts without words."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "more")
+    schema = pa.schema([("doc_id", pa.int64()), ("whole", pa.int64()), ("size", pa.int32()), ("parities", pa.list_(pa.int64())),
+                        ("bands", pa.list_(pa.int64()))])
+
+    def listed(values: np.ndarray):
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1]), pa.int32()),
+                                        pa.array(values.ravel().view(np.int64)))
 
     def run(batches):
-        shingler, known = Shingler(), {}
+        shingler = Shingler()
         for batch in batches:
             for part in slices(batch, limit=1_000_000):
-                ids, wholes, sets = [], [], []
+                ids, wholes, sets, sizes, odd = [], [], [], [], []
                 for doc, text, more in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "more"))):
                     elements, counts = np.unique(_shingles(shingler, text, more), return_counts=True)
                     if len(elements):
                         if weighting == "set":
                             counts = np.ones(len(elements), np.int64)
+                        single = _expanded(np.repeat(elements, counts), weighting)
                         ids.append(doc)
                         wholes.append(_whole(elements, counts))
                         sets.append((elements, counts))
+                        sizes.append(len(single))
+                        odd.append(_parities(single))
                 if not ids:
                     continue
                 owner = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
@@ -141,12 +169,10 @@ def _sketched(docs: DataFrame, bands: int, rows: int, weighting: str) -> DataFra
                 keys = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
                 for r in range(rows):
                     keys = mix(keys * _STEP + signs[:, r::rows])
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(wholes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.ravel().view(np.int64)))],
-                    schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(wholes, pa.int64()), pa.array(sizes, pa.int32()),
+                                                  listed(np.stack(odd)), listed(keys)], schema=schema)
 
-    return texts.mapInArrow(run, "doc_id long, whole long, bands array<long>")
+    return texts.mapInArrow(run, "doc_id long, whole long, size int, parities array<long>, bands array<long>")
 
 
 def _whole(elements: np.ndarray, counts: np.ndarray) -> int:
@@ -154,108 +180,151 @@ def _whole(elements: np.ndarray, counts: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(elements.tobytes() + counts.astype("<i8").tobytes())).view(np.int64)))
 
 
+def _expanded(found: np.ndarray, weighting: str) -> np.ndarray:
+    """The elements of a set. With counts, the i-th repeat of a shingle is an element of its own, so the Jaccard similarity
+    of these sets is the weighted one."""
+    found = np.sort(found)
+    if weighting == "set":
+        return np.unique(found)
+    first = np.searchsorted(found, found)
+    return np.sort(mix(found + (np.arange(len(found)) - first).astype(np.uint64) * _STEP))
+
+
 def _sets(docs: DataFrame, weighting: str) -> DataFrame:
-    """(whole, hashes): the sets of the given documents. With counts, the i-th repeat of a shingle is an element of its
-    own, so the Jaccard similarity of these sets is the weighted one."""
+    """(whole, hashes): the sets of the given documents."""
     texts = docs.select("whole", "text", "more")
     schema = pa.schema([("whole", pa.int64()), ("hashes", pa.list_(pa.int64()))])
 
-    def expanded(text, more, shingler):
-        found = np.sort(_shingles(shingler, text, more))
-        if weighting == "set":
-            return np.unique(found)
-        first = np.searchsorted(found, found)
-        return mix(found + (np.arange(len(found)) - first).astype(np.uint64) * _STEP)
-
     def run(batches):
         shingler = Shingler()
         for batch in batches:
             for part in slices(batch):
-                found = [expanded(t, m, shingler) for t, m in zip(part.column("text").to_pylist(), part.column("more").to_pylist())]
+                found = [_expanded(_shingles(shingler, t, m), weighting) for t, m in zip(part.column("text").to_pylist(), part.column("more").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("whole"), pa.ListArray.from_arrays(
                     pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))], schema=schema)
 
     return texts.mapInArrow(run, "whole long, hashes array<long>")
 
 
-def _verified(pairs: DataFrame, number: int, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets at or above the Jaccard similarity; ``number`` of them. Few pairs shuffle only their own sets."""
-    if number <= FEW_PAIRS:
-        ids = pairs.select(F.col("a").alias("whole")).unionByName(pairs.select(F.col("b").alias("whole"))).distinct()
-        sets = sets.join(F.broadcast(ids), "whole", "left_semi")
-    left = sets.select(F.col("whole").alias("a"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("whole").alias("b"), F.col("hashes").alias("hb"))
-    common = F.size(F.array_intersect("ha", "hb"))
-    joined = pairs.join(left, "a").join(right, "b").withColumn("common", common)
-    union = F.size("ha") + F.size("hb") - F.col("common")
-    return joined.where(F.col("common") >= similarity * union - 1e-9).select("a", "b")
+def _asked_for(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
+    """The rows whose key may be among those of ``asked``, without a shuffle of the rows: a bitmap of ``ASKED_BITS`` bits at
+    most is broadcast in pieces of 4 KB. Every row that is asked for stays."""
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(ASKED_BITS))
+
+    bits = asked.groupBy(F.bitmap_bucket_number(place(key)).alias("__piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place(key))).alias("__bits"))
+    at = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    kept = rows.withColumn("__piece", F.bitmap_bucket_number(place(key))).join(F.broadcast(bits), "__piece")
+    return kept.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("__piece", "__bits")
+
+
+def _spread_join(rows: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """Join of rows whose key may be hot with a table that has each key once: the rows of a key go to ``SALTS`` parts."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
+def _may_match(similarity: float):
+    """Whether sizes and parities leave room for the similarity: sets at or above it differ in no more elements than this."""
+    odd = sum((F.bit_count(F.col("parities")[i].bitwiseXOR(F.col("pivot_parities")[i])) for i in range(PARITIES // 64)), F.lit(0))
+    room = (F.col("size") + F.col("pivot_size")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return (F.abs(F.col("size") - F.col("pivot_size")) <= room) & (odd <= room)
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node reachable over the links. Distributed hooking and pointer jumping.
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (whole, pivot) of sets at or above the Jaccard similarity. A pivot's set is sent once to each part of its
+    partners, a partner's set once for each of its pairs."""
+    ids = pairs.select("whole").unionByName(pairs.select(F.col("pivot").alias("whole"))).distinct()
+    sets = _asked_for(sets, "whole", ids)
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
+    dealt = _spread_join(pairs, parts, "pivot", "whole").withColumn("part", F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int"))
+    partners = dealt.drop("parts").join(sets, "whole")
+    pivots = parts.join(sets.select(F.col("whole").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    common = F.size(F.array_intersect("hashes", "pivot_hashes"))
+    joined = partners.join(pivots, ["pivot", "part"]).select("whole", "pivot", common.alias("common"), (
+        F.size("hashes") + F.size("pivot_hashes")).alias("both"))
+    return joined.where(F.col("common") >= similarity * (F.col("both") - F.col("common")) - 1e-9).select("whole", "pivot")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of links (a, b): label is the smallest node reachable. Distributed hooking and pointer jumping.
 
     Each round gives every node the smallest label around it, then follows the
     label's own label; the state is written to the shared folder every round.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
         links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct().checkpoint()
-    state = nodes.select("node", F.col("node").alias("label"))
+    state = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"))
     while True:
-        seen = both.join(state.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        hooked = state.join(seen, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("next"), "label")
+        around = _spread_join(both, state.select(F.col("node").alias("other"), "label"), "other", "node")
+        seen = around.groupBy("node").agg(F.min("label").alias("near"))
+        hooked = state.join(seen, "node").select("node", F.least("label", "near").alias("next"), "label").checkpoint()
         targets = hooked.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        jumped = hooked.join(targets, "next", "left").select(
-            "node", F.least("next", F.coalesce("jump", "next")).alias("label"), (F.least("next", F.coalesce("jump", "next")) != F.col("label")).alias("moved")).checkpoint()
-        moved = jumped.where("moved").limit(1).count()
+        label = F.least("next", "jump")
+        jumped = _spread_join(hooked, targets, "next", "node").select(
+            "node", label.alias("label"), (label != F.col("label")).alias("moved")).checkpoint()
         state = jumped.select("node", "label")
-        if not moved:
+        if not jumped.where("moved").limit(1).count():
             return state
 
 
+def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (whole, label) after new links (whole, pivot): only the labels that these links meet are worked on."""
+    ends = links.join(state, "whole").select("pivot", F.col("label").alias("a"))
+    ends = _spread_join(ends, state.select(F.col("whole").alias("pivot"), F.col("label").alias("b")), "pivot", "a")
+    moved = components(ends.where("a <> b").select("a", "b").distinct()).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return _spread_join(state, moved, "label", "whole", "left").select("whole", F.coalesce("to", "label").alias("label")).checkpoint()
+
+
+def _labels(buckets: DataFrame, asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(whole, label) of the sets that meet others in buckets (key, whole, size, parities, parts)."""
+    state, rest, slots = asked.select("whole", F.col("whole").alias("label")), buckets, 1
+    while True:
+        labelled = rest.join(state, "whole")
+        split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        left = _spread_join(labelled, split, "key", "whole").checkpoint()
+        if not left.limit(1).count():
+            return state
+        pivots = left.groupBy("key", F.pmod("whole", F.lit(slots)).alias("slot")).agg(
+            F.min(F.struct("whole", "label", "size", "parities", "parts")).alias("p")).select(
+            F.col("key").alias("pivot_key"), F.col("p.whole").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.size").alias("pivot_size"),
+            F.col("p.parities").alias("pivot_parities"), F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("pivot_part"))
+        members = left.withColumn("part", F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int"))
+        met = members.join(pivots, (F.col("key") == F.col("pivot_key")) & (F.col("part") == F.col("pivot_part")) & (F.col("label") != F.col("pivot_label"))
+                           & _may_match(similarity)).select("whole", "pivot")
+        if slots == 1:
+            pairs = met.groupBy("whole").agg(F.min("pivot").alias("pivot"))
+        else:  # a pair may meet twice, as pivot of each other; a pivot has met its whole bucket and leaves it
+            pairs = met.distinct()
+            used = pivots.select(F.col("pivot_key").alias("key"), F.col("pivot").alias("whole")).distinct()
+            rest = left.drop("label").join(used, ["key", "whole"], "left_anti").checkpoint()
+        new = _verified(pairs.checkpoint(), sets, similarity).checkpoint()
+        if new.limit(1).count():
+            state = _merged(state, new)
+        slots = min(4 * slots, PIVOTS)
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
     """(doc_id, class_id): class_id is the smallest doc_id of the group, one row for each doc_id."""
-    spark = docs.sparkSession
-    shared_dir(spark)
+    shared_dir(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     texts = _documents(docs, weighting)
     sketch = _sketched(texts, bands, rows, weighting).checkpoint()
     # one representative of each set; a band key holds its band
-    sets = sketch.groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.any_value("bands").alias("bands"))
-    met = sets.select("whole", F.explode("bands").alias("key"))
-    crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = met.join(crowded, "key", "left_semi").checkpoint()
-    asked = buckets.select("whole").distinct().checkpoint()
-    firsts = sketch.select("doc_id", "whole").join(asked, "whole", "left_semi").groupBy("whole").agg(F.min("doc_id").alias("doc_id"))
-    if asked.count() <= FEW_DOCUMENTS:
-        firsts = F.broadcast(firsts)
-    held = _sets(texts.join(firsts, "doc_id"), weighting).dropDuplicates(["whole"]).checkpoint()
-    nodes = asked.select(F.col("whole").alias("node"))
-    state, links, rest = nodes.select("node", F.col("node").alias("label")), None, buckets
-    while True:
-        labelled = rest.join(state.withColumnRenamed("node", "whole"), "whole")
-        split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        left = labelled.join(split, "key", "left_semi").checkpoint()
-        slots = F.lit(1 if links is None else PIVOTS)
-        pivots = left.groupBy("key", F.pmod("whole", slots).alias("slot")).agg(F.min(F.struct("whole", "label")).alias("p")).select(
-            "key", F.col("p.whole").alias("pivot"), F.col("p.label").alias("pivot_label")).checkpoint()
-        pairs = left.join(pivots, "key").where(F.col("label") != F.col("pivot_label")).select("whole", "pivot")
-        if links is None:
-            pairs = pairs.groupBy("whole").agg(F.min("pivot").alias("pivot"))
-        else:  # a pivot has met its whole bucket and leaves it
-            rest = left.select("key", "whole").join(pivots.select("key", F.col("pivot").alias("whole")), ["key", "whole"], "left_anti")
-        pairs = pairs.select(F.least("whole", "pivot").alias("a"), F.greatest("whole", "pivot").alias("b")).distinct().checkpoint()
-        number = pairs.count()
-        if not number:
-            break
-        new = _verified(pairs, number, held, similarity).checkpoint()
-        merging = links is None or new.limit(1).count()
-        links = new if links is None else links.unionByName(new)
-        if merging:
-            state = components(nodes, links)
-    named = sketch.select("doc_id", "whole").join(state.withColumnRenamed("node", "whole"), "whole", "left")
-    named = named.select("doc_id", F.coalesce("label", "whole").alias("label"))
-    named = named.groupBy("doc_id").agg(F.min("label").alias("label"))
-    first = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    found = named.join(first, "label").select("doc_id", "class_id")
-    return ids.distinct().join(found.withColumnRenamed("class_id", "found"), "doc_id", "left").select(
-        "doc_id", F.coalesce("found", "doc_id").alias("class_id"))
+    sets = sketch.groupBy("whole").agg(F.min(F.struct("doc_id", "size", "parities", "bands")).alias("s")).select("whole", "s.*")
+    met = sets.select("whole", "doc_id", "size", "parities", F.explode("bands").alias("key"))
+    crowded = sets.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "key", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    buckets = _spread_join(_asked_for(met, "key", crowded), crowded, "key", "whole").checkpoint()
+    asked = buckets.groupBy("whole").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    held = _sets(_asked_for(texts, "doc_id", asked).join(asked, "doc_id"), weighting).checkpoint()
+    state = _labels(buckets.drop("doc_id"), asked, held, similarity)
+    named = _spread_join(sketch.select("doc_id", "whole"), state, "whole", "doc_id", "left").select(
+        "doc_id", F.coalesce("label", "whole").alias("label"))
+    first = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = _spread_join(named, first, "label", "doc_id", "left").select("doc_id", F.col("class_id").alias("found"))
+    return ids.distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("found", "doc_id").alias("class_id"))

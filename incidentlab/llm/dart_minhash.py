@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from incidentlab.llm.common import slices
+from incidentlab.llm.common import scratch, slices
 from incidentlab.llm.shingles import Shingler, mix
 from incidentlab.session import shared_dir
 
@@ -206,6 +206,14 @@ def _sets(docs: DataFrame, weighting: str) -> DataFrame:
     return texts.mapInArrow(run, "whole long, hashes array<long>")
 
 
+def _written(rows: DataFrame) -> DataFrame:
+    """The rows from a table in the shared folder. Unlike a checkpoint it carries no constraints of the plan that made it; in a
+    loop these grow from round to round until planning takes longer than the work."""
+    path = scratch(rows.sparkSession, "near-duplicates")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _asked_for(rows: DataFrame, key: str, asked: DataFrame) -> DataFrame:
     """The rows whose key may be among those of ``asked``, without a shuffle of the rows: a bitmap of ``ASKED_BITS`` bits at
     most is broadcast in pieces of 4 KB. Every row that is asked for stays."""
@@ -256,17 +264,17 @@ def components(links: DataFrame) -> DataFrame:
     Each round gives every node the smallest label around it, then follows the
     label's own label; the state is written to the shared folder every round.
     """
-    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct().checkpoint()
+    both = _written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     state = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"))
     while True:
         around = _spread_join(both, state.select(F.col("node").alias("other"), "label"), "other", "node")
         seen = around.groupBy("node").agg(F.min("label").alias("near"))
-        hooked = state.join(seen, "node").select("node", F.least("label", "near").alias("next"), "label").checkpoint()
+        hooked = _written(state.join(seen, "node").select("node", F.least("label", "near").alias("next"), "label"))
         targets = hooked.select(F.col("node").alias("next"), F.col("next").alias("jump"))
         label = F.least("next", "jump")
-        jumped = _spread_join(hooked, targets, "next", "node").select(
-            "node", label.alias("label"), (label != F.col("label")).alias("moved")).checkpoint()
+        jumped = _written(_spread_join(hooked, targets, "next", "node").select(
+            "node", label.alias("label"), (label != F.col("label")).alias("moved")))
         state = jumped.select("node", "label")
         if not jumped.where("moved").limit(1).count():
             return state
@@ -277,7 +285,7 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.join(state, "whole").select("pivot", F.col("label").alias("a"))
     ends = _spread_join(ends, state.select(F.col("whole").alias("pivot"), F.col("label").alias("b")), "pivot", "a")
     moved = components(ends.where("a <> b").select("a", "b").distinct()).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return _spread_join(state, moved, "label", "whole", "left").select("whole", F.coalesce("to", "label").alias("label")).checkpoint()
+    return _written(_spread_join(state, moved, "label", "whole", "left").select("whole", F.coalesce("to", "label").alias("label")))
 
 
 def _labels(buckets: DataFrame, asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -286,7 +294,7 @@ def _labels(buckets: DataFrame, asked: DataFrame, sets: DataFrame, similarity: f
     while True:
         labelled = rest.join(state, "whole")
         split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        left = _spread_join(labelled, split, "key", "whole").checkpoint()
+        left = _written(_spread_join(labelled, split, "key", "whole"))
         if not left.limit(1).count():
             return state
         pivots = left.groupBy("key", F.pmod("whole", F.lit(slots)).alias("slot")).agg(
@@ -301,8 +309,8 @@ def _labels(buckets: DataFrame, asked: DataFrame, sets: DataFrame, similarity: f
         else:  # a pair may meet twice, as pivot of each other; a pivot has met its whole bucket and leaves it
             pairs = met.distinct()
             used = pivots.select(F.col("pivot_key").alias("key"), F.col("pivot").alias("whole")).distinct()
-            rest = left.drop("label").join(used, ["key", "whole"], "left_anti").checkpoint()
-        new = _verified(pairs.checkpoint(), sets, similarity).checkpoint()
+            rest = _written(left.drop("label").join(used, ["key", "whole"], "left_anti"))
+        new = _written(_verified(_written(pairs), sets, similarity))
         if new.limit(1).count():
             state = _merged(state, new)
         slots = min(4 * slots, PIVOTS)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from incidentlab.llm import dart_minhash, suffix_dedup
 from incidentlab.llm.common import ship
-from tests.llm.test_corpus import brute_repeats, repeats
+from tests.llm.test_corpus import brute_classes, brute_repeats, repeats
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -51,3 +52,35 @@ def test_rows_of_one_id_are_one_document(spark, weighting):
     found = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), weighting=weighting).collect()
     assert {r.doc_id: r.class_id for r in found if r.doc_id is not None} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5}
     assert len(found) == 7
+
+
+@pytest.mark.parametrize("part_rows, pivots", [(4, 16)])
+def test_crowds_of_near_copies_equal_brute_force(spark, monkeypatch, part_rows, pivots):
+    """Most pairs of the crowd meet; some are similar enough, some are not."""
+    monkeypatch.setattr(dart_minhash, "PART_ROWS", part_rows)
+    monkeypatch.setattr(dart_minhash, "PIVOTS", pivots)
+    rows = []
+    for i in range(40):
+        words = [f"w{k}" for k in range(50 + i % 9)]
+        for e in range(i % 3):
+            words[(i * 7 + e * 23) % len(words)] = f"edit{i // 2}x{e}"
+        rows.append((i, " ".join(words)))
+    found = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_classes(rows)
+    assert 1 < len(set(want.values())) < 39
+    assert {r.doc_id: r.class_id for r in found} == want
+
+
+def test_parities_never_exceed_the_difference():
+    draw = np.random.default_rng(1)
+    for size in (1, 30, 400, 3000):
+        a = np.unique(draw.integers(0, 2 ** 60, size).astype(np.uint64))
+        b = np.concatenate([a[size // 5:], np.unique(draw.integers(0, 2 ** 60, size // 4 + 1).astype(np.uint64))])
+        odd = np.bitwise_count((dart_minhash._parities(a) ^ dart_minhash._parities(b)).view(np.uint64)).sum()
+        assert odd <= len(np.setxor1d(a, b))
+
+
+def test_rows_asked_for_all_stay(spark):
+    rows, asked = spark.range(3000).withColumnRenamed("id", "k"), spark.range(0, 3000, 7).withColumnRenamed("id", "k")
+    kept = dart_minhash._asked_for(rows, "k", asked)
+    assert asked.join(kept, "k", "left_anti").count() == 0 and kept.count() < 440

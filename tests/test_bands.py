@@ -131,3 +131,37 @@ def test_two_long_borders_meet_without_a_product_of_vertices(spark):
     edges = spatial.shape_edges(polys).select("name", F.lit(1).alias("own"), F.least("ax", "bx").alias("x_min"), F.greatest("ax", "bx").alias("x_max"),
                                               F.least("ay", "by").alias("y_min"), F.greatest("ay", "by").alias("y_max"))
     assert spatial._near_boxes(edges, 0.001).count() < 10 * 40_000
+
+
+def crowded(spark, n):
+    """Rectangles that nearly all overlap, one row a name."""
+    return spark.createDataFrame([(f"r{i:03d}", [(x, y), (x + 5.0, y), (x + 5.0, y + 5.0), (x, y + 5.0), (x, y)])
+                                  for i in range(n) for x, y in [(i % 7 / 2, i * 3 % 11 / 3)]], POLYS)
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_pairs_of_single_shapes_are_neither_stored_nor_shuffled(spark, monkeypatch, exact):
+    """What is kept or made distinct grows with the shapes, not with their pairs."""
+    polys, stored, merged = crowded(spark, 120), [], []
+    settle, distinct = spatial.settle, type(polys).distinct
+    monkeypatch.setattr(spatial, "settle", lambda df: stored.append(df.count()) or settle(df))
+    monkeypatch.setattr(type(polys), "distinct", lambda df: merged.append(df.count()) or distinct(df))
+    got = [tuple(r) for r in spatial.adjacency(polys, 0.01, exact).collect()]
+    assert len(got) == len(set(got)) > 120 * 100 and {(b, a) for a, b in got} == set(got)
+    assert sum(stored) <= 2 * 120 and sum(merged) == 0
+
+
+def test_repeated_shapes_give_each_pair_once(spark):
+    polys = crowded(spark, 20)
+    for exact in (False, True):
+        got, again = ([tuple(r) for r in spatial.adjacency(p, 0.01, exact).collect()] for p in (polys, polys.unionByName(polys)))
+        assert sorted(got) == sorted(again) and len(set(again)) == len(again)
+
+
+def test_small_ring_inside_a_small_and_a_long_ring(spark):
+    """Rings of one piece are told where their boxes meet, those of more pieces by their vertices."""
+    box = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
+    rows = [("in", box(4.0, 4.0, 1.0)), ("small", box(0.0, 0.0, 10.0)), ("long", wobbly(60, 5, 5, 30, 51)), ("dot", [(7.0, 7.0)]), ("out", box(90.0, 0.0, 1.0))]
+    got = {tuple(r) for r in spatial.adjacency(spark.createDataFrame(rows, POLYS), 0.01, exact=True).collect()}
+    want = {("in", "small"), ("in", "long"), ("small", "long"), ("dot", "small"), ("dot", "long")}
+    assert got == want | {(b, a) for a, b in want}

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..columns import COLUMNS, SETTINGS, Columns
 from ..functions.geo import cell_index
 from ..session import new_table_dir
+from .boosting import grow_trees
 from .clean import fill_features
 from .panel import cell_month_panel
 from .reports import fit_error
@@ -27,6 +28,8 @@ from .temporal import temporal_features
 
 PREDICTION = "prediction"
 ROWS_A_TASK = 50_000
+#: Up to so many rows a model is grown in one task (see boosting); more are spread over the cluster, with jobs for every tree level.
+ROWS_IN_ONE_TASK = 250_000
 
 
 @dataclass(frozen=True)
@@ -87,18 +90,18 @@ def first_trees(model: GBTRegressionModel, keep: int) -> GBTRegressionModel:
 
 
 def _assembled(df: DataFrame, features: Sequence[str], target: str, *more: str) -> tuple[VectorAssembler, DataFrame]:
-    """Feature vectors and labels, kept in the cluster's memory and disk in partitions worth a task: they are read once per tree
-    level."""
+    """Feature vectors and labels, kept in the cluster's memory and disk in partitions worth a task: they are read more than once."""
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     data = settle(fill_features(df, features).select(*features, F.col(target).cast("double").alias("_label"), *more))
     return assembler, assembler.transform(data.repartition(max(1, -(-data.count() // ROWS_A_TASK)))).persist()
 
 
 def _boosted(rows: DataFrame, settings: BoostSettings) -> GBTRegressionModel:
-    return GBTRegressor(
+    booster = GBTRegressor(
         featuresCol="_features", labelCol="_label", predictionCol=PREDICTION, maxIter=settings.trees,
         stepSize=settings.learning_rate, maxDepth=settings.depth, subsamplingRate=settings.row_share,
-        featureSubsetStrategy=str(settings.feature_share), minInstancesPerNode=settings.min_rows, seed=settings.seed).fit(rows)
+        featureSubsetStrategy=str(settings.feature_share), minInstancesPerNode=settings.min_rows, seed=settings.seed)
+    return grow_trees(rows, booster) if rows.count() <= ROWS_IN_ONE_TASK else booster.fit(rows)
 
 
 def _fit(df: DataFrame, features: Sequence[str], target: str, settings: BoostSettings,
@@ -191,8 +194,8 @@ def cross_validate(df: DataFrame, order: Sequence[Column | str], features: Seque
                    parallel_folds: int = SETTINGS.cv_splits) -> DataFrame:
     """M6. Error and sizes per fold and pooled (fold 0), with the number of folds and of all rows.
 
-    All folds train on one table of feature vectors, each on the rows before its test block. Their jobs run side by side
-    (``parallel_folds`` at a time), since a boosted fit is a long chain of small jobs, one for each level of each tree.
+    All folds train on one table of feature vectors, each on the rows before its test block. Their fits run side by side
+    (``parallel_folds`` at a time), since a small fit takes few of the slots.
     """
     ordered = settle(ordered_rows(df, order))
     total = ordered.count()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from incidentlab.catalog import modelling
@@ -82,3 +84,54 @@ def test_errors_on_held_out_years(spark, data):
     assert later.r2 > 0.75 and stop.r2 > 0.75
     assert later.mae <= later.rmse <= 1.5 * stop.rmse
     assert 2 <= model.stages[-1].getNumTrees <= 500
+
+
+def stepped(spark, partitions):
+    """Features of few values, so that every booster has the same splits to choose from."""
+    rows = spark.range(0, 1800, 1, partitions).select((F.col("id") % 17).cast("double").alias("a"), (F.col("id") * 7919 % 23).cast("double").alias("b"))
+    rows = rows.withColumn("_label", 4 * F.col("a") + F.when(F.col("b") > 9, F.col("b") * F.col("b")).otherwise(-3 * F.col("a")))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="_features").transform(rows)
+
+
+PLAIN = BoostSettings(trees=6, depth=4, learning_rate=0.3, row_share=1.0, feature_share=1.0)
+
+
+def predictions(model, rows):
+    return {(r.a, r.b): r.p for r in model.transform(rows).select("a", "b", F.col(models.PREDICTION).alias("p")).collect()}
+
+
+@pytest.mark.parametrize("partitions", [1, 3])
+def test_trees_equal_those_of_spark_ml(spark, partitions):
+    """Without random draws, however the rows are dealt."""
+    rows = stepped(spark, partitions)
+    ours = models._boosted(rows, PLAIN)
+    theirs = GBTRegressor(featuresCol="_features", labelCol="_label", predictionCol=models.PREDICTION, maxIter=6, stepSize=0.3, maxDepth=4,
+                          minInstancesPerNode=20, seed=42).fit(rows)
+    got, want = predictions(ours, rows), predictions(theirs, rows)
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+    assert ours.featureImportances.toArray() == pytest.approx(theirs.featureImportances.toArray(), abs=1e-6)
+    assert ours.treeWeights == theirs.treeWeights and ours.evaluateEachIteration(rows, "squared") == pytest.approx(theirs.evaluateEachIteration(rows, "squared"))
+
+
+def test_jobs_of_a_fit_do_not_grow_with_its_trees(spark):
+    rows, tracker, jobs = stepped(spark, 2), spark.sparkContext.statusTracker(), []
+    for trees in (2, 30):
+        spark.sparkContext.setJobGroup(f"fit-{trees}", "boosting")
+        models._boosted(rows, BoostSettings(trees=trees, depth=3))
+        jobs.append(len(tracker.getJobIdsForGroup(f"fit-{trees}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] < 30
+
+
+def test_labels_without_a_value_are_refused(spark):
+    with pytest.raises(Exception, match="NULL or NaN"):
+        models._boosted(stepped(spark, 1).withColumn("_label", F.when(F.col("a") > 3, F.col("_label"))), PLAIN)
+
+
+def test_frames_of_more_rows_than_a_task_keeps_go_to_spark_ml(spark, monkeypatch):
+    rows = stepped(spark, 3)
+    whole = predictions(models._boosted(rows, PLAIN), rows)
+    monkeypatch.setattr(models, "ROWS_IN_ONE_TASK", 1799)
+    monkeypatch.setattr(models, "grow_trees", lambda *_: pytest.fail("too many rows for a task"))
+    spread = predictions(models._boosted(rows, PLAIN), rows)
+    assert max(abs(whole[k] - spread[k]) for k in spread) < 1e-6

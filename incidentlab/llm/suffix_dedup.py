@@ -7,8 +7,9 @@ starts in a document with a smaller doc_id. Matches do not cross documents.
 2. Every window of ``length`` bytes names one anchor: the smallest hash among
    its grams of ``GRAM`` bytes. Equal windows have equal anchors, so an anchor
    hash seen in one document only has no repeated window. This leaves exact
-   candidates and drops nothing that repeats; about one position in 18 is an
-   anchor.
+   candidates and drops nothing that repeats; about one position in 14 is an
+   anchor. Anchors meet in buckets of a bounded size, as lists of 32-bit codes
+   and documents; codes that meet by chance only add a candidate.
 3. The windows of one candidate anchor form a context of at most
    2 * length - GRAM bytes. Contexts are dealt by their anchor hash, so equal
    windows meet, and every task sorts the suffixes of its distinct contexts:
@@ -22,14 +23,16 @@ starts in a document with a smaller doc_id. Matches do not cross documents.
    doc_id of every distinct window follows by partial aggregates as well, and
    the answer returns to the occurrences by (context, salt). Both ways are
    exact, so the choice of anchors touches no result. A sample of the distinct
-   texts finds them; at most ``HOT_ANCHORS``, so that any other anchor has less
-   than that share of the rows.
+   texts finds them: those of one row in ``HOT_SHARE``, whatever the size of the
+   input, but none below ``HOT_ROWS`` sampled rows and all above ``HOT_MOST``;
+   at most ``HOT_ANCHORS``, so that any other anchor has less than that share
+   of the rows.
 5. The removed windows return to their documents as bit masks.
 
 Tasks hold one batch of anchors at a time. The occurrences of one anchor
-(equal 16 bytes) stand in one batch, those of step 4 excepted: about
-``HOT_SAMPLE * HOT_ROWS`` rows in inputs of any size up to ``HOT_ANCHORS``
-times as many.
+(equal ``GRAM`` bytes) stand in one batch, those of step 4 excepted: about
+``HOT_SAMPLE * HOT_MOST`` rows at most in inputs of any size up to
+``HOT_ANCHORS`` times as many.
 
 NULL text is empty. Rows with a NULL id neither lose bytes nor are a source.
 Rows of one id do not remove each other. Invalid input bytes cannot occur: the
@@ -40,6 +43,7 @@ kept_sha256, and the remaining bytes and text.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +56,15 @@ from incidentlab.llm.common import slices
 from incidentlab.llm.shingles import mix
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 TURN_BITS = 40  # a place is the turn of the text among those of its id, and a byte position
 BATCH_SYMBOLS = 1_000_000
+SLICE = 200_000  # characters of text that are looked at together
+HELD_ANCHORS = 500_000  # anchors of a task that are dealt together
+BUCKET_ANCHORS = 1_000_000  # about so many anchors meet in a bucket at most
 HOT_SAMPLE = 64  # one distinct text in so many is looked at for anchors of many rows
-HOT_ROWS = 64  # so many rows in the sample make an anchor hot
+HOT_ROWS, HOT_MOST = 64, 512  # so many rows in the sample make an anchor hot: by the share below, between these limits
+HOT_SHARE = 2048
 HOT_ANCHORS = 65_536  # goes to the driver and into each task
 
 
@@ -68,8 +76,11 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     s = np.concatenate([text.astype(np.int64), np.zeros(3, np.int64)])
     some = np.arange(n + (n % 3 == 1))
     sampled = np.concatenate([some[some % 3 == 1], some[some % 3 == 2]])
-    _, pairs = _names(s[sampled], s[sampled + 1])
-    order, names = _names(pairs, s[sampled + 2])
+    wide = int(s.max()) + 1
+    if wide ** 3 < 2 ** 63:
+        order, names = _names((s[sampled] * wide + s[sampled + 1]) * wide + s[sampled + 2])
+    else:
+        order, names = _names(_names(s[sampled] * wide + s[sampled + 1])[1] * wide + s[sampled + 2])
     if names.max() < len(names) - 1:
         order = suffix_order(names + 1)
         names = np.empty(len(order), np.int64)
@@ -80,12 +91,14 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
     wide = np.int64(len(s) + 1)
-    rest = rest[np.argsort(s[rest] * wide + rank[rest + 1], kind="stable")]
+    rest = rest[np.argsort(s[rest] * wide + rank[rest + 1])]
     # where the remaining suffixes go among the sampled ones, class by class
     ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
     before = np.searchsorted(s[ones] * wide + rank[ones + 1], s[rest] * wide + rank[rest + 1])
     both = np.concatenate([twos, rest])
-    _, heads = _names(s[both], s[both + 1])
+    heads, most = s[both] * (s.max() + 1) + s[both + 1], int(s.max()) + 1
+    if most ** 2 * int(wide) >= 2 ** 63:
+        heads = _names(heads)[1]
     keys = heads * wide + rank[both + 2]
     before += np.searchsorted(keys[:len(twos)], keys[len(twos):])
     out = np.empty(n, np.int64)
@@ -97,10 +110,9 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _names(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of pairs of small numbers, and the dense rank of each."""
-    keys = first * np.int64(int(second.max(initial=0)) + 1) + second
-    order = np.argsort(keys, kind="stable")
+def _names(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of numbers, and the dense rank of each."""
+    order = np.argsort(keys)
     held = keys[order]
     names = np.empty(len(keys), np.int64)
     names[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]])) if len(keys) else 0
@@ -115,52 +127,73 @@ def _words(text: np.ndarray) -> np.ndarray:
     return w[:len(text)]
 
 
-def window_minima(contexts: list[bytes], least: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For every window of every context the smallest value of ``least`` among contexts that hold the same window."""
-    text = np.frombuffer(b"".join(contexts), np.uint8)
-    sizes = np.array([len(c) for c in contexts])
-    starts = np.cumsum(sizes) - sizes
+def window_minima(text: np.ndarray, sizes: np.ndarray, least: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """For every window of the contexts that stand one behind the other in ``text`` the smallest value of ``least`` among
+    contexts that hold the same window, at the place where the window starts."""
+    ends = np.cumsum(sizes)
     order = suffix_order(text.astype(np.int64) + 1)
-    owner = np.repeat(np.arange(len(contexts)), sizes)
-    valid = order <= (starts + sizes - length)[owner[order]]
-    order = order[valid]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = order[order <= (ends - length)[owner[order]]]
     words, same = _words(text), np.ones(max(0, len(order) - 1), bool)
     for k in [*range(0, length - 8, 8), length - 8]:
         held = words[np.minimum(order + k, len(text) - 1)]
         same &= held[1:] == held[:-1]
     first = np.concatenate([[True], ~same])[:len(order)]
-    runs = np.flatnonzero(first)
-    best = np.minimum.reduceat(least[owner[order]], runs)
+    best = np.minimum.reduceat(least[owner[order]], np.flatnonzero(first))
     out = np.empty(len(text), np.int64)
     out[order] = best[np.cumsum(first) - 1]
-    return [out[a:a + n - length + 1] for a, n in zip(starts, sizes)]
+    return out
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first and last window start of every anchor of one document, and the hashes of its grams."""
-    if len(data) < length:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    words = _words(data)
-    grams = mix(mix(words[:len(data) - GRAM + 1]) ^ (words[8:len(data) - GRAM + 9] * np.uint64(0x9E3779B97F4A7C15)))
-    span, low, have = length - GRAM + 1, grams, 1
+def gram_size(length: int) -> int:
+    """Bytes of the grams of which anchors are made. Longer grams meet by chance less often, but more of them are anchors."""
+    return GRAM if length >= 2 * GRAM - 8 else GRAM - 8
+
+
+class Anchors(NamedTuple):
+    """The anchors of some documents, one behind the other."""
+
+    name: np.ndarray  # hash of the gram
+    doc: np.ndarray  # number of the document
+    low: np.ndarray  # first window start
+    high: np.ndarray  # last window start
+    start: np.ndarray  # where the document begins in the joined bytes
+    place: np.ndarray  # where the gram stands: the first place at or behind the last window start
+
+
+def anchors(coded: list[bytes], length: int = LENGTH, places: bool = True) -> Anchors:
+    """The anchors of the windows of every document. Windows do not cross documents."""
+    sizes = np.array([len(c) for c in coded], np.int64)
+    data, ends = np.frombuffer(b"".join(coded), np.uint8), np.cumsum(sizes)
+    gram = gram_size(length)
+    span = length - gram + 1
+    if sizes.max(initial=0) < length:
+        none = np.empty(0, np.int64)
+        return Anchors(none.view(np.uint64), none, none, none, none, none)
+    words, grams = _words(data), None
+    for k in [*range(0, gram - 8, 8), gram - 8]:
+        part = words[k:len(data) - gram + 1 + k]
+        grams = mix(part) if grams is None else mix(grams ^ (part * np.uint64(0x9E3779B97F4A7C15)))
+    low, have = grams, 1
     while have < span:  # minima of runs of ``span`` grams by doubling
         step = min(have, span - have)
         low, have = np.minimum(low[:-step], low[step:]), have + step
-    edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    owner = np.repeat(np.arange(len(coded)), sizes)[:len(low)]
+    at = np.flatnonzero(np.arange(length, length + len(low)) <= ends[owner])
+    low, owner = low[at], owner[at]
+    edge = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])]))
     size = np.diff(edge, append=len(low))
     if size.max() > span:  # equal grams in a row share a hash: their windows are cut into contexts of ``span``
         parts = -(-size // span)
         edge = np.repeat(edge, parts) + span * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return low[edge], edge, np.concatenate([edge[1:], [len(low)]]) - 1, grams
-
-
-def gram_places(name: np.ndarray, high: np.ndarray, grams: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Where the gram of each anchor stands: the first place at or behind its last window start."""
-    place = np.full(len(name), -1, np.int64)
-    for k in range(length - GRAM + 1):
-        at = np.minimum(high + k, len(grams) - 1)
-        place = np.where((place < 0) & (grams[at] == name), at, place)
-    return place
+    name, doc, last = low[edge], owner[edge], at[np.concatenate([edge[1:], [len(low)]]) - 1]
+    start = (ends - sizes)[doc]
+    place, left = np.full(len(name), -1, np.int64), np.arange(len(name) if places else 0)
+    for k in range(span):
+        met = grams[last[left] + k] == name[left]
+        place[left[met]] = last[left[met]] + k
+        left = left[~met]
+    return Anchors(name, doc, at[edge] - start, last - start, start, place - start)
 
 
 def among(names: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -170,20 +203,27 @@ def among(names: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, names), len(held) - 1)] == names
 
 
-def hot_anchors(rows: DataFrame, length: int = LENGTH) -> np.ndarray:
-    """Anchors that stand in very many places of the distinct texts, by a sample of these; sorted."""
+def sampled_anchors(rows: DataFrame, length: int = LENGTH) -> tuple[np.ndarray, int]:
+    """Anchors that stand in very many places of the distinct texts, by a sample of these, sorted; and about how many anchors there are."""
     drawn = rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64("text", F.lit(5)), F.lit(HOT_SAMPLE)) == 0)).select("text").distinct()
 
     def named(batches):
         for batch in batches:
-            for part in slices(batch, limit=1_000_000):
-                found = [anchors(np.frombuffer(t.encode(), np.uint8), length)[0] for t in part.column("text").to_pylist()]
-                name, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(count.astype(np.int64))], ["anchor", "n"])
+            for part in slices(batch, limit=SLICE):
+                name, count = np.unique(anchors([t.encode() for t in part.column("text").to_pylist()], length, False).name, return_counts=True)
+                all_of = pa.array([*name.view(np.int64).tolist(), None], pa.int64())  # NULL for all
+                yield pa.RecordBatch.from_arrays([all_of, pa.array(np.append(count, count.sum()).astype(np.int64))], ["anchor", "n"])
 
-    counts = drawn.mapInArrow(named, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_ROWS)
-    top = counts.orderBy(F.col("n").desc(), "anchor").limit(HOT_ANCHORS).collect()
-    return np.sort(np.array([r["anchor"] for r in top], np.int64).view(np.uint64))
+    counts = drawn.mapInArrow(named, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    top = counts.where(F.col("anchor").isNull() | (F.col("n") >= HOT_ROWS)).orderBy(F.col("n").desc(), "anchor").limit(HOT_ANCHORS + 1).collect()
+    total = sum(r["n"] for r in top if r["anchor"] is None)
+    bar = max(HOT_ROWS, min(HOT_MOST, total // HOT_SHARE))
+    found = [r["anchor"] for r in top if r["anchor"] is not None and r["n"] >= bar]
+    return np.sort(np.array(found, np.int64).view(np.uint64)), total * HOT_SAMPLE
+
+
+def hot_anchors(rows: DataFrame, length: int = LENGTH) -> np.ndarray:
+    return sampled_anchors(rows, length)[0]
 
 
 def deal_key(anchor: Column) -> Column:
@@ -231,8 +271,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
     columns of ``docs`` to the names under which they come along.
     """
     carry = carry or {}
-    if not GRAM <= length <= GRAM + 63:
-        raise ValueError(f"length must lie between {GRAM} and {GRAM + 63}")
+    if not 16 <= length <= 79:
+        raise ValueError("length must lie between 16 and 79")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        *[F.col(f"`{old}`").alias(new) for old, new in carry.items()])
     sums = rows.select("doc_id", F.sha2("text", 256).alias("sha"), F.xxhash64("text", F.length("text")).alias("whole")).where(F.col("doc_id").isNotNull())
@@ -241,104 +281,116 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
     # All three uses of the texts keep the same columns and rows, so that one exchange serves them: copies and
     # documents without candidates are left in Python.
     known = _documents(rows, first)
-    hot = hot_anchors(rows, length)
+    hot, about = sampled_anchors(rows, length)
+    # buckets of a bounded number of anchors, and some for each task, so that these are even; every task makes a row for each
+    buckets = max(3 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-about // BUCKET_ANCHORS))
 
     def originals(part):
         return part.filter(pc.fill_null(pc.equal(part.column("doc_id"), part.column("first")), False))
 
+    def codes(name: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and 32-bit code of anchors. Two that share both by chance only make a candidate more."""
+        mixed = mix(name)
+        return (mixed & np.uint64(2 ** 32 - 1)) % np.uint64(buckets), (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def seen(batches):
-        for batch in batches:
-            for part in slices(batch, limit=1_000_000):
-                part = originals(part)
-                if not part.num_rows:
-                    continue
-                found = []
-                for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    names = np.unique(anchors(np.frombuffer(t.encode(), np.uint8), length)[0])
-                    known_hot = among(names, hot)
-                    if known_hot.any():  # not dealt; a pair of equal rows under a name of its own keeps the document in
-                        names = np.concatenate([names[~known_hot], np.repeat(mix(np.array([doc], np.int64).view(np.uint64)), 2)])
-                    found.append(names)
-                ids = np.repeat(part.column("doc_id").to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(ids)], ["anchor", "doc_id"])
-
-    def repeated(batches):
-        """Rows whose anchor the row before or behind has too; rows are sorted by anchor."""
-        held_a, held_d, met = np.empty(0, np.int64), np.empty(0, np.int64), False
-        for batch in batches:
-            a = np.concatenate([held_a, batch.column("anchor").to_numpy()])
-            d = np.concatenate([held_d, batch.column("doc_id").to_numpy()])
-            if not len(a):
-                continue
-            same = a[1:] == a[:-1]
-            hit = np.concatenate([[met], same]) | np.concatenate([same, [False]])
-            yield pa.RecordBatch.from_arrays([pa.array(a[:-1][hit[:-1]]), pa.array(d[:-1][hit[:-1]])], ["anchor", "doc_id"])
-            held_a, held_d, met = a[-1:], d[-1:], bool(hit[-1])
-        if met:
-            yield pa.RecordBatch.from_arrays([pa.array(held_a), pa.array(held_d)], ["anchor", "doc_id"])
+        """The anchors of the originals by bucket: their codes and documents."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt():
+            name, doc = (np.concatenate(x) for x in zip(*held))
+            often = among(name, hot)
+            if often.any():  # not dealt; two rows under a name of its own keep the document in
+                own = np.unique(doc[often])
+                name = np.concatenate([name[~often], mix(own.view(np.uint64)), mix(own.view(np.uint64))])
+                doc = np.concatenate([doc[~often], own, ~own])
+            bucket, code = codes(name)
+            order = np.argsort(bucket.astype(np.int16 if buckets < 2 ** 15 else np.int64), kind="stable")
+            count = np.bincount(bucket.astype(np.int64), minlength=buckets)
+            on = np.flatnonzero(count)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count[on])]).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(on), pa.ListArray.from_arrays(offsets, pa.array(code[order])),
+                                               pa.ListArray.from_arrays(offsets, pa.array(doc[order]))], ["bucket", "codes", "docs"])
 
-    dealt = known.mapInArrow(seen, "anchor long, doc_id long").repartition("anchor").sortWithinPartitions("anchor")
-    wanted = dealt.mapInArrow(repeated, "anchor long, doc_id long").groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted"))
+        for batch in batches:
+            for part in slices(originals(batch), limit=SLICE):
+                found = anchors([t.encode() for t in part.column("text").to_pylist()], length, False)
+                held.append((found.name, part.column("doc_id").to_numpy()[found.doc]))
+                if sum(len(name) for name, _ in held) >= HELD_ANCHORS:
+                    yield dealt()
+                    held = []
+        if held:
+            yield dealt()
+
+    def repeated(bucket):
+        """The codes that several documents of a bucket have, by document."""
+        code, doc = (pc.list_flatten(bucket.column(c).combine_chunks()).to_numpy() for c in ("codes", "docs"))
+        order = np.argsort(code)
+        code, doc = code[order], doc[order]
+        first = np.concatenate([[True], code[1:] != code[:-1]])[:len(code)]
+        runs = np.flatnonzero(first)
+        met = (np.minimum.reduceat(doc, runs) != np.maximum.reduceat(doc, runs))[np.cumsum(first) - 1] if len(code) else first
+        code, doc = code[met], doc[met]
+        order = np.argsort(doc)
+        code, doc = code[order], doc[order]
+        edge = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[:len(doc)])
+        offsets = pa.array(np.append(edge, len(doc)).astype(np.int32))
+        return pa.table({"doc_id": pa.array(doc[edge]), "codes": pa.ListArray.from_arrays(offsets, pa.array(code))})
+
+    dealt = known.mapInArrow(seen, "bucket long, codes array<int>, docs array<long>").groupBy("bucket")
+    wanted = dealt.applyInArrow(repeated, "doc_id long, codes array<int>").groupBy("doc_id").agg(F.flatten(F.collect_list("codes")).alias("wanted"))
 
     def contexts(batches):
         for batch in batches:
-            for part in slices(batch, limit=1_000_000):
-                part = originals(part)
-                part = part.filter(pc.is_valid(part.column("wanted")))
-                out = {"context": [], "gram": [], "doc_id": [], "place": [], "hot": []}
-                lists = part.column("wanted")
-                for i, (doc, turn, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("doc_id", "turn", "text")))):
-                    coded = text.encode()
-                    name, low, high, grams = anchors(np.frombuffer(coded, np.uint8), length)
-                    often = among(name, hot)
-                    keep = np.flatnonzero(often | np.isin(name, lists[i].values.to_numpy().view(np.uint64)))
-                    if not len(keep):
-                        continue
-                    name, low, high = name[keep], low[keep], high[keep]
-                    out["context"] += [coded[a:b] for a, b in zip(low.tolist(), (high + length).tolist())]
-                    out["gram"].append(gram_places(name, high, grams, length) - low)
-                    out["doc_id"].append(np.full(len(low), doc, np.int64))
-                    out["place"].append((turn << TURN_BITS) + low)
-                    out["hot"].append(often[keep])
-                if out["context"]:
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(out["context"], pa.binary()), pa.array(np.concatenate(out["gram"]), pa.int32()),
-                        pa.array(np.concatenate(out["doc_id"])), pa.array(np.concatenate(out["place"])), pa.array(np.concatenate(out["hot"]))],
-                        ["context", "gram", "doc_id", "place", "hot"])
+            batch = originals(batch)
+            for part in slices(batch.filter(pc.is_valid(batch.column("wanted"))), limit=SLICE):
+                coded = [t.encode() for t in part.column("text").to_pylist()]
+                found = anchors(coded, length)
+                often, lists = among(found.name, hot), part.column("wanted")
+                asked = (pc.list_parent_indices(lists).to_numpy().astype(np.int64) << 32) + pc.list_flatten(lists).to_numpy().view(np.uint32)
+                keep = often | among((found.doc << 32) + codes(found.name)[1].view(np.uint32), np.sort(asked))
+                if not keep.any():
+                    continue
+                name, doc, low, high, start, place = (x[keep] for x in found)
+                whole = b"".join(coded)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([whole[a:b] for a, b in zip((start + low).tolist(), (start + high + length).tolist())], pa.binary()),
+                    pa.array((place - low).astype(np.int32)), pa.array(part.column("doc_id").to_numpy()[doc]),
+                    pa.array((part.column("turn").to_numpy().astype(np.int64)[doc] << TURN_BITS) + low), pa.array(often[keep])],
+                    ["context", "gram", "doc_id", "place", "hot"])
 
     def decided(batches):
         """Bit masks of the removed windows; rows are sorted by anchor and taken in batches of whole anchors."""
         held: list[pa.RecordBatch] = []
 
         def answer(table: pa.Table) -> pa.RecordBatch:
-            texts, docs_ = table.column("context").to_pylist(), table.column("doc_id").to_numpy()
-            names = table.column("anchor").to_numpy()
-            number: dict[bytes, int] = {}
-            own = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
-            least = np.full(len(number), np.iinfo(np.int64).max)
+            docs_, names = table.column("doc_id").to_numpy(), table.column("anchor").to_numpy()
+            coded = pc.dictionary_encode(table.column("context").combine_chunks())
+            own, listed = coded.indices.to_numpy(), coded.dictionary
+            least = np.full(len(listed), np.iinfo(np.int64).max)
             np.minimum.at(least, own, docs_)
             # an anchor with one context needs no sorting: the first document decides
-            anchor_of = np.empty(len(number), np.int64)
+            anchor_of = np.empty(len(listed), np.int64)
             anchor_of[own] = names
             _, back, count = np.unique(anchor_of, return_inverse=True, return_counts=True)
-            several = np.flatnonzero(count[back] > 1)
-            listed = list(number)
-            minima: dict[int, np.ndarray] = {}
-            if len(several):
-                minima = dict(zip(several.tolist(), window_minima([listed[i] for i in several], least[several], length)))
-            masks = np.zeros(len(texts), np.uint64)
-            size = np.array([len(t) - length + 1 for t in listed], np.int64)
+            sorted_ = count[back] > 1
+            bytes_ = pc.binary_length(listed).to_numpy().astype(np.int64)
+            size = bytes_ - length + 1
+            masks = np.zeros(len(docs_), np.uint64)
             full = (np.uint64(1) << size[own].astype(np.uint64)) - np.uint64(1)
-            simple = count[back][own] == 1
+            simple = ~sorted_[own]
             masks[simple] = np.where(docs_ > least[own], full, np.uint64(0))[simple]
             rest = np.flatnonzero(~simple)
             if len(rest):
-                flat = np.concatenate([minima[i] for i in own[rest].tolist()])
+                text = np.frombuffer(b"".join(listed.filter(pa.array(sorted_)).to_pylist()), np.uint8)
+                minima = window_minima(text, bytes_[sorted_], least[sorted_], length)
+                starts = np.zeros(len(listed), np.int64)
+                starts[sorted_] = np.cumsum(bytes_[sorted_]) - bytes_[sorted_]
                 sizes = size[own[rest]]
                 begin = np.cumsum(sizes) - sizes
-                bit = (np.arange(len(flat)) - np.repeat(begin, sizes)).astype(np.uint64)
-                hit = (flat < np.repeat(docs_[rest], sizes)).astype(np.uint64) << bit
-                masks[rest] = np.bitwise_or.reduceat(hit, begin)
+                bit = np.arange(sizes.sum()) - np.repeat(begin, sizes)
+                earlier = minima[np.repeat(starts[own[rest]], sizes) + bit] < np.repeat(docs_[rest], sizes)
+                masks[rest] = np.bitwise_or.reduceat(earlier.astype(np.uint64) << bit.astype(np.uint64), begin)
             on = masks > 0
             return pa.RecordBatch.from_arrays([pa.array(docs_[on]), pa.array(table.column("place").to_numpy()[on]),
                                                pa.array(masks[on].view(np.int64))], ["doc_id", "place", "mask"])
@@ -364,7 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
 
     met = known.join(wanted, "doc_id", "left").select(*known.columns, "wanted").mapInArrow(
         contexts, "context binary, gram int, doc_id long, place long, hot boolean")
-    anchor = F.xxhash64(F.substring("context", F.col("gram") + 1, F.lit(GRAM)))  # told by the context, so not shuffled
+    anchor = F.xxhash64(F.substring("context", F.col("gram") + 1, F.lit(gram_size(length))))  # told by the context, so not shuffled
     spread = met.repartition(deal_key(anchor))  # one exchange for both ways, so each takes its rows in Python
     masks = spread.withColumn("anchor", anchor).sortWithinPartitions("anchor").mapInArrow(decided, "doc_id long, place long, mask long")
 
@@ -396,11 +448,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, texts: tuple[str, ...]
                         place, mask = pairs.field("place").to_numpy(), pairs.field("mask").to_numpy().view(np.uint64)
                         mine = (place >> TURN_BITS) == turn
                         place, mask = place[mine] & (2 ** TURN_BITS - 1), mask[mine]
-                        change = np.zeros(len(data) + length + 1, np.int32)
-                        for t in range(length - GRAM + 1):
-                            at = place[(mask >> np.uint64(t)) & np.uint64(1) > 0] + t
-                            np.add.at(change, at, 1)
-                            np.add.at(change, at + length, -1)
+                        row, t = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+                        at = place[row] + t
+                        change = np.bincount(at, minlength=len(data) + length + 1) - np.bincount(at + length, minlength=len(data) + length + 1)
                         removed = np.cumsum(change)[:len(data)] > 0
                     kept = data[~removed].tobytes()
                     spans = int(removed[:1].sum() + (removed[1:] & ~removed[:-1]).sum())

@@ -39,6 +39,49 @@ def test_all_repeated_anchors_hot(spark, monkeypatch, data):
     assert repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
 
 
+def test_hot_anchors_are_a_share_of_the_input(spark, monkeypatch):
+    """An anchor with a fixed number of rows is hot in a small input only, so that hot rows grow with the input and not faster."""
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_ROWS", 40)
+    rule = "=" * 60
+    rows = [(i, f"{rule}{i * 7919:030d}") for i in range(50)]
+    assert len(suffix_dedup.hot_anchors(spark.createDataFrame(rows, "doc_id long, text string")))
+    draw = np.random.default_rng(3)
+    rows += [(100 + i, draw.bytes(9000).hex()) for i in range(100)]
+    assert not len(suffix_dedup.hot_anchors(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
+def test_anchors_are_dealt_as_lists(spark, monkeypatch):
+    """Not a row for each anchor: a row for each bucket and task, here of at most 8 tasks."""
+    draw, dealt = np.random.default_rng(4), []
+    frame = spark.createDataFrame([(i, draw.bytes(5000).hex()) for i in range(40)], "doc_id long, text string")
+    spread = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, f, schema, *more: dealt.append((f.__name__, made := spread(self, f, schema, *more))) or made)
+    suffix_dedup.remove_repeats(frame)
+    seen = dict(dealt)["seen"]
+    assert seen.count() <= 3 * 8 * 8
+    assert seen.agg(F.sum(F.size("codes"))).first()[0] > 20_000
+
+
+def test_anchors_of_several_documents_are_those_of_each():
+    draw = np.random.default_rng(6)
+    coded = [draw.integers(97, 97 + n, size).astype(np.uint8).tobytes() for n, size in ((1, 300), (2, 49), (3, 50), (26, 700), (1, 0), (2, 200), (1, 51))]
+    whole = suffix_dedup.anchors(coded)
+    for i, one in enumerate(coded):
+        alone, mine = suffix_dedup.anchors([one]), whole.doc == i
+        for name in ("name", "low", "high", "place"):
+            assert getattr(alone, name).tolist() == getattr(whole, name)[mine].tolist()
+        covered = [p for a, b in zip(alone.low.tolist(), alone.high.tolist()) for p in range(a, b + 1)]
+        assert covered == list(range(max(0, len(one) - suffix_dedup.LENGTH + 1)))
+
+
+@pytest.mark.parametrize("length", [16, 39, 79])
+def test_other_lengths(spark, length):
+    rows, frame = common_passage(spark)
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(frame, length).collect()}
+    assert found == brute_repeats(rows, length)
+
+
 def test_contexts_of_a_hot_anchor_go_to_many_tasks(spark):
     rows = spark.range(2000).select(F.lit(b"x" * 60).alias("context"), F.col("id").alias("doc_id"), F.lit(True).alias("hot"))
     sizes = [r["count"] for r in rows.repartition(8, suffix_dedup.deal_key(F.lit(1).cast("long"))).groupBy(F.spark_partition_id()).count().collect()]

@@ -135,3 +135,16 @@ def test_frames_of_more_rows_than_a_task_keeps_go_to_spark_ml(spark, monkeypatch
     monkeypatch.setattr(models, "grow_trees", lambda *_: pytest.fail("too many rows for a task"))
     spread = predictions(models._boosted(rows, PLAIN), rows)
     assert max(abs(whole[k] - spread[k]) for k in spread) < 1e-6
+
+
+def test_panel_does_not_grow_with_the_orders(spark, data, tmp_path):
+    """What the risk model learns from is units by months: copies of orders and customers add no row, so a fit stays one task's work."""
+    for name in ("nation", "region"):
+        spark.read.parquet(f"{data}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    copies = spark.range(4).select((F.col("id") * 10_000_000).alias("shift"))
+    for name, keys in (("orders", ("o_orderkey", "o_custkey")), ("customer", ("c_custkey",))):
+        rows = spark.read.parquet(f"{data}/{name}.parquet").crossJoin(copies)
+        rows.withColumns({k: F.col(k) + F.col("shift") for k in keys}).drop("shift").write.parquet(str(tmp_path / f"{name}.parquet"))
+    panel, larger = modelling.risk_panel(spark, data), modelling.risk_panel(spark, str(tmp_path))
+    assert panel.count() == larger.count() <= models.ROWS_IN_ONE_TASK
+    assert larger.agg(F.sum("n")).first()[0] == 4 * panel.agg(F.sum("n")).first()[0]

@@ -51,6 +51,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder below the shared folder, by Hadoop, which knows the store it is in."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(held, True)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch with about ``limit`` bytes of text; one row at least, however long."""
     sizes = pc.binary_length(batch.column(column)).to_pylist() if batch.num_rows else []

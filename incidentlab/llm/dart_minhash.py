@@ -21,19 +21,22 @@ the similarity, without a loss and before a row is made; what passes is
 verified on the sets themselves.
 
 Within a bucket of a band no pairs of all members are made. First each set is
-verified against the smallest set it meets anywhere that passes. Then, in each
-round, some members not yet used in the bucket are pivots, and members of other
-components that pass are verified against them; a bucket ends when all its
-members are in one component or all have been pivots. So every meeting pair is
-either told apart, verified or already connected, and no link between
-components is lost. Rounds start with few pivots, since what they connect need
-not be compared again, and take four times as many each time up to ``PIVOTS``.
+verified against the smallest set it meets anywhere that passes. Then the
+members of a bucket have turns by a hash, spread over 0 to the bucket's size.
+In each round those whose turns are up are pivots, and members of other
+components with later turns that pass are verified against them; a bucket ends
+when all its members are in one component or all turns are over. So every
+meeting pair is either told apart, verified or already connected, and no link
+between components is lost. Rounds start with few turns, since what they connect
+need not be compared again, and go to 16 times as many each time, by ``PIVOTS``
+at most; a bucket of up to 16 members ends with the first.
 
 Crowded buckets, pivots and classes are spread over parts by a salt. Components
 come from label propagation with pointer jumping over the components and links
 of the round; nothing is gathered on the driver but counts. The plan is the
 same for every size: what is asked for goes out as a bitmap of ``ASKED_BITS``
-bits, so only rows that may be asked for are shuffled.
+bits, so only rows that may be asked for are shuffled. The tables of a round are
+removed when the next one has been written.
 
 Texts without words are classes of their own. Texts of fewer than five words
 have one shingle of all their words. NULL text is a text without words. Rows of
@@ -42,17 +45,21 @@ one id are one document (the shingles of all its rows).
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from incidentlab.llm.common import scratch, slices
+from incidentlab.llm.common import remove, scratch, slices
 from incidentlab.llm.shingles import Shingler, mix
 from incidentlab.session import shared_dir
 
 BANDS, ROWS = 20, 4
+FIRST_TURNS, MORE_TURNS = 16, 16
 PIVOTS = 4096
+TURN_BITS = 40
 PARITIES = 512
 PART_ROWS = 512  # rows of a bucket, or partners of a pivot, in one part
 SALTS = 8
@@ -206,10 +213,10 @@ def _sets(docs: DataFrame, weighting: str) -> DataFrame:
     return texts.mapInArrow(run, "whole long, hashes array<long>")
 
 
-def _written(rows: DataFrame) -> DataFrame:
-    """The rows from a table in the shared folder. With checkpoints in its place a late round took 39 s on 40 rows, with
+def _written(rows: DataFrame, folder: str) -> DataFrame:
+    """The rows from a table in the folder. With checkpoints in its place a late round took 39 s on 40 rows, with
     tables about 3 s; the likely cause, not isolated, is what a checkpoint keeps of the plan that made it."""
-    path = scratch(rows.sparkSession, "near-duplicates")
+    path = f"{folder}/{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
@@ -243,77 +250,99 @@ def _may_match(similarity: float):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (whole, pivot) of sets at or above the Jaccard similarity. A pivot's set is sent once to each part of its
-    partners, a partner's set once for each of its pairs."""
-    ids = pairs.select("whole").unionByName(pairs.select(F.col("pivot").alias("whole"))).distinct()
-    sets = _asked_for(sets, "whole", ids)
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    dealt = _spread_join(pairs, parts, "pivot", "whole").withColumn("part", F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int"))
-    partners = dealt.drop("parts").join(sets, "whole")
-    pivots = parts.join(sets.select(F.col("whole").alias("pivot"), F.col("hashes").alias("pivot_hashes")), "pivot").withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    """The links (a, b) between the labels of pairs (whole, pivot, label, pivot_label, parts) of sets at or above the Jaccard
+    similarity. A pivot's set is sent once to each part that has partners, a partner's set once for each of its pairs."""
+    sets = _asked_for(sets, "whole", pairs.select("whole").unionByName(pairs.select(F.col("pivot").alias("whole"))))
+    dealt = pairs.withColumn("part", _part())
+    partners = dealt.join(sets, "whole")
+    parts = dealt.groupBy(F.col("pivot").alias("whole")).agg(F.collect_set("part").alias("of"))
+    pivots = parts.join(sets, "whole").select(F.col("whole").alias("pivot"), F.col("hashes").alias("pivot_hashes"), F.explode("of").alias("part"))
     common = F.size(F.array_intersect("hashes", "pivot_hashes"))
-    joined = partners.join(pivots, ["pivot", "part"]).select("whole", "pivot", common.alias("common"), (
+    joined = partners.join(pivots, ["pivot", "part"]).select("label", "pivot_label", common.alias("common"), (
         F.size("hashes") + F.size("pivot_hashes")).alias("both"))
-    return joined.where(F.col("common") >= similarity * (F.col("both") - F.col("common")) - 1e-9).select("whole", "pivot")
+    return joined.where(F.col("common") >= similarity * (F.col("both") - F.col("common")) - 1e-9).select(
+        F.col("label").alias("a"), F.col("pivot_label").alias("b"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, folder: str | None = None) -> DataFrame:
     """(node, label) of the nodes of links (a, b): label is the smallest node reachable. Distributed hooking and pointer jumping.
 
     Each round gives every node the smallest label around it, then follows the
-    label's own label; the state is written to the shared folder every round.
+    label's own label; the state is written to the folder (a fresh one of the
+    shared folder) every round. The links are read every round, so they should
+    be a table; repeated ones change nothing.
     """
-    both = _written(links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
-        links.select(F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
-    state = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label"))
+    folder = folder or scratch(links.sparkSession, "components")
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    state = _written(both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("label")), folder)
     while True:
         around = _spread_join(both, state.select(F.col("node").alias("other"), "label"), "other", "node")
         seen = around.groupBy("node").agg(F.min("label").alias("near"))
-        hooked = _written(state.join(seen, "node").select("node", F.least("label", "near").alias("next"), "label"))
+        hooked = _written(state.join(seen, "node").select("node", F.least("label", "near").alias("next"), "label"), folder)
         targets = hooked.select(F.col("node").alias("next"), F.col("next").alias("jump"))
         label = F.least("next", "jump")
         jumped = _written(_spread_join(hooked, targets, "next", "node").select(
-            "node", label.alias("label"), (label != F.col("label")).alias("moved")))
+            "node", label.alias("label"), (label != F.col("label")).alias("moved")), folder)
         state = jumped.select("node", "label")
         if not jumped.where("moved").limit(1).count():
             return state
 
 
-def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
-    """The labels (whole, label) after new links (whole, pivot): only the labels that these links meet are worked on."""
-    ends = links.join(state, "whole").select("pivot", F.col("label").alias("a"))
-    ends = _spread_join(ends, state.select(F.col("whole").alias("pivot"), F.col("label").alias("b")), "pivot", "a")
-    moved = components(ends.where("a <> b").select("a", "b").distinct()).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return _written(_spread_join(state, moved, "label", "whole", "left").select("whole", F.coalesce("to", "label").alias("label")))
+def _relabelled(rows: DataFrame, moved: DataFrame) -> DataFrame:
+    """The rows with the labels that theirs (label) have moved to (to); other labels stay."""
+    return _spread_join(rows, moved, "label", "whole", "left").withColumn("label", F.coalesce("to", "label")).drop("to").select(rows.columns)
+
+
+def _part():
+    """The part of a crowded bucket that a set is dealt to."""
+    return F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int")
+
+
+def _later():
+    """Whether a member comes after a pivot, so that two pivots of a round meet once."""
+    return (F.col("turn") > F.col("pivot_turn")) | ((F.col("turn") == F.col("pivot_turn")) & (F.col("whole") > F.col("pivot")))
 
 
-def _labels(buckets: DataFrame, asked: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(whole, label) of the sets that meet others in buckets (key, whole, size, parities, parts)."""
-    state, rest, slots = asked.select("whole", F.col("whole").alias("label")), buckets, 1
+def _met(members: DataFrame, pivots: DataFrame, similarity: float, further: Column) -> DataFrame:
+    """The pairs (whole, pivot, label, pivot_label, parts) of members and pivots of their buckets that differ in their labels and
+    may be similar. Every part of a bucket meets all its pivots."""
+    dealt = members.withColumn("part", _part())
+    sent = pivots.select(*[F.col(c).alias(f"pivot_{c}") for c in ("key", "label", "size", "parities", "turn")], F.col("whole").alias("pivot"),
+                         F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pivot_part"))
+    return dealt.join(sent, (F.col("key") == F.col("pivot_key")) & (F.col("part") == F.col("pivot_part")) & (
+        F.col("label") != F.col("pivot_label")) & further & _may_match(similarity)).select("whole", "pivot", "label", "pivot_label", "parts")
+
+
+def _labels(buckets: DataFrame, asked: DataFrame, sets: DataFrame, similarity: float, folder: str) -> DataFrame:
+    """(whole, label) of the sets that meet others in buckets (key, whole, size, parities, parts, turn). Tables of the rounds are
+    kept in the folder no longer than they are read; that of the result stays."""
+    spark, state = buckets.sparkSession, asked.select("whole", F.col("whole").alias("label"))
+    left, done, turns, number, states = buckets.withColumn("label", F.col("whole")), 0, 0, 0, []
     while True:
-        labelled = rest.join(state, "whole")
-        split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        left = _written(_spread_join(labelled, split, "key", "whole"))
+        here = f"{folder}/{number}"
+        if turns:
+            pairs = _met(left, left.where(F.col("turn") < turns), similarity, _later()).groupBy("whole", "pivot", "label", "pivot_label").agg(
+                F.max("parts").alias("parts"))
+        else:
+            smallest = left.groupBy("key").agg(F.min(F.struct("whole", "label", "size", "parities", "parts", "turn")).alias("p")).select("key", "p.*")
+            pairs = _met(left, smallest, similarity, F.lit(True)).groupBy("whole", "label").agg(
+                F.min("pivot").alias("pivot"), F.max("parts").alias("parts")).withColumn("pivot_label", F.col("pivot"))
+        new = _written(_verified(_written(pairs, here), sets, similarity), here)
+        if new.limit(1).count():
+            moved = components(new, here).select(F.col("node").alias("label"), F.col("label").alias("to"))
+            states.append(f"{folder}/labels-{number}")
+            state, left = _written(_relabelled(state, moved), states[-1]), _relabelled(left, moved)
+            for old in states[:-1]:
+                remove(spark, old)
+        done, turns, number = turns, min(MORE_TURNS * turns, turns + PIVOTS) or FIRST_TURNS, number + 1
+        ahead = left.where(F.col("turn") >= done)
+        split = ahead.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        left = _written(_spread_join(ahead, split, "key", "whole"), f"{folder}/{number}")
+        remove(spark, here)
         if not left.limit(1).count():
+            remove(spark, f"{folder}/{number}")
             return state
-        pivots = left.groupBy("key", F.pmod("whole", F.lit(slots)).alias("slot")).agg(
-            F.min(F.struct("whole", "label", "size", "parities", "parts")).alias("p")).select(
-            F.col("key").alias("pivot_key"), F.col("p.whole").alias("pivot"), F.col("p.label").alias("pivot_label"), F.col("p.size").alias("pivot_size"),
-            F.col("p.parities").alias("pivot_parities"), F.explode(F.sequence(F.lit(0), F.col("p.parts") - 1)).alias("pivot_part"))
-        members = left.withColumn("part", F.pmod(F.xxhash64("whole"), F.col("parts")).cast("int"))
-        met = members.join(pivots, (F.col("key") == F.col("pivot_key")) & (F.col("part") == F.col("pivot_part")) & (F.col("label") != F.col("pivot_label"))
-                           & _may_match(similarity)).select("whole", "pivot")
-        if slots == 1:
-            pairs = met.groupBy("whole").agg(F.min("pivot").alias("pivot"))
-        else:  # a pair may meet twice, as pivot of each other; a pivot has met its whole bucket and leaves it
-            pairs = met.distinct()
-            used = pivots.select(F.col("pivot_key").alias("key"), F.col("pivot").alias("whole")).distinct()
-            rest = _written(left.drop("label").join(used, ["key", "whole"], "left_anti"))
-        new = _written(_verified(_written(pairs), sets, similarity))
-        if new.limit(1).count():
-            state = _merged(state, new)
-        slots = min(4 * slots, PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
@@ -326,11 +355,15 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = BANDS
     sets = sketch.groupBy("whole").agg(F.min(F.struct("doc_id", "size", "parities", "bands")).alias("s")).select("whole", "s.*")
     met = sets.select("whole", "doc_id", "size", "parities", F.explode("bands").alias("key"))
     crowded = sets.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "key", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
-    buckets = _spread_join(_asked_for(met, "key", crowded), crowded, "key", "whole").checkpoint()
+        "key", "n", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    turn = F.pmod(F.xxhash64("key", "whole"), F.lit(2 ** TURN_BITS)) / F.lit(2.0 ** TURN_BITS) * F.col("n")
+    folder = scratch(docs.sparkSession, "near-duplicates")
+    buckets = _written(_spread_join(_asked_for(met, "key", crowded), crowded, "key", "whole").withColumn("turn", turn).drop("n"), f"{folder}/buckets")
     asked = buckets.groupBy("whole").agg(F.min("doc_id").alias("doc_id")).checkpoint()
-    held = _sets(_asked_for(texts, "doc_id", asked).join(asked, "doc_id"), weighting).checkpoint()
-    state = _labels(buckets.drop("doc_id"), asked, held, similarity)
+    held = _written(_sets(_asked_for(texts, "doc_id", asked).join(asked, "doc_id"), weighting), f"{folder}/sets")
+    state = _labels(buckets.drop("doc_id"), asked, held, similarity, folder)
+    for name in ("buckets", "sets"):
+        remove(docs.sparkSession, f"{folder}/{name}")
     named = _spread_join(sketch.select("doc_id", "whole"), state, "whole", "doc_id", "left").select(
         "doc_id", F.coalesce("label", "whole").alias("label"))
     first = named.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pathlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from incidentlab.llm import dart_minhash, suffix_dedup
 from incidentlab.llm.common import ship
+from incidentlab.session import shared_dir
 from tests.llm.test_corpus import brute_classes, brute_repeats, repeats
 
 
@@ -114,6 +117,43 @@ def test_crowds_of_near_copies_equal_brute_force(spark, monkeypatch, part_rows,
     assert {r.doc_id: r.class_id for r in found} == want
 
 
+def crowd(n=60):
+    """Sets that meet in crowded buckets; some are similar enough, some are not."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        words = [f"w{k}" for k in range(60)]
+        for at in draw.choice(60, i % 5, replace=False):
+            words[at] = f"edit{i // 2}x{at}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_rounds_are_few_and_leave_no_tables(spark, monkeypatch):
+    """A bucket of up to 16 members ends with the second round, one of up to 256 with the third."""
+    rounds, folder, verified = [], pathlib.Path(shared_dir(spark).removeprefix("file:")), dart_minhash._verified
+    monkeypatch.setattr(dart_minhash, "_verified", lambda *a: rounds.append(1) or verified(*a))
+    monkeypatch.setattr(dart_minhash, "scratch", lambda _, name: f"{folder}/few-{name}")
+    rows = crowd()
+    found = dart_minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in found.collect()} == brute_classes(rows)
+    assert 1 < len(rounds) <= 3
+    left = [p.name for p in (folder / "few-near-duplicates").iterdir()]
+    assert len(left) <= 1 and all(name.startswith("labels-") for name in left)
+
+
+def test_each_meeting_pair_is_told_once(spark):
+    """Whatever the turns, two members of a bucket are a pair in the round of the first of them."""
+    rows = [(1, i, 10, [0] * 8, 3, float(i // 2), i) for i in range(40)]
+    members = spark.createDataFrame(rows, "key long, whole long, size int, parities array<long>, parts int, turn double, label long")
+    met, done = [], 0
+    for turns in (4, 9, 20):
+        left = members.where(F.col("turn") >= done)
+        met += [frozenset((r.whole, r.pivot)) for r in dart_minhash._met(left, left.where(F.col("turn") < turns), 0.8, dart_minhash._later()).collect()]
+        done = turns
+    assert len(met) == len(set(met)) == 40 * 39 // 2
+
+
 def test_parities_never_exceed_the_difference():
     draw = np.random.default_rng(1)
     for size in (1, 30, 400, 3000):
